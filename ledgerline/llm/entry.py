@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import quality, toxicity
+from ledgerline.llm import decontaminate, mixing, near_duplicates, quality, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_quality": quality.op1_quality, "op2_toxicity": toxicity.op2_toxicity}
+    return {
+        "op1_quality": quality.op1_quality,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_near_duplicates": near_duplicates.op3_near_duplicates,
+        "op4_warc": warc.op4_warc,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op7_mixing": mixing.op7_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.OP4_SQL, "op7_mixing": mixing.OP7_SQL}
