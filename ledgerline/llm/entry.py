@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import decontaminate, mixing, near_duplicates, quality, toxicity, warc
+from ledgerline.llm import chat, decontaminate, mixing, near_duplicates, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_near_duplicates": near_duplicates.op3_near_duplicates,
         "op4_warc": warc.op4_warc,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_chat": chat.op6_chat,
         "op7_mixing": mixing.op7_mixing,
     }
 
