@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import chat, decontaminate, mixing, near_duplicates, quality, toxicity, warc
+from ledgerline.llm import chat, decontaminate, lines, mixing, near_duplicates, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_chat": chat.op6_chat,
         "op7_mixing": mixing.op7_mixing,
+        "op8_line_dedup": lines.op8_line_dedup,
     }
 
 
