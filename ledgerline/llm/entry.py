@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import chat, decontaminate, lines, mixing, near_duplicates, quality, toxicity, warc
+from ledgerline.llm import chat, decontaminate, lines, mixing, near_duplicates, passages, pii, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op6_chat": chat.op6_chat,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": lines.op8_line_dedup,
+        "op9_passages": passages.op9_passages,
+        "op10_pii": pii.op10_pii,
     }
 
 
