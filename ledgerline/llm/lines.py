@@ -81,7 +81,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     places = comps.join(classes.select("id", "key", "sig", "n", "at"), "id")
     wanted = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "id", "comp", "key", "sig", "n")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_doc"), "wanted")
-    text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text", F.explode("wanted").alias("w"))
+    text = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text", F.explode("wanted").alias("w"))
     line = text.select("doc_id", F.get(F.split("text", "\n"), F.col("w.line_no")).alias("line"), "w").where("line is not null")
     hashed = f"sort_array(transform(array_distinct(filter({_SPLIT.format('line')}, x -> x <> '')), x -> xxhash64(x)))"
     members = line.select("w.id", "w.comp", "w.n", "w.sig", F.struct("doc_id", "w.line_no").alias("at"), F.expr(hashed).alias("tokens")).where("size(tokens) = n")
@@ -99,7 +99,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
 def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the lines in ``found``; n_chars, if there, follows the text."""
     named = found.select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    both = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
+    both = docs.join(named.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
     out = both.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
