@@ -3,7 +3,8 @@
 Conversations that share initial turns share the nodes of a tree: a node is a turn together with all turns before it.
 Each tree is laid out depth first, so shared tokens are emitted once; every token has the position it has in its own
 conversation, and every node the intervals of the layout that its ancestors take up, which is all it may attend to
-besides itself.
+besides itself. A first child follows its parent in the layout, so a run of first children is one interval, and a long
+conversation that nothing branches off has one interval a node, however deep.
 
 Template: ``<|im_start|>`` role, line feed, text, ``<|im_end|>``, line feed. In roles and texts a backslash becomes two
 and ``<|`` becomes ``<\\|``; in roles a line feed becomes ``\\n``. Afterwards no text holds a control string, and
@@ -113,7 +114,7 @@ def turn_nodes(conversations: DataFrame) -> DataFrame:
 def prefix_trees(turns: DataFrame, vocabulary: str) -> DataFrame:
     """One row per node: tree (its first turn's id), node, path, depth, tokens, loss_start and loss_end (within the
     tokens), start (offset in the tree's layout), position (of its first token in its conversation) and attends
-    (start and end of each ancestor in the layout, from the root).
+    (start and end of each interval of ancestors in the layout, from the root).
 
     The order of paths is a depth-first order of all trees at once. Rows are dealt by ranges of paths, so one large
     tree spans tasks; offsets are sums inside a range plus the totals of the ranges before it, one row per range."""
@@ -123,23 +124,30 @@ def prefix_trees(turns: DataFrame, vocabulary: str) -> DataFrame:
     scratch_dir(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = made.select("node", "path", "depth", "n_tokens").repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()).checkpoint()
-    inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("part").orderBy("path")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    head = (F.col("depth") == 0) | ~F.lag("path").over(order).eqNullSafe(F.expr(f"substring(path, 1, length(path) - {_ID})"))
     totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     offsets = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = ranged.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(offsets), "part")  # a row for each of the ranges
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("head", head)
+    placed = placed.withColumn("run", F.last(F.when(F.col("head"), F.col("inside")), ignorenulls=True).over(order))
+    placed = placed.join(F.broadcast(offsets), "part")  # a row for each of the ranges
     tree = F.substring("path", 1, _ID)
-    placed = saved(placed.select("node", "path", "depth", "n_tokens", tree.alias("tree"), (F.col("inside") + F.col("before")).alias("global")))
+    placed = saved(placed.select("node", "path", "depth", "n_tokens", "head", tree.alias("tree"), (F.col("inside") + F.col("before")).alias("global"), (F.col("run") + F.col("before")).alias("run")))
     roots = placed.where("depth = 0").select(F.col("tree").alias("_tree"), F.col("global").alias("root"))
-    laid = saved(placed.join(roots, F.col("tree") == F.col("_tree")).select("node", "path", "depth", "n_tokens", "tree", (F.col("global") - F.col("root")).alias("start")))
-    above = laid.where("depth > 0").select("node", F.explode(F.sequence(F.lit(1), F.col("depth").cast("int"))).alias("k"), "path")
-    above = above.select("node", (F.col("k") - 1).alias("level"), F.substring("path", (F.col("k") - 1) * _ID + 1, F.lit(_ID)).alias("up"))
-    spans = laid.select(F.col("node").alias("up"), F.col("start").alias("a"), (F.col("start") + F.col("n_tokens")).alias("b"))
-    found = above.join(spans, "up").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("level", "a", "b"))).alias("ups"))
-    ups = found.select("node", F.transform("ups", lambda u: F.struct(u["a"].alias("start"), u["b"].alias("end"))).alias("attends"), F.aggregate("ups", F.lit(0).cast("long"), lambda s, u: s + u["b"] - u["a"]).alias("position"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    laid = placed.join(roots, F.col("tree") == F.col("_tree"))
+    laid = saved(laid.select("node", "path", "depth", "n_tokens", "head", "tree", (F.col("global") - F.col("root")).alias("start"), (F.col("run") - F.col("root")).alias("run")))
+    above = laid.where("head and depth > 0").select("node", "tree", "run", F.explode(F.sequence(F.lit(1), F.col("depth").cast("int"))).alias("k"), "path")
+    above = above.select("node", "tree", "run", F.substring("path", (F.col("k") - 1) * _ID + 1, F.lit(_ID)).alias("up"))
+    spans = laid.select(F.col("node").alias("up"), F.col("run").alias("a"), (F.col("start") + F.col("n_tokens")).alias("b"))
+    found = above.join(spans, "up").groupBy("tree", "run", "a").agg(F.max("b").alias("b"))
+    found = found.groupBy("tree", "run").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("start"), F.col("b").alias("end")))).alias("ups"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    own = F.when(F.col("start") > F.col("run"), F.array(F.struct(F.col("run").alias("start"), F.col("start").alias("end")))).otherwise(none)
     tokens = made.select("node", "tokens", "loss_start", "loss_end")
-    out = laid.join(ups, "node", "left").join(tokens, "node")
-    return out.select("tree", "node", "path", "depth", "tokens", "loss_start", "loss_end", "start", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("attends", empty).alias("attends"))
+    out = laid.join(found, ["tree", "run"], "left").withColumn("attends", F.concat(F.coalesce("ups", none), own)).join(tokens, "node")
+    position = F.aggregate("attends", F.lit(0).cast("long"), lambda s, u: s + u["end"] - u["start"])
+    return out.select("tree", "node", "path", "depth", "tokens", "loss_start", "loss_end", "start", position.alias("position"), "attends")
 
 
 def _read_back(path: str):

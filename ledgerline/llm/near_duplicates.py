@@ -26,7 +26,7 @@ from ledgerline.llm.common import WordHashes, components, find_words, gram_hashe
 WORDS, THRESHOLD = 5, 0.8
 #: Chance that a pair at the threshold itself shares a band; pairs above it do so more likely.
 RECALL, MAX_HASHES = 0.9999, 128
-BLOCK_DOCS, BLOCK_GRAMS = 512, 1_000_000
+BLOCK_DOCS, BLOCK_GRAMS = 256, 1_000_000
 _CHUNK = 2048
 
 
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     cells = saved(large.join(near(-1, "n_next"), ["comp", "cell"], "left").join(near(1, "n_last"), ["comp", "cell"], "left").na.fill(0, ["n_next", "n_last"]))
     placed = members.join(cells, ["comp", "cell"], "left").select("comp", F.when(F.col("n_blocks").isNull(), 0).otherwise(F.col("cell")).alias("cell"), F.col("id"), *(F.coalesce(c, F.lit(v)).cast("long").alias(c) for c, v in (("n_blocks", 1), ("n_next", 0), ("n_last", 0))))
     named = saved(placed)
-    full = named.join(texts.withColumnRenamed("doc_id", "_doc"), F.col("id") == F.col("_doc")).drop("_doc")
+    full = named.hint("merge").join(texts.withColumnRenamed("doc_id", "_doc"), F.col("id") == F.col("_doc")).drop("_doc")
     schema = "comp long, cell long, id long, n_blocks long, n_next long, n_last long, grams array<long>"
     with_grams = full.mapInArrow(_grammed(n), schema)
     units = with_grams.withColumn("_t", block_tasks(threshold)).select(F.col("_t.task").alias("task"), "id", F.col("_t.side").alias("side"), "grams")
@@ -219,7 +219,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id stay or go together; rows with a null doc_id stay."""
     found = near_duplicates(docs)
     gone = saved(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def op3_near_duplicates(spark, sf_dir):
