@@ -7,13 +7,14 @@ is left is verified on the full token sets. A line goes if an earlier line (lowe
 whether or not that line stays) is as similar.
 
 Lines without words never go; null texts have no lines. Rows that share a doc_id count as one document: lines of the
-same number are the same place. A null doc_id orders first. Tokens are compared by 56 bits of their hash. Columns other
-than doc_id and text are passed through by ``remove_lines`` and not read by ``line_duplicates``.
-
-How it scales. Lines with the same token set are one class from a map-side aggregation on, so a line that a third of
-the documents repeat is compared once. Candidates are found by a semi join: a line needs one similar line, so
-no pair is emitted, however many near copies a line has. Verification is a semi join as well, within the connected
-components of lines that met.
+same number are the same place. A null doc_id orders first. Tokens are compared by 64 bits of their hash. Columns other
+than doc_id and text are passed through by ``remove_lines`` and not read by ``line_duplicates``. An empty table gives no
+rows.
+
+How it scales. Equal lines are one class from a map-side aggregation on, so a line that a third of the documents repeat
+is compared once. Candidates are found by semi joins, which stop at a line's first partner: no pair is emitted, however
+many near copies a line has. Full token sets travel for the lines that have a candidate only, once for each token that
+is the first the two have in common.
 """
 
 from __future__ import annotations
@@ -23,34 +24,59 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import components, saved
+from ledgerline.llm.common import saved
 
 #: Jaccard threshold as a fraction: 4 / 5.
 NUM, DEN = 4, 5
 #: Tokens are counted in so many buckets by hash, which bounds what the driver and each task hold.
-BUCKETS = 16384
-_SPLIT = r"split({}, '[\\x20\\x09-\\x0D]+')"
+BUCKETS = 1 << 18
+LEVELS = 32
+#: A line's identity: 96 bits of its hashes.
+_KEY = ["key", "key2"]
+
+
+def tokens(text: str) -> str:
+    """SQL for the words of a text column, with an empty one at times. A split at one character needs no pattern."""
+    for c in ("\\t", "\\n", "\\u000B", "\\u000C", "\\r"):
+        text = f"replace({text}, '{c}', ' ')"
+    return f"split({text}, ' ')"
+
+
+def rarity_levels(docs: DataFrame) -> bytes:
+    """How common the tokens of each bucket are over all documents, in LEVELS steps of a logarithmic scale, from 1."""
+    words = docs.select(F.explode(F.expr(tokens("text"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()  # BUCKETS rows at most
+    levels = bytearray([1]) * BUCKETS
+    most = max((r["count"] for r in counts), default=1)
+    least = min((r["count"] for r in counts), default=1)
+    for r in counts:
+        levels[r["bucket"]] = 1 + int((LEVELS - 1) * math.log(r["count"] / least) / math.log(most / least + 1e-9)) if most > least else 1
+    return bytes(levels)
 
 
-def rarity_levels(docs: DataFrame) -> list[int]:
-    """How common the tokens of each bucket are over all documents, in eighths of an octave."""
-    words = docs.select(F.explode(F.expr(_SPLIT.format("text"))).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).count().collect()  # BUCKETS rows at most
-    levels = [0] * BUCKETS
-    for r in counts:
-        levels[r["bucket"]] = min(126, int(3 * math.log2(r["count"] + 1)))
-    return levels
+def places(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, line and its key, of each line."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("key"), F.hash("line").alias("key2"))
+
+
+def line_classes(docs: DataFrame, levels: bytes) -> DataFrame:
+    """One row per distinct line with a word: key, at (its first place), copies, n (distinct tokens), sig (parity of the
+    tokens by bit) and prefix (codes of tokens, rarest first: level, then 26 bits of the hash)."""
+    distinct = places(docs).withColumn("_t", F.expr(f"array_remove(array_distinct({tokens('line')}), '')")).where("size(_t) > 0")
+    table = F.lit(levels)
 
+    def code(w):
+        h = F.xxhash64(w)
+        level = F.ascii(F.substring(table, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int"), F.lit(1)).cast("string")) - 1
+        return F.shiftleft(level, 26).bitwiseOR(F.shiftrightunsigned(h, 38).cast("int"))
 
-def split_lines(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """doc_id, line_no, tokens (rarest first), n, sig (parity of tokens by bit) and key of each line with a word."""
-    table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<INT>)"  # folded into one constant
-    hashed = f"array_distinct(transform(filter({_SPLIT.format('line')}, w -> w <> ''), w -> xxhash64(w)))"
-    coded = f"transform({hashed}, h -> shiftleft(CAST(get({table}, CAST(pmod(h, {BUCKETS}) AS INT)) AS BIGINT), 56) | shiftrightunsigned(h, 8))"
-    lines = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.expr(f"sort_array({coded})").alias("tokens")).where("size(tokens) > 0")
-    sig = "aggregate(tokens, 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT)))"
-    return lines.select("doc_id", "line_no", "tokens", F.size("tokens").alias("n"), F.expr(sig).alias("sig"), F.xxhash64("tokens").alias("key"))
+    coded = distinct.select("doc_id", "line_no", *_KEY, F.sort_array(F.transform("_t", code)).alias("_c"))
+    sig = "aggregate(_c, 0L, (a, x) -> a ^ shiftleft(1L, x & 63))"
+    prefix = f"slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1)"
+    made = coded.select("doc_id", "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig).alias("sig"), F.expr(prefix).alias("prefix"))
+    grouped = made.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    return grouped.withColumn("id", F.monotonically_increasing_id())
 
 
 def _close(a: str, b: str) -> str:
@@ -65,34 +91,30 @@ def _enough(overlap: str, a: str, b: str) -> str:
 def line_duplicates(docs: DataFrame) -> DataFrame:
     """One row per doc_id with lines that go: doc_id and removed (their numbers, in order)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = split_lines(docs, rarity_levels(docs))
-    prefix = f"slice(tokens, 1, n - CAST(ceil(n * {NUM} / {DEN}) AS INT) + 1)"
-    grouped = lines.groupBy("key", "sig", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("copies"), F.first(F.expr(prefix)).alias("prefix"))
-    classes = saved(grouped.withColumn("id", F.monotonically_increasing_id()))
+    classes = saved(line_classes(docs, rarity_levels(docs)))
 
     met = classes.select("id", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
-    first_common = _enough("1 + least(a.n - a.pos, b.n - b.pos) - 1", "a", "b")
-    similar = F.expr(f"a.token = b.token AND a.id <> b.id AND {_close('a', 'b')} AND {first_common}")
-    contested = saved(met.alias("a").join(met.alias("b"), similar, "left_semi").select("id", "token"))
-    heads = saved(contested.groupBy("token").agg(F.min("id").alias("head")))
-    edges = contested.join(heads, "token").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    comps = components(edges)
-
-    places = comps.join(classes.select("id", "key", "sig", "n", "at"), "id")
-    wanted = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "id", "comp", "key", "sig", "n")).alias("wanted"))
-    wanted = wanted.select(F.col("doc_id").alias("_doc"), "wanted")
-    text = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text", F.explode("wanted").alias("w"))
-    line = text.select("doc_id", F.get(F.split("text", "\n"), F.col("w.line_no")).alias("line"), "w").where("line is not null")
-    hashed = f"sort_array(transform(array_distinct(filter({_SPLIT.format('line')}, x -> x <> '')), x -> xxhash64(x)))"
-    members = line.select("w.id", "w.comp", "w.n", "w.sig", F.struct("doc_id", "w.line_no").alias("at"), F.expr(hashed).alias("tokens")).where("size(tokens) = n")
-    members = saved(members)
+    # as if the token were the first that the two have in common
+    allowed = f"a.token = b.token AND a.id <> b.id AND {_close('a', 'b')} AND {_enough('least(a.n - a.pos, b.n - b.pos)', 'a', 'b')}"
+    contested = saved(met.alias("a").join(met.alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
+    before = contested.join(classes.select("id", "n", "sig", "prefix"), "id").select("id", "n", "sig", "pos", "token", F.expr("slice(prefix, 1, pos)").alias("before"))
+    first = f"{allowed} AND NOT arrays_overlap(a.before, b.before)"
+    contested = saved(before.alias("a").join(before.alias("b"), F.expr(first), "left_semi").select("id", "token"))
+
+    wanted = contested.select("id").distinct().join(classes.select("id", "n", "sig", "at"), "id")
+    wanted = wanted.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "id", "n", "sig")).alias("wanted"))
+    text = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", F.split("text", "\n").alias("lines"), "wanted")
+    line = text.select("doc_id", "lines", F.explode("wanted").alias("w")).select("doc_id", F.get("lines", F.col("w.line_no")).alias("line"), "w").where("line is not null")
+    hashed = f"transform(array_remove(array_distinct({tokens('line')}), ''), x -> xxhash64(x))"
+    members = line.select("w.id", "w.n", "w.sig", F.struct("doc_id", "w.line_no").alias("at"), F.expr(hashed).alias("tokens")).where("size(tokens) = n")
+    full = saved(members.hint("merge").join(contested, "id"))
     same = _enough("size(array_intersect(a.tokens, b.tokens))", "a", "b")
-    later = F.expr(f"a.comp = b.comp AND b.at < a.at AND {_close('a', 'b')} AND {same}")
-    gone = members.alias("a").join(members.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
+    later = F.expr(f"a.token = b.token AND b.at < a.at AND {_close('a', 'b')} AND {same}")
+    gone = full.alias("a").join(full.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
 
-    fate = classes.select("id", "key", "sig", "n", "at", "copies").join(gone, F.col("id") == F.col("gone"), "left").where("copies > 1 or gone is not null")
-    fate = saved(fate.select("key", "sig", "n", "at", F.col("gone").isNotNull().alias("all_go")))
-    hit = lines.select("doc_id", "line_no", "key", "sig", "n").join(fate, ["key", "sig", "n"]).where("all_go or at <> struct(doc_id, line_no)")
+    fate = classes.select("id", *_KEY, "at", "copies").join(gone, F.col("id") == F.col("gone"), "left").where("copies > 1 or gone is not null")
+    fate = saved(fate.select(*_KEY, "at", F.col("gone").isNotNull().alias("all_go")))
+    hit = places(docs).drop("line").join(fate, _KEY).where("all_go or at <> struct(doc_id, line_no)")
     return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
