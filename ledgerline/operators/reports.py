@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.periods import BUCKET_KEYS
 from ledgerline.functions.pricing import SYNTHETIC, TOKENS, billable
 
 
@@ -31,8 +32,10 @@ def billed(priced: DataFrame) -> DataFrame:
     return priced.where(billable(F.col("model")))
 
 
-def with_sessions(priced: DataFrame, sessions: DataFrame) -> DataFrame:
-    return priced.join(sessions.where("visible").select("session_id", "project", "title", "started", "ended"), "session_id")
+def with_sessions(priced: DataFrame, sessions: DataFrame, visible: bool = False) -> DataFrame:
+    """Requests with their session's columns; of visible sessions only where ``visible``."""
+    shown = sessions.where("visible") if visible else sessions
+    return priced.join(shown.select("session_id", "project", "title", "started", "ended"), "session_id")
 
 
 def total_cost(priced: DataFrame) -> DataFrame:
@@ -59,25 +62,25 @@ def model_usage(priced: DataFrame) -> DataFrame:
 
 
 def usage_buckets(priced: DataFrame, unit: str) -> DataFrame:
-    """Cost, requests and tokens by day or hour; this token count leaves reasoning out."""
+    """Cost, requests and tokens by day, hour, week or month; this token count leaves reasoning out."""
     tokens = sum((F.col(c) for c in TOKENS if c != "reasoning_tokens"), F.lit(0).cast("long"))
-    return billed(priced).groupBy(F.date_trunc(unit, "timestamp").alias("bucket")).agg(cost_sum(), F.count("*").alias("requests"), F.sum(tokens).alias("tokens"))
+    return billed(priced).groupBy(BUCKET_KEYS[unit](F.col("timestamp")).alias("bucket")).agg(cost_sum(), F.count("*").alias("requests"), F.sum(tokens).alias("tokens"))
 
 
 def activity(priced: DataFrame, turns: DataFrame) -> DataFrame:
     """Requests, sessions with a request, and all turns, sidechain ones too. Two aggregates of one row each."""
     counts = billed(priced).agg(F.count("*").alias("requests"), F.countDistinct("session_id").alias("sessions"))
-    return counts.withColumn("turns", turns.agg(F.count("*")).scalar())
+    return counts.withColumn("turns", turns.agg(F.count("start_time")).scalar())
 
 
 def starts(df: DataFrame, column: str, unit: str) -> DataFrame:
-    return df.groupBy(F.date_trunc(unit, column).alias("bucket")).agg(F.count("*").alias("starts"))
+    return df.where(F.col(column).isNotNull()).groupBy(BUCKET_KEYS[unit](F.col(column)).alias("bucket")).agg(F.count("*").alias("starts"))
 
 
 def skill_requests(skills: DataFrame, steps: DataFrame, priced: DataFrame) -> DataFrame:
     """skills (session, turn, skill) with the requests of their turns. Steps are made distinct by request first, as
     many steps share one request and would count it again."""
-    bridge = steps.select("session_id", "turn_id", "request_id").distinct()
+    bridge = steps.where("request_id is not null").select("session_id", "turn_id", "request_id").distinct()
     paid = priced.select(F.col("id").alias("request_id"), "model", "cost_usd")
     return skills.join(bridge, ["session_id", "turn_id"], "left").join(paid, "request_id", "left")
 
@@ -97,12 +100,12 @@ def primary_models(costs: DataFrame, key: str) -> DataFrame:
 
 
 def top_sessions(priced: DataFrame, sessions: DataFrame, n: int) -> DataFrame:
-    sums = with_sessions(billed(priced), sessions).groupBy("session_id", "title", "project").agg(F.count("*").alias("requests"), cost_sum())
+    sums = with_sessions(billed(priced), sessions, visible=True).groupBy("session_id", "title", "project").agg(F.count("*").alias("requests"), cost_sum())
     return sums.orderBy(F.desc("cost_usd"), "session_id").limit(n)
 
 
 def visible_sessions(priced: DataFrame, sessions: DataFrame) -> DataFrame:
-    return with_sessions(billed(priced), sessions).agg(F.countDistinct("session_id").alias("sessions"))
+    return with_sessions(billed(priced), sessions, visible=True).agg(F.countDistinct("session_id").alias("sessions"))
 
 
 def cost_by_model(priced: DataFrame) -> DataFrame:
