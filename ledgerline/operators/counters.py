@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.conversation import closest
+from ledgerline.plans.scratch import cut
 
 USAGE = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
 #: A fork's copied events come within so many seconds of its creation.
@@ -120,7 +121,8 @@ def requests(events: DataFrame, sessions: DataFrame) -> DataFrame:
     known = carried(events)
     user_seen = F.coalesce(F.max(is_user("event").cast("int")).over(_piece()), F.lit(0))
     tokens = known.withColumn("_live", user_seen).where("type = 'event_msg' and payload_type = 'token_count'")
-    used = resolve_usage(tokens).where("usage is not null").join(sessions.select("piece", "session_id", F.col("model").alias("_model"), "created", "forked", "subagent"), "piece")
+    resolved = cut(resolve_usage(tokens).where("usage is not null"))  # written out, as what follows reads each field often
+    used = resolved.join(sessions.select("piece", "session_id", F.col("model").alias("_model"), "created", "forked", "subagent"), "piece")
     lag = F.col("ts").cast("timestamp").cast("double") - F.col("created").cast("timestamp").cast("double")
     replay = (F.col("_live") == 0) & ~F.col("subagent") & F.col("forked") & lag.between(0, REPLAY_SECONDS)
     kept = used.where(~F.coalesce(replay, F.lit(False)))
