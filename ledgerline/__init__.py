@@ -1 +1,8 @@
-"""Spark-native usage analytics for coding-assistant session logs."""
+"""Usage analytics and training-data operators on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so that executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
