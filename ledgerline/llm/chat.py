@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -50,15 +49,19 @@ def unescape(text: str) -> str:
     return "".join(out) + text[k:]
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
+    """The tokenizer of a vocabulary file; a worker process keeps it in the library's own registry."""
     import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    n = max(ranks.values()) + 1
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={START: n, END: n + 1})
+    from tiktoken.registry import ENCODINGS
+
+    name = f"chat:{path}"
+    if name not in ENCODINGS:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        n = max(ranks.values()) + 1
+        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={START: n, END: n + 1})
+    return ENCODINGS[name]
 
 
 def encode(enc, text: str) -> list[int]:

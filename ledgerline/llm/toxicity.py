@@ -17,9 +17,9 @@ from ledgerline.llm.common import WordHashes, find_words, mixed, small_batches
 BITS = 18
 #: At most about so many labelled rows are learnt from, taken evenly by a hash of doc_id.
 MAX_TRAIN_ROWS = 12_000
-PAIR_VALUE = 0.3
+PAIR_VALUE = 0.1
 #: A toxic row is learnt so often in an epoch, since toxic rows are rare.
-TOXIC_WEIGHT = 3
+TOXIC_WEIGHT = 6
 EDGES = ".,;:!?\"'()[]{}|*#$%&<>"
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -52,7 +52,7 @@ def _featured(batches):
 class Ftrl:
     """Per-coordinate FTRL-proximal for features that are there or not; a last coordinate is the bias, without L1."""
 
-    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
