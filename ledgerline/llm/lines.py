@@ -119,14 +119,15 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without the lines in ``found``; n_chars, if there, follows the text."""
-    named = found.select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    both = docs.join(named.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    out = both.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """The rows of ``docs`` without the lines in ``found``; n_chars, if there, follows the text. Other columns stay as
+    they are, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
+    both = rows.join(found.select(F.col("doc_id").alias("found"), "removed").hint("merge"), F.col("key").eqNullSafe(F.col("found")), "left")
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    cut = both.withColumn("cut", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept))
+    n_chars = lambda kind: F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(kind).alias("n_chars")
+    made = {"text": lambda f: F.col("cut").cast(f.dataType).alias("text"), "n_chars": lambda f: n_chars(f.dataType)}
+    return cut.select(*(made[f.name](f) if f.name in made else F.col("row").getField(f.name).alias(f.name) for f in docs.schema))
 
 
 def op8_line_dedup(spark, sf_dir):

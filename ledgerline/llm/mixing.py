@@ -51,25 +51,26 @@ def copies(rate, doc_id):
 
 
 def with_rates(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` with _size, _source_size, _target and _copies. Only source and size are aggregated, and
-    the rates of the sources are written out, so the join back broadcasts them if they prove small and shuffles else."""
-    sized = docs.withColumn("_size", count_words(F.col("text")))
-    rates = saved(source_rates(sized.select("source", F.col("_size").alias("size")), weights))
-    rates = rates.select(F.coalesce("source", F.lit("")).alias("_s1"), F.col("source").isNull().alias("_s2"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    both = sized.join(rates, (F.coalesce("source", F.lit("")) == F.col("_s1")) & (F.col("source").isNull() == F.col("_s2")))
-    return both.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"))).drop("_s1", "_s2", "_rate")
+    """Each row of ``docs`` as a struct, row, with its size, source_size, target and copies. Only source and size are
+    aggregated, and the rates of the sources are written out, so the join back broadcasts them if they prove small and
+    shuffles else."""
+    sized = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"))
+    rates = saved(source_rates(sized.select("source", "size"), weights))
+    rates = rates.select(F.coalesce("source", F.lit("")).alias("named"), F.col("source").isNull().alias("unnamed"), "source_size", "target", "rate")
+    both = sized.join(rates, (F.coalesce("source", F.lit("")) == F.col("named")) & (F.col("source").isNull() == F.col("unnamed")))
+    return both.select("row", "size", "source_size", "target", copies(F.col("rate"), F.col("row.doc_id")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Every document as often as its source's rate says; columns as in ``docs``, and copy (from 0)."""
-    taken = with_rates(docs, weights).where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)))
-    return taken.select(*docs.columns, "copy")
+    """Every document as often as its source's rate says; columns as in ``docs``, and copy (from 0), which takes the
+    place of a column of that name."""
+    taken = with_rates(docs, weights).where("copies > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "copy"), "copy")
 
 
 def op7_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    mixed = with_rates(docs)
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return with_rates(docs).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def rates_sql(docs: str) -> str:

@@ -218,8 +218,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but those of which a class keeps another: each class keeps its document of least doc_id.
     Rows that share a doc_id stay or go together; rows with a null doc_id stay."""
     found = near_duplicates(docs)
-    gone = saved(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = saved(found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
+    return rows.join(gone.hint("merge"), F.col("key") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op3_near_duplicates(spark, sf_dir):
