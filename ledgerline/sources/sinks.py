@@ -21,7 +21,7 @@ def csv_cells(df: DataFrame) -> DataFrame:
     """All columns as text: doubles with six decimals, strings guarded."""
     def cell(name: str, kind: str) -> Column:
         if kind in ("double", "float"):
-            return F.format_string("%.6f", F.col(name).cast("double"))
+            return F.when(F.col(name).isNotNull(), F.format_string("%.6f", F.col(name).cast("double")))
         return guarded(F.col(name)) if kind == "string" else F.col(name).cast("string")
 
     return df.select(*(cell(n, k).alias(n) for n, k in df.dtypes))
