@@ -36,22 +36,20 @@ _KEY = ["key", "key2"]
 
 
 def tokens(text: str) -> str:
-    """SQL for the words of a text column, with an empty one at times. A split at one character needs no pattern."""
-    for c in ("\\t", "\\n", "\\u000B", "\\u000C", "\\r"):
-        text = f"replace({text}, '{c}', ' ')"
-    return f"split({text}, ' ')"
+    """SQL for the words of a text column, with an empty one at times."""
+    return rf"split({text}, '[\\x20\\x09-\\x0D]+')"
 
 
-def rarity_levels(docs: DataFrame) -> bytes:
-    """How common the tokens of each bucket are over all documents, in LEVELS steps of a logarithmic scale, from 1."""
+def rarity_levels(docs: DataFrame) -> list[int]:
+    """How common the tokens of each bucket are over all documents, in LEVELS steps of a logarithmic scale."""
     words = docs.select(F.explode(F.expr(tokens("text"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()  # BUCKETS rows at most
-    levels = bytearray([1]) * BUCKETS
+    levels = [0] * BUCKETS
     most = max((r["count"] for r in counts), default=1)
     least = min((r["count"] for r in counts), default=1)
     for r in counts:
-        levels[r["bucket"]] = 1 + int((LEVELS - 1) * math.log(r["count"] / least) / math.log(most / least + 1e-9)) if most > least else 1
-    return bytes(levels)
+        levels[r["bucket"]] = int((LEVELS - 1) * math.log(r["count"] / least) / math.log(most / least)) if most > least else 0
+    return levels
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -60,18 +58,13 @@ def places(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("key"), F.hash("line").alias("key2"))
 
 
-def line_classes(docs: DataFrame, levels: bytes) -> DataFrame:
+def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
     """One row per distinct line with a word: key, at (its first place), copies, n (distinct tokens), sig (parity of the
     tokens by bit) and prefix (codes of tokens, rarest first: level, then 26 bits of the hash)."""
     distinct = places(docs).withColumn("_t", F.expr(f"array_remove(array_distinct({tokens('line')}), '')")).where("size(_t) > 0")
-    table = F.lit(levels)
-
-    def code(w):
-        h = F.xxhash64(w)
-        level = F.ascii(F.substring(table, (h.bitwiseAND(BUCKETS - 1) + 1).cast("int"), F.lit(1)).cast("string")) - 1
-        return F.shiftleft(level, 26).bitwiseOR(F.shiftrightunsigned(h, 38).cast("int"))
-
-    coded = distinct.select("doc_id", "line_no", *_KEY, F.sort_array(F.transform("_t", code)).alias("_c"))
+    table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<INT>)"  # folded into one constant
+    code = f"shiftleft(get({table}, CAST(xxhash64(w) & {BUCKETS - 1} AS INT)), 26) | CAST(shiftrightunsigned(xxhash64(w), 38) AS INT)"
+    coded = distinct.select("doc_id", "line_no", *_KEY, F.expr(f"sort_array(transform(_t, w -> {code}))").alias("_c"))
     sig = "aggregate(_c, 0L, (a, x) -> a ^ shiftleft(1L, x & 63))"
     prefix = f"slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1)"
     made = coded.select("doc_id", "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig).alias("sig"), F.expr(prefix).alias("prefix"))
@@ -96,7 +89,8 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     met = classes.select("id", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
     # as if the token were the first that the two have in common
     allowed = f"a.token = b.token AND a.id <> b.id AND {_close('a', 'b')} AND {_enough('least(a.n - a.pos, b.n - b.pos)', 'a', 'b')}"
-    contested = saved(met.alias("a").join(met.alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
+    # a hash join: tokens of prefixes are rare, and a partition's rows are few numbers each, so there is no need to sort
+    contested = saved(met.alias("a").join(met.alias("b").hint("shuffle_hash"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
     before = contested.join(classes.select("id", "n", "sig", "prefix"), "id").select("id", "n", "sig", "pos", "token", F.expr("slice(prefix, 1, pos)").alias("before"))
     first = f"{allowed} AND NOT arrays_overlap(a.before, b.before)"
     contested = saved(before.alias("a").join(before.alias("b"), F.expr(first), "left_semi").select("id", "token"))
@@ -109,7 +103,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     members = line.select("w.id", "w.n", "w.sig", F.struct("doc_id", "w.line_no").alias("at"), F.expr(hashed).alias("tokens")).where("size(tokens) = n")
     full = saved(members.hint("merge").join(contested, "id"))
     same = _enough("size(array_intersect(a.tokens, b.tokens))", "a", "b")
-    later = F.expr(f"a.token = b.token AND b.at < a.at AND {_close('a', 'b')} AND {same}")
+    later = F.expr(f"a.token = b.token AND a.id <> b.id AND b.at < a.at AND {_close('a', 'b')} AND {same}")
     gone = full.alias("a").join(full.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
 
     fate = classes.select("id", *_KEY, "at", "copies").join(gone, F.col("id") == F.col("gone"), "left").where("copies > 1 or gone is not null")
