@@ -31,13 +31,21 @@ NUM, DEN = 4, 5
 #: Tokens are counted in so many buckets by hash, which bounds what the driver and each task hold.
 BUCKETS = 1 << 18
 LEVELS = 32
+BITMAP_WORDS = 1 << 16
 #: A line's identity: 96 bits of its hashes.
 _KEY = ["key", "key2"]
 
 
 def tokens(text: str) -> str:
-    """SQL for the words of a text column, with an empty one at times."""
-    return rf"split({text}, '[\\x20\\x09-\\x0D]+')"
+    """SQL for the words of a text column, with empty ones at times. A split at one character needs no pattern."""
+    for c in ("\\t", "\\n", "\\u000B", "\\u000C", "\\r"):
+        text = f"replace({text}, '{c}', ' ')"
+    return f"split({text}, ' ')"
+
+
+def token_hashes(text: str) -> str:
+    """SQL for the distinct hashes of a text's words."""
+    return f"array_remove(array_distinct(transform({tokens(text)}, w -> xxhash64(w))), xxhash64(''))"
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
@@ -61,10 +69,10 @@ def places(docs: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
     """One row per distinct line with a word: key, at (its first place), copies, n (distinct tokens), sig (parity of the
     tokens by bit) and prefix (codes of tokens, rarest first: level, then 26 bits of the hash)."""
-    distinct = places(docs).withColumn("_t", F.expr(f"array_remove(array_distinct({tokens('line')}), '')")).where("size(_t) > 0")
+    hashed = places(docs).withColumn("_h", F.expr(token_hashes("line"))).where("size(_h) > 0")
     table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<INT>)"  # folded into one constant
-    code = f"shiftleft(get({table}, CAST(xxhash64(w) & {BUCKETS - 1} AS INT)), 26) | CAST(shiftrightunsigned(xxhash64(w), 38) AS INT)"
-    coded = distinct.select("doc_id", "line_no", *_KEY, F.expr(f"sort_array(transform(_t, w -> {code}))").alias("_c"))
+    code = f"shiftleft(get({table}, CAST(h & {BUCKETS - 1} AS INT)), 26) | CAST(shiftrightunsigned(h, 38) AS INT)"
+    coded = hashed.select("doc_id", "line_no", *_KEY, F.expr(f"sort_array(transform(_h, h -> {code}))").alias("_c"))
     sig = "aggregate(_c, 0L, (a, x) -> a ^ shiftleft(1L, x & 63))"
     prefix = f"slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1)"
     made = coded.select("doc_id", "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig).alias("sig"), F.expr(prefix).alias("prefix"))
@@ -81,6 +89,18 @@ def _enough(overlap: str, a: str, b: str) -> str:
     return f"({overlap}) * {DEN + NUM} >= ({a}.n + {b}.n) * {NUM}"
 
 
+def _maybe_in(wanted: DataFrame):
+    """A bitmap of BITMAP_WORDS * 64 bits over keys, as a condition: false for most lines that ``wanted`` has not, so that
+    those are dropped before they are shuffled. Its size is fixed; with more keys it only lets more lines through."""
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(key, 16) & 63 AS INT))")
+    rows = wanted.groupBy(F.expr(f"CAST(key & {BITMAP_WORDS - 1} AS INT)").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # BITMAP_WORDS rows at most
+    words = [0] * BITMAP_WORDS
+    for r in rows:
+        words[r["word"]] = r["bits"]
+    table = f"CAST(split('{','.join(map(str, words))}', ',') AS ARRAY<BIGINT>)"
+    return F.expr(f"get({table}, CAST(key & {BITMAP_WORDS - 1} AS INT)) & shiftleft(1L, CAST(shiftrightunsigned(key, 16) & 63 AS INT)) <> 0")
+
+
 def line_duplicates(docs: DataFrame) -> DataFrame:
     """One row per doc_id with lines that go: doc_id and removed (their numbers, in order)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -89,22 +109,18 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     met = classes.select("id", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
     # as if the token were the first that the two have in common
     allowed = f"a.token = b.token AND a.id <> b.id AND {_close('a', 'b')} AND {_enough('least(a.n - a.pos, b.n - b.pos)', 'a', 'b')}"
-    # a hash join: tokens of prefixes are rare, and a partition's rows are few numbers each, so there is no need to sort
-    contested = saved(met.alias("a").join(met.alias("b").hint("shuffle_hash"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
+    contested = saved(met.alias("a").join(met.select(met.columns).alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
     before = contested.join(classes.select("id", "n", "sig", "prefix"), "id").select("id", "n", "sig", "pos", "token", F.expr("slice(prefix, 1, pos)").alias("before"))
     first = f"{allowed} AND NOT arrays_overlap(a.before, b.before)"
-    contested = saved(before.alias("a").join(before.alias("b"), F.expr(first), "left_semi").select("id", "token"))
-
-    wanted = contested.select("id").distinct().join(classes.select("id", "n", "sig", "at"), "id")
-    wanted = wanted.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "id", "n", "sig")).alias("wanted"))
-    text = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", F.split("text", "\n").alias("lines"), "wanted")
-    line = text.select("doc_id", "lines", F.explode("wanted").alias("w")).select("doc_id", F.get("lines", F.col("w.line_no")).alias("line"), "w").where("line is not null")
-    hashed = f"transform(array_remove(array_distinct({tokens('line')}), ''), x -> xxhash64(x))"
-    members = line.select("w.id", "w.n", "w.sig", F.struct("doc_id", "w.line_no").alias("at"), F.expr(hashed).alias("tokens")).where("size(tokens) = n")
-    full = saved(members.hint("merge").join(contested, "id"))
+    contested = saved(before.alias("a").join(before.select(before.columns).alias("b"), F.expr(first), "left_semi").select("id", "token"))
+
+    wanted = saved(contested.select("id").distinct().join(classes.select("id", "n", "sig", "at", *_KEY), "id"))
+    lines = places(docs).where(_maybe_in(wanted)).join(wanted.hint("merge"), _KEY).where("at = struct(doc_id, line_no)")
+    members = lines.select("id", "n", "sig", "at", F.expr(token_hashes("line")).alias("tokens"))
+    full = members.hint("merge").join(contested, "id").select("token", "id", "n", "sig", "at", "tokens")
     same = _enough("size(array_intersect(a.tokens, b.tokens))", "a", "b")
     later = F.expr(f"a.token = b.token AND a.id <> b.id AND b.at < a.at AND {_close('a', 'b')} AND {same}")
-    gone = full.alias("a").join(full.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
+    gone = full.alias("a").join(full.select(full.columns).alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
 
     fate = classes.select("id", *_KEY, "at", "copies").join(gone, F.col("id") == F.col("gone"), "left").where("copies > 1 or gone is not null")
     fate = saved(fate.select(*_KEY, "at", F.col("gone").isNotNull().alias("all_go")))
