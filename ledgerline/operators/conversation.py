@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import file_paths, markdown_targets
 from ledgerline.plans.scratch import cut
 from ledgerline.sources.logs import INTERRUPTIONS
 
@@ -204,7 +205,7 @@ def turn_locators(steps: DataFrame, links: DataFrame) -> DataFrame:
 
 def dedup_attachments(refs: DataFrame) -> DataFrame:
     """One row per turn and locator: that of the highest priority, at the first position of any."""
-    best = refs.groupBy("session_id", "turn_id", "locator").agg(F.max_by(F.struct("kind", "origin"), F.struct("priority", -F.col("pos"), "kind", "origin")).alias("b"), F.min("pos").alias("pos"))
+    best = refs.groupBy("session_id", "turn_id", "locator").agg(F.min_by(F.struct("kind", "origin"), F.struct(-F.col("priority"), "pos", "kind", "origin")).alias("b"), F.min("pos").alias("pos"))
     return best.select("session_id", "turn_id", "locator", "b.kind", "b.origin", "pos")
 
 
@@ -255,3 +256,47 @@ def story_folds(blocks: DataFrame, most: int = 200, head: int = 1, tail: int = 3
     turn = Window.partitionBy("session_id", "turn_id")
     placed = blocks.withColumn("_n", F.count("*").over(turn)).withColumn("_k", F.row_number().over(turn.orderBy("ts", "place")))
     return placed.withColumn("folded", (F.col("_n") > most) & (F.col("_k") > head) & (F.col("_k") <= F.col("_n") - tail)).drop("_n", "_k")
+
+
+def depths(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """How many ancestors each line has, by pointer doubling: session_id, uuid, depth. A parent that is no line of the
+    session counts for none; lines on a cycle have no depth."""
+    known = links.select("session_id", F.col("uuid").alias("parent_uuid"), F.lit(True).alias("_known"))
+    linked = links.join(known, ["session_id", "parent_uuid"], "left").select("session_id", "uuid", F.when(F.col("_known"), F.col("parent_uuid")).alias("ptr"))
+    state = cut(linked.withColumn("depth", F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long")))
+    for _ in range(rounds):
+        up = state.select(F.col("session_id").alias("_s"), F.col("uuid").alias("_u"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"))
+        both = state.join(up, (F.col("session_id") == F.col("_s")) & (F.col("ptr") == F.col("_u")), "left")
+        state = cut(both.select("session_id", "uuid", F.col("_ptr").alias("ptr"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+        if state.where("ptr is not null").isEmpty():
+            break
+    return state.select("session_id", "uuid", F.when(F.col("ptr").isNull(), F.col("depth")).alias("depth"))
+
+
+# The origins of attachments, by which duplicates are decided; the first is the strongest.
+ORIGINS = ["prompt-image", "prompt-image-meta", "prompt-mention", "tool-input", "tool-output", "reply-mention"]
+
+
+def attachments(steps: DataFrame, nearest: DataFrame | None = None) -> DataFrame:
+    """Files, images and links that steps refer to: session_id, turn_id, locator, kind, origin, priority and pos. Images
+    in prompts, paths mentioned in prompts, the file or address a tool is called with, paths in results that are no
+    errors, and link targets in replies. ``nearest`` has the image lines' paths by prompt (see attach_images)."""
+    base = ["session_id", "turn_id", "ts", "place"]
+    named = lambda df, origin, kind, locator: df.select(*base, F.lit(origin).alias("origin"), kind.alias("kind"), locator.alias("locator"))
+    file_or_link = lambda x: F.when(x.rlike("^https?://"), "url").otherwise("file")
+    prompts, replies = steps.where("kind = 'prompt'"), steps.where(F.col("kind").isin("reply", "thought", "stop"))
+    images = prompts.select(*base, "uuid", F.posexplode("images").alias("n", "media"))
+    out = named(images, "prompt-image", F.lit("image"), F.concat_ws("#", F.col("uuid").cast("string"), F.col("n").cast("string")))
+    if nearest is not None:
+        paths = prompts.join(nearest.withColumnRenamed("prompt", "uuid"), ["session_id", "uuid"]).select(*base, F.explode("paths").alias("x"))
+        out = out.unionByName(named(paths, "prompt-image-meta", F.lit("image"), F.col("x")))
+    mentions = prompts.select(*base, F.explode(file_paths(F.col("text"))).alias("x"))
+    called = steps.select(*base, F.explode("tools").alias("c"))
+    target = F.coalesce(*(F.get_json_object("c.input", f"$.{k}") for k in ("file_path", "notebook_path", "path", "url")))
+    called = called.withColumn("x", target).where("x is not null")
+    results = steps.select(*base, F.explode("results").alias("r")).where("not r.is_error").select(*base, F.explode(file_paths(F.col("r.content"))).alias("x"))
+    said = replies.select(*base, F.explode(F.array_union(markdown_targets(F.col("text")), file_paths(F.col("text")))).alias("x"))
+    for origin, df in (("prompt-mention", mentions), ("tool-input", called), ("tool-output", results), ("reply-mention", said)):
+        out = out.unionByName(named(df, origin, file_or_link(F.col("x")), F.col("x")))
+    priority = F.lit(len(ORIGINS)) - F.array_position(F.array(*map(F.lit, ORIGINS)), F.col("origin"))
+    return out.select("session_id", "turn_id", "locator", "kind", "origin", priority.cast("int").alias("priority"), F.struct("ts", "place").alias("pos"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.conversation import closest
+from ledgerline.operators.conversation import closest, depths
 from ledgerline.plans.scratch import cut
 
 USAGE = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
@@ -286,3 +286,23 @@ def child_totals(parents: DataFrame, children: DataFrame, values: list[str]) ->
     sums = children.groupBy("parent_turn").agg(*(F.sum(v).alias(f"_{v}") for v in values), F.bool_and(F.col(values[0]).isNotNull()).alias("_complete"))
     both = parents.join(sums, parents["turn"] == sums["parent_turn"], "left")
     return both.select(*(c for c in parents.columns if c not in values), *((F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values), F.coalesce("_complete", F.lit(True)).alias("complete"))
+
+
+# Line types of provider B that are read.
+KNOWN_TYPES = ["session_meta", "turn_context", "event_msg", "response_item", "task_started", "task_complete", "turn_aborted", "compacted"]
+
+
+def line_diagnostics(events: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Counts by piece and category: malformed lines, unknown types, and token events that were skipped."""
+    category = F.when(F.col("malformed"), "malformed").when(~F.coalesce(F.col("type").isin(KNOWN_TYPES), F.lit(False)), F.concat(F.lit("unknown-type:"), F.coalesce("type", F.lit(""))))
+    odd = events.select("piece", category.alias("category")).where("category is not null")
+    skipped = resolved.where("skipped is not null").select("piece", F.concat(F.lit("usage-"), "skipped").alias("category"))
+    return odd.unionByName(skipped).groupBy("piece", "category").agg(F.count("*").alias("n"))
+
+
+def chain_order(sessions: DataFrame) -> DataFrame:
+    """Sessions with root and depth; a group's parents come before its children when ordered by (root, depth, created,
+    id). ``sessions``: id, parent, created."""
+    links = sessions.select(F.lit(0).alias("session_id"), F.col("id").alias("uuid"), F.col("parent").alias("parent_uuid"))
+    depth = depths(links).select(F.col("uuid").alias("id"), "depth")
+    return sessions.join(identity_roots(sessions.select("id", "parent")), "id").join(depth, "id")

@@ -145,3 +145,8 @@ def latest_severity(samples: DataFrame) -> DataFrame:
 def snap(percent: Column) -> Column:
     """Rounds away the jitter of repeated reports."""
     return F.round(percent, 4)
+
+
+def retained(samples: DataFrame, now, days: int = 30) -> DataFrame:
+    """Samples that the log keeps when it is rewritten."""
+    return samples.where(F.col("ts") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS"))

@@ -209,3 +209,21 @@ def pending(sources: DataFrame, since) -> DataFrame:
 
 def diagnostics_summary(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("category", "severity").agg(F.count("*").alias("n"), F.min("seen").alias("first_seen"))
+
+
+def recent_turns(turns: DataFrame, sessions: DataFrame, n: int) -> DataFrame:
+    """The latest n turns off sidechains of visible sessions."""
+    own = turns.where(~F.col("is_sidechain") & F.col("start_time").isNotNull())
+    both = own.join(sessions.where("visible").select("session_id", "title"), "session_id")
+    return both.orderBy(F.desc("start_time"), "session_id", "turn_id").limit(n)
+
+
+def primary_sources(files: DataFrame) -> DataFrame:
+    """Each session's main file: the newest that is no sub-agent's, of equal ones the first by path."""
+    return files.where(~F.col("is_subagent")).groupBy("session_id").agg(F.min_by("path", F.struct(-F.unix_micros(F.col("modified").cast("timestamp")), "path")).alias("path"))
+
+
+def page_window(total: int, shown: int, step: int = 50) -> tuple[int, int]:
+    """How many rows of ``total`` are shown after ``shown`` were asked for, and how many one more page adds."""
+    visible = min(total, max(shown, step))
+    return visible, min(step, total - visible)

@@ -128,7 +128,7 @@ def model_summary(spark, sf):
     return C.model_summary(steps)
 
 
-@query("deduped_attachments", "WITH r AS (SELECT l_orderkey % 500 AS session_id, l_suppkey AS turn_id, l_partkey % 20 AS locator, l_shipdate AS kind, l_returnflag AS origin, l_linenumber % 3 AS priority, l_orderkey * 10 + l_linenumber AS pos FROM lineitem) SELECT session_id, turn_id, locator, origin, min(pos) OVER (PARTITION BY session_id, turn_id, locator) AS pos FROM r QUALIFY row_number() OVER (PARTITION BY session_id, turn_id, locator ORDER BY priority DESC, pos, kind DESC, origin DESC) = 1")
+@query("deduped_attachments", "WITH r AS (SELECT l_orderkey % 500 AS session_id, l_suppkey AS turn_id, l_partkey % 20 AS locator, l_shipdate AS kind, l_returnflag AS origin, l_linenumber % 3 AS priority, l_orderkey * 10 + l_linenumber AS pos FROM lineitem) SELECT session_id, turn_id, locator, origin, min(pos) OVER (PARTITION BY session_id, turn_id, locator) AS pos FROM r QUALIFY row_number() OVER (PARTITION BY session_id, turn_id, locator ORDER BY priority DESC, pos, kind, origin) = 1")
 def deduped_attachments(spark, sf):
     refs = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("session_id"), F.col("l_suppkey").alias("turn_id"), (F.col("l_partkey") % 20).alias("locator"), F.col("l_shipdate").alias("kind"), F.col("l_returnflag").alias("origin"), (F.col("l_linenumber") % 3).alias("priority"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
     return C.dedup_attachments(refs).drop("kind")
@@ -234,3 +234,21 @@ def prompt_contains(spark, sf):
 def rejection_counts(spark, sf):
     rows = read(spark, sf, "events").select(F.expr("CASE event_type WHEN 'view' THEN 'unknown-type:x' WHEN 'error' THEN 'malformed' WHEN 'signup' THEN 'filtered' END").alias("rejection"), F.lit("f").alias("path"), F.col("event_id").alias("line"))
     return V.rejection_counts(rows).drop("latest")
+
+
+@query("line_depths", f"WITH {_ENTRIES_SQL} SELECT session_id, uuid, CAST(row_number() OVER (PARTITION BY session_id ORDER BY place) - 1 AS BIGINT) AS depth FROM entries")
+def line_depths(spark, sf):
+    """A conversation is one chain here, so a line's depth is its number."""
+    return C.depths(_entries(spark, sf).select("session_id", "uuid", "parent_uuid"))
+
+
+@query("attachments", f"WITH {_PROMPTS_SQL} SELECT conv_id AS session_id, turn, unnest([concat('/work/src/file', CAST(turn AS VARCHAR), '.py'), '/tmp/a.txt']) AS locator, 'prompt-mention' AS origin FROM prompts WHERE prompt LIKE 'see @%'")
+def attachments(spark, sf):
+    """Every row as a prompt of its own turn; tests cover images, tools and replies."""
+    rows = _prompts(spark, sf)
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    steps = rows.select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_id"), F.col("turn").alias("uuid"), F.lit(0).alias("ts"), F.lit(0).alias("place"), F.lit("prompt").alias("kind"), F.col("prompt").alias("text"),
+        empty("string").alias("images"), empty("struct<id:string,name:string,input:string>").alias("tools"), empty("struct<tool_use_id:string,content:string,is_error:boolean>").alias("results"),
+    )
+    return C.attachments(steps).select("session_id", F.col("turn_id").alias("turn"), "locator", "origin")

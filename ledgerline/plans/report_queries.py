@@ -325,3 +325,16 @@ def daily_changes(spark, sf):
 @query("over_budget", f"WITH {PRICED_SQL} SELECT round(coalesce(sum(cost_usd), 0) + 2.5e-10, 4) AS cost_usd, 100.0::DOUBLE AS budget_usd, coalesce(sum(cost_usd), 0) > 100.0 AS over_budget FROM priced")
 def over_budget(spark, sf):
     return rounded(R.total_cost(priced(spark, sf)).withColumns({"budget_usd": F.lit(100.0), "over_budget": F.col("cost_usd") > 100.0}), "cost_usd")
+
+
+@query("recent_turns", f"{_BOTH}, tt AS (SELECT session_id, min(timestamp) AS start_time, strftime(timestamp, '%Y-%m-%d') AS turn_id FROM billed WHERE NOT is_sidechain GROUP BY session_id, strftime(timestamp, '%Y-%m-%d')) SELECT tt.session_id, turn_id, s.title FROM tt JOIN sessions s USING (session_id) WHERE s.visible ORDER BY start_time DESC, tt.session_id, turn_id LIMIT 40")
+def recent_turns(spark, sf):
+    p = R.billed(priced(spark, sf)).where("not is_sidechain")
+    turns = p.groupBy("session_id", F.date_format("timestamp", "yyyy-MM-dd").alias("turn_id")).agg(F.min("timestamp").alias("start_time"), F.lit(False).alias("is_sidechain"))
+    return R.recent_turns(turns, sessions(spark, sf), 40).select("session_id", "turn_id", "title")
+
+
+@query("primary_sources", "SELECT o_custkey AS session_id, CAST(o_orderkey AS VARCHAR) AS path FROM orders WHERE o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) = 1")
+def primary_sources(spark, sf):
+    files = read(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderdate").alias("modified"), (F.col("o_orderstatus") == "P").alias("is_subagent"))
+    return R.primary_sources(files)

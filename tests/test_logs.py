@@ -161,3 +161,25 @@ def test_subagent_replay(spark):
     parents = spark.createDataFrame([(p, k, v) for p in (0, 1) for k, v in (("prompt", "old"), ("total", "5:0:5:0:10"))], "piece long, kind string, value string")
     kept = K.trim_subagent_replay(piece_lines(spark, pieces), parents)
     assert sorted((r["piece"], r["line"]) for r in kept.collect()) == [(0, 2), (0, 3), (0, 4), (1, 2), (2, 0)]
+
+
+def test_attachments(entries):
+    steps = assembled(entries[0]).withColumn("results", F.when(F.col("uuid") == "u4", F.expr("array(named_struct('tool_use_id', 't1', 'content', 'wrote /x/y.py', 'is_error', false))")).otherwise(F.col("results")))
+    steps = steps.withColumn("tools", F.when(F.col("uuid") == "u2", F.expr("""array(named_struct('id', 't1', 'name', 'Edit', 'input', '{"file_path":"/x/y.py"}'))""")).otherwise(F.col("tools")))
+    steps = steps.withColumn("text", F.when(F.col("uuid") == "u6", "see [it](https://a.org/b) and /x/y.py").when(F.col("uuid") == "u1", "fix /x/y.py").otherwise(F.col("text")))
+    nearest = entries[0].sparkSession.createDataFrame([("s", "u1", ["/a/b.png"])], "session_id string, prompt string, paths array<string>")
+    got = C.dedup_attachments(C.attachments(steps, nearest)).where("turn_id = 'u1'").collect()
+    assert {(r["locator"], r["kind"], r["origin"]) for r in got} == {("/x/y.py", "file", "prompt-mention"), ("https://a.org/b", "url", "reply-mention"), ("/a/b.png", "image", "prompt-image-meta")}
+
+
+def test_chain_order(spark):
+    rows = spark.createDataFrame([("a", None, 3), ("b", "a", 2), ("c", "b", 1), ("d", "gone", 0)], "id string, parent string, created long")
+    got = [(r["id"], r["root"], r["depth"]) for r in K.chain_order(rows).orderBy("root", "depth", "created", "id").collect()]
+    assert got == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "d", 0)]
+
+
+def test_line_diagnostics(spark):
+    lines = spark.createDataFrame([(1, 0, "no json"), (1, 1, '{"type":"novel"}'), *((1, 2 + k, json.dumps(event("token_count", info={"total_token_usage": usage(10)}))) for k in range(2))], "piece long, line long, value string")
+    events = L.decode_rollouts(lines)
+    found = K.line_diagnostics(events, K.resolve_usage(events.where("payload_type = 'token_count'")))
+    assert {r["category"]: r["n"] for r in found.collect()} == {"malformed": 1, "unknown-type:novel": 1, "usage-duplicate": 1}
