@@ -106,13 +106,14 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = saved(line_classes(docs, rarity_levels(docs)))
 
-    met = classes.select("id", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
+    # in the order of the table's columns, so that both sides of the join are one exchange
+    met = classes.select("n", "sig", "id", F.posexplode("prefix").alias("pos", "token"))
     # as if the token were the first that the two have in common
     allowed = f"a.token = b.token AND a.id <> b.id AND {_close('a', 'b')} AND {_enough('least(a.n - a.pos, b.n - b.pos)', 'a', 'b')}"
-    contested = saved(met.alias("a").join(met.select(met.columns).alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
+    contested = saved(met.alias("a").join(met.alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
     before = contested.join(classes.select("id", "n", "sig", "prefix"), "id").select("id", "n", "sig", "pos", "token", F.expr("slice(prefix, 1, pos)").alias("before"))
     first = f"{allowed} AND NOT arrays_overlap(a.before, b.before)"
-    contested = saved(before.alias("a").join(before.select(before.columns).alias("b"), F.expr(first), "left_semi").select("id", "token"))
+    contested = saved(before.alias("a").join(before.alias("b"), F.expr(first), "left_semi").select("id", "token"))
 
     wanted = saved(contested.select("id").distinct().join(classes.select("id", "n", "sig", "at", *_KEY), "id"))
     lines = places(docs).where(_maybe_in(wanted)).join(wanted.hint("merge"), _KEY).where("at = struct(doc_id, line_no)")
@@ -120,7 +121,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     full = members.hint("merge").join(contested, "id").select("token", "id", "n", "sig", "at", "tokens")
     same = _enough("size(array_intersect(a.tokens, b.tokens))", "a", "b")
     later = F.expr(f"a.token = b.token AND a.id <> b.id AND b.at < a.at AND {_close('a', 'b')} AND {same}")
-    gone = full.alias("a").join(full.select(full.columns).alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
+    gone = full.alias("a").join(full.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
 
     fate = classes.select("id", *_KEY, "at", "copies").join(gone, F.col("id") == F.col("gone"), "left").where("copies > 1 or gone is not null")
     fate = saved(fate.select(*_KEY, "at", F.col("gone").isNotNull().alias("all_go")))
