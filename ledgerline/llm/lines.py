@@ -89,6 +89,15 @@ def _enough(overlap: str, a: str, b: str) -> str:
     return f"({overlap}) * {DEN + NUM} >= ({a}.n + {b}.n) * {NUM}"
 
 
+#: What two lines can share at most, given their prefixes: what is in both, and the rest of the line whose prefix ends
+#: earlier in the order. Codes that stand for two tokens of a line count as shared as often.
+_TWICE = "(size(a.prefix) - size(array_distinct(a.prefix)))"
+_MOST_SHARED = (
+    f"size(array_intersect(a.prefix, b.prefix)) + {_TWICE} + if(element_at(a.prefix, -1) = element_at(b.prefix, -1), 1 + {_TWICE}, 0)"
+    " + if(element_at(a.prefix, -1) <= element_at(b.prefix, -1), a.n - size(a.prefix), b.n - size(b.prefix))"
+)
+
+
 def _maybe_in(wanted: DataFrame):
     """A bitmap of BITMAP_WORDS * 64 bits over keys, as a condition: false for most lines that ``wanted`` has not, so that
     those are dropped before they are shuffled. Its size is fixed; with more keys it only lets more lines through."""
@@ -111,9 +120,9 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     # as if the token were the first that the two have in common
     allowed = f"a.token = b.token AND a.id <> b.id AND {_close('a', 'b')} AND {_enough('least(a.n - a.pos, b.n - b.pos)', 'a', 'b')}"
     contested = saved(met.alias("a").join(met.alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
-    before = contested.join(classes.select("id", "n", "sig", "prefix"), "id").select("id", "n", "sig", "pos", "token", F.expr("slice(prefix, 1, pos)").alias("before"))
-    first = f"{allowed} AND NOT arrays_overlap(a.before, b.before)"
-    contested = saved(before.alias("a").join(before.alias("b"), F.expr(first), "left_semi").select("id", "token"))
+    seen = contested.join(classes.select("id", "n", "sig", "prefix"), "id").select("id", "n", "sig", "pos", "token", "prefix")
+    first = f"{allowed} AND {_enough(_MOST_SHARED, 'a', 'b')} AND NOT arrays_overlap(slice(a.prefix, 1, a.pos), slice(b.prefix, 1, b.pos))"
+    contested = saved(seen.alias("a").join(seen.alias("b"), F.expr(first), "left_semi").select("id", "token"))
 
     wanted = saved(contested.select("id").distinct().join(classes.select("id", "n", "sig", "at", *_KEY), "id"))
     lines = places(docs).where(_maybe_in(wanted)).join(wanted.hint("merge"), _KEY).where("at = struct(doc_id, line_no)")
