@@ -72,10 +72,9 @@ class WordHashes:
         except KeyError:
             if len(known) > _CACHED_WORDS:
                 known.clear()
-            norm = self.norm
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest((norm(w) if norm else w).encode("utf-8", "surrogatepass"))
+            norm, digest = self.norm, xxhash.xxh3_64_intdigest
+            for w in set(words).difference(known):
+                known[w] = digest((norm(w) if norm else w).encode("utf-8", "surrogatepass"))
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
