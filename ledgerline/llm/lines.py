@@ -6,10 +6,11 @@ only if their sizes, the positions of that token and a 64-bit parity sketch of t
 is left is verified on the full token sets. A line goes if an earlier line (lower doc_id, then lower line number,
 whether or not that line stays) is as similar.
 
-Lines without words never go; null texts have no lines. Rows that share a doc_id count as one document: lines of the
-same number are the same place. A null doc_id orders first. Tokens are compared by 64 bits of their hash. Columns other
-than doc_id and text are passed through by ``remove_lines`` and not read by ``line_duplicates``. An empty table gives no
-rows.
+Lines without words never go; null texts have no lines. A document is a doc_id, null or not, with a text: rows that
+share a doc_id and differ in text are documents of their own, in the order of their texts' hashes, and rows that share
+both are one, so they lose the same lines. A null doc_id orders first. Tokens are compared by 64 bits of their hash.
+Columns other than doc_id and text are passed through by ``remove_lines`` and not read by ``line_duplicates``. An empty
+table gives no rows.
 
 How it scales. Equal lines are one class from a map-side aggregation on, so a line that a third of the documents repeat
 is compared once. Candidates are found by semi joins, which stop at a line's first partner: no pair is emitted, however
@@ -34,6 +35,9 @@ LEVELS = 32
 BITMAP_WORDS = 1 << 16
 #: A line's identity: 96 bits of its hashes.
 _KEY = ["key", "key2"]
+#: A document's identity: its doc_id and 96 bits of its text's hashes.
+_DOC = ["doc_id", "text_key", "text_key2"]
+_PLACE = f"struct({', '.join(_DOC)}, line_no)"
 
 
 def tokens(text: str) -> str:
@@ -60,10 +64,16 @@ def rarity_levels(docs: DataFrame) -> list[int]:
     return levels
 
 
+def text_keys(text) -> list:
+    """What tells a document from others of its doc_id, as columns."""
+    text = text.cast("string")
+    return [F.xxhash64(text).alias("text_key"), F.hash(text).alias("text_key2")]
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line and its key, of each line."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("key"), F.hash("line").alias("key2"))
+    """doc_id and keys of the text, line_no, line and its key, of each line."""
+    lines = docs.select("doc_id", *text_keys(F.col("text")), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select(*_DOC, "line_no", "line", F.xxhash64("line").alias("key"), F.hash("line").alias("key2"))
 
 
 def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
@@ -72,11 +82,11 @@ def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
     hashed = places(docs).withColumn("_h", F.expr(token_hashes("line"))).where("size(_h) > 0")
     table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<INT>)"  # folded into one constant
     code = f"shiftleft(get({table}, CAST(h & {BUCKETS - 1} AS INT)), 26) | CAST(shiftrightunsigned(h, 38) AS INT)"
-    coded = hashed.select("doc_id", "line_no", *_KEY, F.expr(f"sort_array(transform(_h, h -> {code}))").alias("_c"))
+    coded = hashed.select(*_DOC, "line_no", *_KEY, F.expr(f"sort_array(transform(_h, h -> {code}))").alias("_c"))
     sig = "aggregate(_c, 0L, (a, x) -> a ^ shiftleft(1L, x & 63))"
     prefix = f"slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1)"
-    made = coded.select("doc_id", "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig).alias("sig"), F.expr(prefix).alias("prefix"))
-    grouped = made.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    made = coded.select(*_DOC, "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig).alias("sig"), F.expr(prefix).alias("prefix"))
+    grouped = made.groupBy(*_KEY).agg(F.min(F.expr(_PLACE)).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     return grouped.withColumn("id", F.monotonically_increasing_id())
 
 
@@ -111,7 +121,7 @@ def _maybe_in(wanted: DataFrame):
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per doc_id with lines that go: doc_id and removed (their numbers, in order)."""
+    """One row per document with lines that go: doc_id, the keys of its text and removed (their numbers, in order)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     classes = saved(line_classes(docs, rarity_levels(docs)))
 
@@ -125,7 +135,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     contested = saved(seen.alias("a").join(seen.alias("b"), F.expr(first), "left_semi").select("id", "token"))
 
     wanted = saved(contested.select("id").distinct().join(classes.select("id", "n", "sig", "at", *_KEY), "id"))
-    lines = places(docs).where(_maybe_in(wanted)).join(wanted.hint("merge"), _KEY).where("at = struct(doc_id, line_no)")
+    lines = places(docs).where(_maybe_in(wanted)).join(wanted.hint("merge"), _KEY).where(f"at = {_PLACE}")
     members = lines.select("id", "n", "sig", "at", F.expr(token_hashes("line")).alias("tokens"))
     full = members.hint("merge").join(contested, "id").select("token", "id", "n", "sig", "at", "tokens")
     same = _enough("size(array_intersect(a.tokens, b.tokens))", "a", "b")
@@ -134,15 +144,23 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
 
     fate = classes.select("id", *_KEY, "at", "copies").join(gone, F.col("id") == F.col("gone"), "left").where("copies > 1 or gone is not null")
     fate = saved(fate.select(*_KEY, "at", F.col("gone").isNotNull().alias("all_go")))
-    hit = places(docs).drop("line").join(fate, _KEY).where("all_go or at <> struct(doc_id, line_no)")
-    return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    hit = places(docs).drop("line").join(fate, _KEY).where(f"all_go or at <> {_PLACE}")
+    return hit.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+
+
+def _with_removed(docs: DataFrame, doc_id, text, found: DataFrame) -> DataFrame:
+    """``docs`` with the column removed, null where nothing goes. Its other columns must have names of their own."""
+    keyed = docs.withColumns(dict(zip(["_id", "_key", "_key2"], [doc_id.cast("long"), *text_keys(text)], strict=True)))
+    named = found.select(*(F.col(c).alias(f"_found_{c}") for c in _DOC), "removed").hint("merge")
+    same = F.col("_id").eqNullSafe(F.col("_found_doc_id")) & (F.col("_key") == F.col("_found_text_key")) & (F.col("_key2") == F.col("_found_text_key2"))
+    return keyed.join(named, same, "left").select(*docs.columns, "removed")
 
 
 def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the lines in ``found``; n_chars, if there, follows the text. Other columns stay as
     they are, whatever their names."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    both = rows.join(found.select(F.col("doc_id").alias("found"), "removed").hint("merge"), F.col("key").eqNullSafe(F.col("found")), "left")
+    rows = docs.select(F.struct("*").alias("row"))
+    both = _with_removed(rows, F.col("row.doc_id"), F.col("row.text"), found)
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     cut = both.withColumn("cut", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept))
     n_chars = lambda kind: F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(kind).alias("n_chars")
@@ -153,8 +171,7 @@ def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
 def op8_line_dedup(spark, sf_dir):
     """Per document: doc_id, n_lines, n_removed and removed, the numbers of the lines that go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = line_duplicates(docs).select(F.col("doc_id").alias("_doc"), "removed")
-    counted = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    both = counted.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    both = _with_removed(docs, F.col("doc_id"), F.col("text"), line_duplicates(docs)).withColumn("n_lines", n_lines)
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return both.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -89,6 +89,22 @@ def test_repeated_rows_and_ties(docs):
     assert sorted(kept, key=str) == sorted([1, 1, 2, 3, 4, None, 5, 6], key=str)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_lines_of_texts_that_share_an_id(spark, tmp_path, doc_id):
+    """Texts under one doc_id lose lines of their own only, and copies go wherever they stand."""
+    new = lambda k: f"line {k} holds words{k} of its own{k}"
+    same = "a line that both of these texts hold"
+    a, b, c = [new(1), same, new(2)], [new(3), same, new(4)], [new(5), new(6), new(7), same]
+    df = spark.createDataFrame([(doc_id, "\n".join(x), 1) for x in (a, b, c)], "doc_id long, text string, n_chars long")
+    kept = [r["text"].split("\n") for r in lines.remove_lines(df, lines.line_duplicates(df)).collect()]
+    assert sorted([y for y in x if y != same] for x in kept) == sorted([y for y in x if y != same] for x in (a, b, c))
+    assert sum(x.count(same) for x in kept) == 1
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lines.op8_line_dedup(spark, str(tmp_path)).collect()
+    assert sum(r["n_removed"] for r in rows) == 2
+    assert all(0 <= n < r["n_lines"] for r in rows for n in r["removed"])
+
+
 def test_warc_edges(spark):
     pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "http://a", ""), (2, "http://b", "<p>x</p>" * 50_000)], "page_id long, url string, html string").withColumn("block", F.lit(1))
     rows = warc.derive(warc.responses(pages)).collect()
