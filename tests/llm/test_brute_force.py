@@ -348,6 +348,29 @@ def test_passages_are_found(spark):
     assert (got[2, 1]["start"], got[2, 1]["end"], got[2, 1]["distance"]) == (10, 69, 2)
 
 
+@pytest.mark.parametrize("halves", [((0, 40), (20, 60)), ((0, 30), (30, 60))])
+def test_passages_whose_parts_occur_earlier(spark, halves):
+    """Two documents share 60 words, parts of which stand in earlier documents: 30 such passages, all of them found."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for k in range(30):
+        passage = fresh(60)
+        for j, (a, b) in enumerate(halves):
+            texts[100 * k + j] = fresh(30) + passage[a:b] + fresh(30)
+        texts[100 * k + 10] = fresh(20) + passage + fresh(35)
+        texts[100 * k + 20] = fresh(45) + passage + fresh(15)
+    texts[9001] = fresh(5) + ["again"] * 180 + fresh(5)
+    texts[9002] = fresh(9) + ["again"] * 130 + fresh(3)
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    rows = [r for r in passages.repeated_passages(df).collect()]
+    got = {(r["doc_id"], r["match_id"]): (r["start"], r["end"], r["match_start"], r["match_end"], r["distance"]) for r in rows if r["doc_id"] < 9000}
+    assert got == {(100 * k + 20, 100 * k + 10): (45, 105, 20, 80, 0) for k in range(30)}
+    again = [r for r in rows if r["doc_id"] > 9000]
+    assert {(r["doc_id"], r["match_id"]) for r in again} == {(9002, 9001)}
+    assert {p for r in again for p in range(r["start"], r["end"])} == set(range(9, 139))
+
+
 def test_chains_are_best():
     """The Fenwick tree's scores against the quadratic recurrence."""
     rng = random.Random(4)
