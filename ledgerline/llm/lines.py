@@ -71,17 +71,21 @@ def text_keys(text) -> list:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """doc_id and keys of the text, line_no, line and its key, of each line."""
-    lines = docs.select("doc_id", *text_keys(F.col("text")), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id and keys of the text, line_no, line and its key, of each line. The text's keys are made before its lines
+    are, once a text; what stands beside a generator would be made once a line."""
+    keyed = docs.select("doc_id", *text_keys(F.col("text")), F.split("text", "\n").alias("_lines"))
+    lines = keyed.select(*_DOC, F.posexplode("_lines").alias("line_no", "line"))
     return lines.select(*_DOC, "line_no", "line", F.xxhash64("line").alias("key"), F.hash("line").alias("key2"))
 
 
 def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
     """One row per distinct line with a word: key, at (its first place), copies, n (distinct tokens), sig (parity of the
     tokens by bit) and prefix (codes of tokens, rarest first: level, then 26 bits of the hash)."""
-    hashed = places(docs).withColumn("_h", F.expr(token_hashes("line"))).where("size(_h) > 0")
+    # not by the size of _h, as a filter on that is moved ahead of the hashing and hashes all words itself
+    hashed = places(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("_h", F.expr(token_hashes("line")))
     table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<INT>)"  # folded into one constant
-    code = f"shiftleft(get({table}, CAST(h & {BUCKETS - 1} AS INT)), 26) | CAST(shiftrightunsigned(h, 38) AS INT)"
+    # coalesce, as an array that may hold nulls is sorted by a slower way
+    code = f"shiftleft(coalesce(get({table}, CAST(h & {BUCKETS - 1} AS INT)), 0), 26) | CAST(shiftrightunsigned(h, 38) AS INT)"
     coded = hashed.select(*_DOC, "line_no", *_KEY, F.expr(f"sort_array(transform(_h, h -> {code}))").alias("_c"))
     sig = "aggregate(_c, 0L, (a, x) -> a ^ shiftleft(1L, x & 63))"
     prefix = f"slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1)"
