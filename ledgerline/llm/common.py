@@ -15,18 +15,22 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 find_words = re.compile(WORD_PATTERN).findall
 
-#: Rows that travel to Python in one Arrow batch. With texts of some 100 kB this keeps a batch near 100 MB at worst.
+#: Rows and bytes that travel to Python in one Arrow batch at most; a longer row is a batch of its own.
 ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 32 << 20
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _CACHED_WORDS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where that is unset, one of our own on a machine
+    that is driver and executor at once, and an error on a cluster, whose machines share no folder of ours."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -40,10 +44,13 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, because Spark does not bound its bytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    """Bounds the rows and bytes of an Arrow batch by the session's settings, which stay so, as plans read them when they
+    run. Tighter settings of the session are kept."""
+    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def count_words(text):
@@ -51,6 +58,12 @@ def count_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def text_keys(text) -> list:
+    """What tells a document from others of its doc_id, as columns."""
+    text = text.cast("string")
+    return [F.xxhash64(text).alias("text_key"), F.hash(text).alias("text_key2")]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finishes a 64-bit hash: every input bit sways every output bit."""
     x = (x ^ (x >> np.uint64(33))) * _MIX1

@@ -8,7 +8,7 @@ whether or not that line stays) is as similar.
 
 Lines without words never go; null texts have no lines. A document is a doc_id, null or not, with a text: rows that
 share a doc_id and differ in text are documents of their own, in the order of their texts' hashes, and rows that share
-both are one, so they lose the same lines. A null doc_id orders first. Tokens are compared by 64 bits of their hash.
+both are one, so they lose the same lines. A null doc_id orders first. Tokens are compared by 58 bits of their hash.
 Columns other than doc_id and text are passed through by ``remove_lines`` and not read by ``line_duplicates``. An empty
 table gives no rows.
 
@@ -25,12 +25,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import saved
+from ledgerline.llm.common import saved, text_keys
 
 #: Jaccard threshold as a fraction: 4 / 5.
 NUM, DEN = 4, 5
-#: Tokens are counted in so many buckets by hash, which bounds what the driver and each task hold.
-BUCKETS = 1 << 18
+#: Tokens are counted in so many buckets by hash, which bounds what the driver and each task hold: as many as Spark's
+#: fast map for aggregates takes.
+BUCKETS = 1 << 16
 LEVELS = 32
 BITMAP_WORDS = 1 << 16
 #: A line's identity: 96 bits of its hashes.
@@ -40,21 +41,22 @@ _DOC = ["doc_id", "text_key", "text_key2"]
 _PLACE = f"struct({', '.join(_DOC)}, line_no)"
 
 
-def tokens(text: str) -> str:
-    """SQL for the words of a text column, with empty ones at times. A split at one character needs no pattern."""
-    for c in ("\\t", "\\n", "\\u000B", "\\u000C", "\\r"):
+def tokens(text: str, line: bool = True) -> str:
+    """SQL for the words of a line, or else of a text, with empty ones at times. A split at one character needs no
+    pattern, and a line has no line feed."""
+    for c in ("\\t", "\\u000B", "\\u000C", "\\r", *([] if line else ["\\n"])):
         text = f"replace({text}, '{c}', ' ')"
     return f"split({text}, ' ')"
 
 
 def token_hashes(text: str) -> str:
-    """SQL for the distinct hashes of a text's words."""
-    return f"array_remove(array_distinct(transform({tokens(text)}, w -> xxhash64(w))), xxhash64(''))"
+    """SQL for the distinct hashes of a text's words, 58 bits each."""
+    return f"array_remove(array_distinct(transform({tokens(text)}, w -> shiftrightunsigned(xxhash64(w), 6))), shiftrightunsigned(xxhash64(''), 6))"
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
     """How common the tokens of each bucket are over all documents, in LEVELS steps of a logarithmic scale."""
-    words = docs.select(F.explode(F.expr(tokens("text"))).alias("w"))
+    words = docs.select(F.explode(F.expr(tokens("text", line=False))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()  # BUCKETS rows at most
     levels = [0] * BUCKETS
     most = max((r["count"] for r in counts), default=1)
@@ -64,12 +66,6 @@ def rarity_levels(docs: DataFrame) -> list[int]:
     return levels
 
 
-def text_keys(text) -> list:
-    """What tells a document from others of its doc_id, as columns."""
-    text = text.cast("string")
-    return [F.xxhash64(text).alias("text_key"), F.hash(text).alias("text_key2")]
-
-
 def places(docs: DataFrame) -> DataFrame:
     """doc_id and keys of the text, line_no, line and its key, of each line. The text's keys are made before its lines
     are, once a text; what stands beside a generator would be made once a line."""
@@ -81,14 +77,15 @@ def places(docs: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
     """One row per distinct line with a word: key, at (its first place), copies, n (distinct tokens), sig (parity of the
     tokens by bit) and prefix (codes of tokens, rarest first: level, then 26 bits of the hash)."""
-    # not by the size of _h, as a filter on that is moved ahead of the hashing and hashes all words itself
-    hashed = places(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("_h", F.expr(token_hashes("line")))
-    table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<INT>)"  # folded into one constant
+    table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<BIGINT>)"  # folded into one constant
     # coalesce, as an array that may hold nulls is sorted by a slower way
-    code = f"shiftleft(coalesce(get({table}, CAST(h & {BUCKETS - 1} AS INT)), 0), 26) | CAST(shiftrightunsigned(h, 38) AS INT)"
-    coded = hashed.select(*_DOC, "line_no", *_KEY, F.expr(f"sort_array(transform(_h, h -> {code}))").alias("_c"))
-    sig = "aggregate(_c, 0L, (a, x) -> a ^ shiftleft(1L, x & 63))"
-    prefix = f"slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1)"
+    code = f"shiftleft(coalesce(get({table}, CAST(xxhash64(w) & {BUCKETS - 1} AS INT)), 0L), 58) | shiftrightunsigned(xxhash64(w), 6)"
+    codes = f"transform({tokens('line')}, w -> if(w = '', -1L, {code}))"
+    # not by the size of _c, as a filter on that is moved ahead of the hashing and hashes all words itself
+    hashed = places(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    coded = hashed.select(*_DOC, "line_no", *_KEY, F.expr(f"sort_array(array_remove(array_distinct({codes}), -1L))").alias("_c"))
+    sig = "aggregate(_c, 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT)))"
+    prefix = f"transform(slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1), x -> CAST(shiftrightunsigned(x, 32) AS INT))"
     made = coded.select(*_DOC, "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig).alias("sig"), F.expr(prefix).alias("prefix"))
     grouped = made.groupBy(*_KEY).agg(F.min(F.expr(_PLACE)).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     return grouped.withColumn("id", F.monotonically_increasing_id())
@@ -147,24 +144,26 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     gone = full.alias("a").join(full.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
 
     fate = classes.select("id", *_KEY, "at", "copies").join(gone, F.col("id") == F.col("gone"), "left").where("copies > 1 or gone is not null")
-    fate = saved(fate.select(*_KEY, "at", F.col("gone").isNotNull().alias("all_go")))
-    hit = places(docs).drop("line").join(fate, _KEY).where(f"all_go or at <> {_PLACE}")
-    return hit.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    fate = saved(fate.select(*_KEY, "at", "copies", F.col("gone").isNotNull().alias("all_go")))
+    # a line that is there once is where its class says; only lines that are there more often are looked up
+    often = fate.where("copies > 1")
+    hit = places(docs).drop("line").where(_maybe_in(often)).join(often.hint("merge"), _KEY).where(f"all_go or at <> {_PLACE}").select(*_DOC, "line_no")
+    every = hit.union(fate.where("copies = 1").select("at.*"))
+    return every.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def _with_removed(docs: DataFrame, doc_id, text, found: DataFrame) -> DataFrame:
-    """``docs`` with the column removed, null where nothing goes. Its other columns must have names of their own."""
-    keyed = docs.withColumns(dict(zip(["_id", "_key", "_key2"], [doc_id.cast("long"), *text_keys(text)], strict=True)))
+def _with_removed(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``keyed``, which has doc_id and the keys of its text, with the column removed, null where nothing goes."""
     named = found.select(*(F.col(c).alias(f"_found_{c}") for c in _DOC), "removed").hint("merge")
-    same = F.col("_id").eqNullSafe(F.col("_found_doc_id")) & (F.col("_key") == F.col("_found_text_key")) & (F.col("_key2") == F.col("_found_text_key2"))
-    return keyed.join(named, same, "left").select(*docs.columns, "removed")
+    same = F.col("doc_id").eqNullSafe(F.col("_found_doc_id")) & (F.col("text_key") == F.col("_found_text_key")) & (F.col("text_key2") == F.col("_found_text_key2"))
+    return keyed.join(named, same, "left").select(*keyed.columns, "removed")
 
 
 def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the lines in ``found``; n_chars, if there, follows the text. Other columns stay as
     they are, whatever their names."""
     rows = docs.select(F.struct("*").alias("row"))
-    both = _with_removed(rows, F.col("row.doc_id"), F.col("row.text"), found)
+    both = _with_removed(rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), *text_keys(F.col("row.text"))), found)
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     cut = both.withColumn("cut", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept))
     n_chars = lambda kind: F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(kind).alias("n_chars")
@@ -173,9 +172,10 @@ def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark, sf_dir):
-    """Per document: doc_id, n_lines, n_removed and removed, the numbers of the lines that go."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """Per document: doc_id, n_lines, n_removed and removed, the numbers of the lines that go. The join back is by the keys
+    of the texts, which stay where they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    both = _with_removed(docs, F.col("doc_id"), F.col("text"), line_duplicates(docs)).withColumn("n_lines", n_lines)
+    keyed = docs.select("doc_id", *text_keys(F.col("text")), n_lines.alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return both.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return _with_removed(keyed, line_duplicates(docs)).select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
