@@ -3,8 +3,9 @@
 Conversations that share initial turns share the nodes of a tree: a node is a turn together with all turns before it.
 Each tree is laid out depth first, so shared tokens are emitted once; every token has the position it has in its own
 conversation, and every node the intervals of the layout that its ancestors take up, which is all it may attend to
-besides itself. A first child follows its parent in the layout, so a run of first children is one interval, and a long
-conversation that nothing branches off has one interval a node, however deep.
+besides itself. The child that most conversations go on with follows its parent in the layout, so a run of such children
+is one interval. Every step to another child at least halves the number of conversations, so a node has at most one
+interval more than the logarithm of that number, however deep it is, and its place in the order is as short.
 
 Template: ``<|im_start|>`` role, line feed, text, ``<|im_end|>``, line feed. In roles and texts a backslash becomes two
 and ``<|`` becomes ``<\\|``; in roles a line feed becomes ``\\n``. Afterwards no text holds a control string, and
@@ -12,7 +13,8 @@ and ``<|`` becomes ``<\\|``; in roles a line feed becomes ``\\n``. Afterwards no
 
 Turns are ordered by turn, then role and text; null turns come first, a null role or text is empty. Rows repeated
 within a conversation are turns of their own. Rows with a null conv_id form one conversation. Other columns are not
-read. An empty table gives no rows. A conversation is read as a sorted stream, one turn at a time.
+read. An empty table gives no rows. A conversation is read as a sorted stream, one turn at a time. Tokens are those that
+the tokenizer gives for the whole text: long texts are cut only where one of its words surely begins.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +35,14 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bytes of a node's id in the depth-first key.
+#: Bytes of a node's id.
 _ID = 16
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A text goes to the tokenizer in pieces of about so many characters; a piece of over LONGEST that has no place to cut
+#: goes there word by word, since the tokenizer's own pattern fails on such runs of spaces.
+PIECE, LONGEST = 20_000, 200_000
+#: A space between letters or digits belongs to the word after it.
+_BREAK = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
 def escape(text: str) -> str:
@@ -59,32 +69,40 @@ def tokenizer(path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         n = max(ranks.values()) + 1
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={START: n, END: n + 1})
+        ENCODINGS[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={START: n, END: n + 1})
     return ENCODINGS[name]
 
 
 def encode(enc, text: str) -> list[int]:
-    """Tokens of ordinary text, in pieces of bounded length, as the tokenizer's time grows fast with long runs."""
-    return [t for k in range(0, len(text), 20_000) for t in enc.encode_ordinary(text[k : k + 20_000])]
+    """Tokens of ordinary text."""
+    out, k = [], 0
+    while k < len(text):
+        cut = _BREAK.search(text, k + PIECE) if len(text) - k > PIECE else None
+        piece = text[k : cut.start() if cut else len(text)]
+        k += len(piece)
+        if len(piece) <= LONGEST:
+            out += enc.encode_ordinary(piece)
+        else:
+            out += [t for m in regex.finditer(PATTERN, piece) for t in enc._encode_single_piece(m[0])]
+    return out
 
 
 def _nodes(batches):
-    """Streams conversations in order; gives each turn its node id, the chain of ids down to it and its depth."""
-    conv, chain, depth = object(), b"", 0
+    """Streams conversations in order; gives each turn its depth, its node's id and its parent's, null at the root."""
+    conv, last, depth = object(), None, 0
     for b in batches:
         rows = []
-        for c, t, role, text in zip(*(b.column(x).to_pylist() for x in ("conv_id", "turn", "role", "text")), strict=True):
+        for c, role, text in zip(*(b.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
             if c != conv:
-                conv, chain, depth = c, b"", 0
+                conv, last, depth = c, None, 0
             role, text = role or "", text or ""
             parts = [role.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")]
-            own = hashlib.blake2b(chain[-_ID:] + len(parts[0]).to_bytes(8) + parts[0] + parts[1], digest_size=_ID).digest()
-            chain, depth = chain + own, depth + 1
-            rows.append((c, depth - 1, own, chain, role, text))
+            own = hashlib.blake2b((last or b"") + len(parts[0]).to_bytes(8) + parts[0] + parts[1], digest_size=_ID).digest()
+            rows.append((c, depth, own, last, role, text))
+            last, depth = own, depth + 1
         cols = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "depth", "node", "path", "role", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "depth", "node", "parent", "role", "text"])
 
 
 def _tokens(path: str):
@@ -100,57 +118,77 @@ def _tokens(path: str):
                 rows.append(([*head, *body, end, *encode(enc, "\n")], len(head) if lossy else 0, len(head) + len(body) if lossy else 0))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             own = [pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([len(x) for x in cols[0]], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("path"), b.column("depth"), *own], ["node", "path", "depth", "tokens", "loss_start", "loss_end", "n_tokens"])
+            same = ["node", "parent", "depth", "uses"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in same), *own], [*same, "tokens", "loss_start", "loss_end", "n_tokens"])
 
     return run
 
 
 def turn_nodes(conversations: DataFrame) -> DataFrame:
-    """conv_id, depth, node, path, role and text of each turn."""
+    """conv_id, depth, node, parent, role and text of each turn."""
     small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_nodes, "conv_id long, depth long, node binary, path binary, role string, text string")
+    return ordered.mapInArrow(_nodes, "conv_id long, depth long, node binary, parent binary, role string, text string")
+
+
+def _bytes(number):
+    """Eight bytes of a number that is not negative, in its order."""
+    return F.unhex(F.lpad(F.hex(number.cast("long")), 16, "0"))
+
+
+def turns_off(turns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and steps: where the way from the root to each node enters the root or a child that does not follow its
+    parent: depth, node and parent there. ``nodes`` has node, parent and uses, the conversations that hold it."""
+    first = nodes.where("parent is not null").groupBy("parent").agg(F.max(F.struct("uses", "node")).alias("m")).select(F.col("m.node").alias("first"))
+    off = saved(nodes.join(first, F.col("node") == F.col("first"), "left").where("first is null").select(F.col("node").alias("off")))
+    walked = turns.select("conv_id", "depth", "node", "parent").join(off, F.col("node") == F.col("off"), "left")
+    step = F.when(F.col("off").isNotNull(), F.struct("depth", F.col("node").alias("head"), "parent"))
+    way = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    return walked.select("node", F.collect_list(step).over(way).alias("steps")).groupBy("node").agg(F.first("steps").alias("steps"))
 
 
 def prefix_trees(turns: DataFrame, vocabulary: str) -> DataFrame:
-    """One row per node: tree (its first turn's id), node, path, depth, tokens, loss_start and loss_end (within the
+    """One row per node: tree (its first turn's id), node, parent, depth, tokens, loss_start and loss_end (within the
     tokens), start (offset in the tree's layout), position (of its first token in its conversation) and attends
     (start and end of each interval of ancestors in the layout, from the root).
 
-    The order of paths is a depth-first order of all trees at once. Rows are dealt by ranges of paths, so one large
-    tree spans tasks; offsets are sums inside a range plus the totals of the ranges before it, one row per range."""
+    The order of keys is a depth-first order of all trees at once: a run goes down to its end, then what turns off it
+    follows, the deepest first. Rows are dealt by ranges of keys, so one large tree spans tasks; offsets are sums inside
+    a range plus the totals of the ranges before it, one row per range."""
     spark = turns.sparkSession
-    unique = turns.groupBy("node").agg(F.first("path").alias("path"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
-    made = saved(unique.mapInArrow(_tokens(vocabulary), "node binary, path binary, depth long, tokens array<int>, loss_start long, loss_end long, n_tokens long"))
-    scratch_dir(spark)
+    unique = turns.groupBy("node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.count("*").alias("uses"), F.first("role").alias("role"), F.first("text").alias("text"))
+    made = saved(unique.mapInArrow(_tokens(vocabulary), "node binary, parent binary, depth long, uses long, tokens array<int>, loss_start long, loss_end long, n_tokens long"))
+    steps = turns_off(turns, made.select("node", "parent", "uses")).withColumnRenamed("node", "_node")
+    lean = made.select("node", "depth", "n_tokens").join(steps, F.col("node") == F.col("_node")).drop("_node")
+    turn = lambda s: F.concat(F.unhex(F.lit("01")), _bytes(F.lit(2**62) - s["depth"]), s["head"])
+    none = F.unhex(F.lit(""))
+    off = F.aggregate(F.slice("steps", 2, F.greatest(F.size("steps"), F.lit(1))), none, lambda key, s: F.concat(key, turn(s)))
+    keyed = lean.withColumn("key", F.concat(F.get("steps", F.lit(0))["head"], off, F.unhex(F.lit("00")), _bytes(F.col("depth"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = made.select("node", "path", "depth", "n_tokens").repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()).checkpoint()
-    order = Window.partitionBy("part").orderBy("path")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    head = (F.col("depth") == 0) | ~F.lag("path").over(order).eqNullSafe(F.expr(f"substring(path, 1, length(path) - {_ID})"))
+    scratch_dir(spark)
+    ranged = keyed.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     offsets = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = ranged.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("head", head)
-    placed = placed.withColumn("run", F.last(F.when(F.col("head"), F.col("inside")), ignorenulls=True).over(order))
-    placed = placed.join(F.broadcast(offsets), "part")  # a row for each of the ranges
-    tree = F.substring("path", 1, _ID)
-    placed = saved(placed.select("node", "path", "depth", "n_tokens", "head", tree.alias("tree"), (F.col("inside") + F.col("before")).alias("global"), (F.col("run") + F.col("before")).alias("run")))
-    roots = placed.where("depth = 0").select(F.col("tree").alias("_tree"), F.col("global").alias("root"))
-    laid = placed.join(roots, F.col("tree") == F.col("_tree"))
-    laid = saved(laid.select("node", "path", "depth", "n_tokens", "head", "tree", (F.col("global") - F.col("root")).alias("start"), (F.col("run") - F.col("root")).alias("run")))
-    above = laid.where("head and depth > 0").select("node", "tree", "run", F.explode(F.sequence(F.lit(1), F.col("depth").cast("int"))).alias("k"), "path")
-    above = above.select("node", "tree", "run", F.substring("path", (F.col("k") - 1) * _ID + 1, F.lit(_ID)).alias("up"))
-    spans = laid.select(F.col("node").alias("up"), F.col("run").alias("a"), (F.col("start") + F.col("n_tokens")).alias("b"))
-    found = above.join(spans, "up").groupBy("tree", "run", "a").agg(F.max("b").alias("b"))
-    found = found.groupBy("tree", "run").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("start"), F.col("b").alias("end")))).alias("ups"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    own = F.when(F.col("start") > F.col("run"), F.array(F.struct(F.col("run").alias("start"), F.col("start").alias("end")))).otherwise(none)
-    tokens = made.select("node", "tokens", "loss_start", "loss_end")
-    out = laid.join(found, ["tree", "run"], "left").withColumn("attends", F.concat(F.coalesce("ups", none), own)).join(tokens, "node")
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(F.broadcast(offsets), "part")  # a row for each of the ranges
+    at = F.col("inside") + F.col("before")
+    placed = saved(placed.select("node", "depth", "n_tokens", "steps", F.get("steps", F.lit(0))["head"].alias("tree"), F.element_at("steps", -1)["head"].alias("run"), at.alias("at")))
+
+    roots = placed.where("depth = 0").select(F.col("tree").alias("_tree"), F.col("at").alias("root"))
+    heads = placed.where("node = run").select(F.col("run").alias("_run"), F.col("at").alias("head_at"))
+    laid = placed.join(roots, F.col("tree") == F.col("_tree")).join(heads, F.col("run") == F.col("_run"))
+    laid = saved(laid.select("node", "depth", "n_tokens", "steps", "tree", "run", (F.col("at") - F.col("root")).alias("start"), (F.col("head_at") - F.col("root")).alias("run_start")))
+    above = laid.where("node = run and size(steps) > 1").select("run", F.explode(F.expr("transform(slice(steps, 2, size(steps)), s -> s.parent)")).alias("up"))
+    spans = laid.select(F.col("node").alias("up"), F.col("run_start").alias("a"), (F.col("start") + F.col("n_tokens")).alias("b"))
+    found = above.join(spans, "up").groupBy(F.col("run").alias("_run")).agg(F.sort_array(F.collect_list(F.struct(F.col("a").alias("start"), F.col("b").alias("end")))).alias("ups"))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    own = F.when(F.col("start") > F.col("run_start"), F.array(F.struct(F.col("run_start").alias("start"), F.col("start").alias("end")))).otherwise(empty)
+    tokens = made.select(F.col("node").alias("_node"), "parent", "tokens", "loss_start", "loss_end")
+    out = laid.join(found, F.col("run") == F.col("_run"), "left").withColumn("attends", F.concat(F.coalesce("ups", empty), own)).join(tokens, F.col("node") == F.col("_node"))
     position = F.aggregate("attends", F.lit(0).cast("long"), lambda s, u: s + u["end"] - u["start"])
-    return out.select("tree", "node", "path", "depth", "tokens", "loss_start", "loss_end", "start", position.alias("position"), "attends")
+    return out.select("tree", "node", "parent", "depth", "tokens", "loss_start", "loss_end", "start", position.alias("position"), "attends")
 
 
 def _read_back(path: str):
@@ -213,6 +251,7 @@ def format_chats(conversations: DataFrame, vocabulary: str | None = None) -> tup
 
 
 def op6_chat(spark, sf_dir):
+    """All conversations and conversation -1; rows that have this id already are of the same conversation."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = f"{END}{START}assistant ok"
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))

@@ -2,8 +2,9 @@
 
 Two texts are linked if the Jaccard similarity of their sets of word 5-grams is at least the threshold. A text of
 fewer words is one gram; a text without words (null, empty or white space) is linked to nothing and is its own class.
-Rows that share a doc_id count as one document whose grams are those of each of its rows; a row with a null doc_id is
-left unlinked, with a null class. Columns other than doc_id and text are not read. An empty table gives no rows.
+What is linked are gram sets: each row has the set of its own text, whether its doc_id repeats or not, and links to
+sets other than its own count once, however many rows have them. A row with a null doc_id is left unlinked, with a null
+class. Columns other than doc_id and text are not read. An empty table gives no rows.
 
 How it scales. Texts with the same gram set are one class from the start, by a map-side aggregation, so thousands of
 copies cost as much as one. Band hashes of the classes meet in one shuffle; each bucket links its members to its
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WordHashes, components, find_words, gram_hashes, saved, small_batches
+from ledgerline.llm.common import WordHashes, components, find_words, gram_hashes, saved, small_batches, text_keys
 
 WORDS, THRESHOLD = 5, 0.8
 #: Chance that a pair at the threshold itself shares a band; pairs above it do so more likely.
 RECALL, MAX_HASHES = 0.9999, 128
 BLOCK_DOCS, BLOCK_GRAMS = 256, 1_000_000
 _CHUNK = 2048
+#: What names a row's text: its doc_id and 96 bits of the text's hashes.
+_ROW = ["doc_id", "text_key", "text_key2"]
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -72,7 +75,8 @@ def _signed(bands: int, rows: int, n: int):
                 sizes.append(len(g))
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                 sigs.append(band_hashes(g, bands, rows, mult, add) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "set_key", "n_grams", "bands"])
+            made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _ROW), *made], [*_ROW, "set_key", "n_grams", "bands"])
 
     return run
 
@@ -172,32 +176,37 @@ def block_tasks(threshold: float):
     return F.explode(F.concat(inside_first, inside_second, above, below))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, rep_id (least doc_id with the same gram set), class_id (least doc_id over
-    all links, direct or not), n_links (other gram sets it is linked to) and n_copies (rows with its gram set)."""
+def classified(docs: DataFrame, threshold: float, n: int, recall: float) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the keys of its text, first and head (doc_id and keys of the least text with
+    its gram set, and of the least in its class), n_links and n_copies, all four null where it has no set."""
     spark = docs.sparkSession
     small_batches(spark)
     bands, rows = bands_and_rows(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = saved(texts.mapInArrow(_signed(bands, rows, n), "doc_id long, set_key binary, n_grams long, bands array<long>"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", *text_keys(F.col("text")), "text")
+    signed = saved(texts.mapInArrow(_signed(bands, rows, n), "doc_id long, text_key long, text_key2 int, set_key binary, n_grams long, bands array<long>"))
     known = signed.where("doc_id is not null and set_key is not null")
-    sets = saved(known.groupBy("set_key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
-    banded = sets.select(F.col("rep_id").alias("id"), F.explode("bands").alias("band"))
+    sets = known.groupBy("set_key").agg(F.min(F.struct(*_ROW)).alias("first"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    sets = saved(sets.withColumn("id", F.monotonically_increasing_id()))
+    banded = sets.select("id", F.explode("bands").alias("band"))
     heads = saved(banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("band", "head"))
     edges = banded.join(heads, "band").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     comps = components(edges)
 
     cell = F.floor(F.log(F.col("n_grams").cast("double")) / float(np.log(1 / threshold)) + 1e-9).cast("long")
-    members = saved(comps.join(sets.select(F.col("rep_id").alias("id"), "n_grams"), "id").select("id", "comp", "n_grams", cell.alias("cell")))
+    members = saved(comps.join(sets.select("id", "n_grams", "first.*"), "id").select("id", "comp", "n_grams", cell.alias("cell"), *_ROW))
     sizes = members.groupBy("comp", "cell").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams"))
     whole = members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n_grams").alias("grams")).where((F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_GRAMS)).select("comp")
     large = sizes.join(whole, "comp").select("comp", "cell", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long").alias("n_blocks"))
     large = saved(large)
     near = lambda by, name: large.select("comp", (F.col("cell") + by).alias("cell"), F.col("n_blocks").alias(name))
     cells = saved(large.join(near(-1, "n_next"), ["comp", "cell"], "left").join(near(1, "n_last"), ["comp", "cell"], "left").na.fill(0, ["n_next", "n_last"]))
-    placed = members.join(cells, ["comp", "cell"], "left").select("comp", F.when(F.col("n_blocks").isNull(), 0).otherwise(F.col("cell")).alias("cell"), F.col("id"), *(F.coalesce(c, F.lit(v)).cast("long").alias(c) for c, v in (("n_blocks", 1), ("n_next", 0), ("n_last", 0))))
+    counts = (F.coalesce(c, F.lit(v)).cast("long").alias(c) for c, v in (("n_blocks", 1), ("n_next", 0), ("n_last", 0)))
+    placed = members.join(cells, ["comp", "cell"], "left").select("comp", F.when(F.col("n_blocks").isNull(), 0).otherwise(F.col("cell")).alias("cell"), "id", *counts, *(F.col(c).alias(f"_{c}") for c in _ROW))
     named = saved(placed)
-    full = named.hint("merge").join(texts.withColumnRenamed("doc_id", "_doc"), F.col("id") == F.col("_doc")).drop("_doc")
+    # a text that rows repeat goes to the join once, by a map-side aggregation
+    once = texts.where("doc_id is not null").groupBy(*_ROW).agg(F.first("text").alias("text"))
+    same = (F.col("_doc_id") == F.col("doc_id")) & (F.col("_text_key") == F.col("text_key")) & (F.col("_text_key2") == F.col("text_key2"))
+    full = named.hint("merge").join(once, same).select("comp", "cell", "id", "n_blocks", "n_next", "n_last", "text")
     schema = "comp long, cell long, id long, n_blocks long, n_next long, n_last long, grams array<long>"
     with_grams = full.mapInArrow(_grammed(n), schema)
     units = with_grams.withColumn("_t", block_tasks(threshold)).select(F.col("_t.task").alias("task"), "id", F.col("_t.side").alias("side"), "grams")
@@ -205,22 +214,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     ordered = units.repartition(parts, "task").sortWithinPartitions("task")
     found = saved(ordered.mapInArrow(_verified(threshold), "a long, b long, n long"))
 
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep_id")).agg(F.sum("n").alias("n_links"))
-    classes = components(found.where("b is not null").select("a", "b")).select(F.col("id").alias("rep_id"), F.col("comp").alias("class_id"))
-    about = sets.select("set_key", "rep_id", "n_copies").join(counts, "rep_id", "left").join(classes, "rep_id", "left")
-    about = saved(about.select("set_key", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "rep_id").alias("class_id")))
-    own = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
-    joined = own.join(about, "set_key", "left")
-    return joined.select("doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but those of which a class keeps another: each class keeps its document of least doc_id.
-    Rows that share a doc_id stay or go together; rows with a null doc_id stay."""
-    found = near_duplicates(docs)
-    gone = saved(found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    return rows.join(gone.hint("merge"), F.col("key") == F.col("gone"), "left_anti").select("row.*")
+    linked = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    about = sets.select("id", "set_key", "first", "n_copies").join(linked, "id", "left").join(components(found.where("b is not null").select("a", "b")), "id", "left")
+    about = saved(about.select("set_key", "first", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "comp"))
+    tops = about.where("comp is not null").groupBy(F.col("comp").alias("_comp")).agg(F.min("first").alias("top"))
+    about = saved(about.join(tops, F.col("comp") == F.col("_comp"), "left").select("set_key", "first", F.coalesce("top", "first").alias("head"), "n_links", "n_copies"))
+    own = signed.select(*_ROW, F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    return own.join(about, "set_key", "left").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """One row per row of ``docs``: doc_id, rep_id (least doc_id with the same gram set), class_id (least doc_id over
+    all links, direct or not), n_links (other gram sets it is linked to) and n_copies (rows with its gram set)."""
+    found = classified(docs, threshold, n, recall)
+    return found.select(
+        "doc_id", F.coalesce("first.doc_id", "doc_id").alias("rep_id"), F.coalesce("head.doc_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` but those of which a class keeps another: each class keeps its text of least doc_id, and of
+    texts with that doc_id one. Rows that share doc_id and text stay or go together; rows with a null doc_id stay."""
+    found = classified(docs, threshold, n, recall)
+    gone = saved(found.where(F.struct(*_ROW) != F.col("head")).select(*(F.col(c).alias(f"_{c}") for c in _ROW)).distinct())
+    rows = docs.select(F.struct("*").alias("row"))
+    keyed = rows.select("row", F.col("row.doc_id").cast("long").alias("_id"), *text_keys(F.col("row.text")))
+    same = (F.col("_id") == F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")) & (F.col("text_key2") == F.col("_text_key2"))
+    return keyed.join(gone.hint("merge"), same, "left_anti").select("row.*")
 
 
 def op3_near_duplicates(spark, sf_dir):

@@ -45,21 +45,53 @@ SECRET_PREFIXES = "sk_|pk_|ghp_|xox|akia|eyj"
 NEAR = 24
 LABELERS = ["pattern", "shape", "gazetteer", "context", "quoted"]
 MARK = "\x01"
+#: Items of an array that a scan goes through before it starts a new array.
+CHUNK = 256
+
+
+def let(value, use):
+    """``use`` of a value that is made once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scan(items, carry, none, step):
+    """What ``step`` (carry, item) gives as out, an array like the empty one ``none``, over all items in order, where each
+    step hands its carry on. Arrays grow inside chunks only, so the work grows with the items, not with their square."""
+    last = F.greatest(F.ceil(F.size(items) / CHUNK).cast("int") - 1, F.lit(0))
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
+    state = lambda c, out: F.struct(c.alias("carry"), out.alias("out"))
+
+    def one(so_far, item):
+        return let(step(so_far["carry"], item), lambda s: state(s["carry"], F.concat(so_far["out"], s["out"])))
+
+    def chunk(so_far, own):
+        return let(F.aggregate(own, state(so_far["carry"], none), one), lambda s: state(s["carry"], F.concat(so_far["out"], F.array(s["out"]))))
+
+    return F.flatten(F.aggregate(chunks, state(carry, F.slice(F.array(none), 1, 0)), chunk)["out"])
+
+
+SPAN = "struct<start:int,end:int,s:string,before:string,after:string>"
 
 
 def spans_of(text, pattern: str, sign: str):
-    """Array of (start, end, s) of the matches of ``pattern``; empty where ``sign`` is not found."""
+    """Array of the matches of ``pattern``: start, end, s, NEAR characters before and one after; empty where ``sign`` is
+    not found."""
     may = text.contains(sign) if len(sign) <= 2 else text.rlike(sign)
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("odd"), none.alias("found"))
+    none = F.array().cast(f"array<{SPAN}>")
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("k"), F.lit("").alias("tail"))
+
+    def found(all_parts):
+        def step(at, part):
+            stop, head = at["pos"] + F.length(part), lambda k: F.left(F.get(all_parts, at["k"] + k), F.lit(1))
+            after = F.coalesce(F.nullif(head(1), F.lit("")), head(2), F.lit(""))
+            span = F.struct(at["pos"].alias("start"), stop.alias("end"), part.alias("s"), at["tail"].alias("before"), after.alias("after"))
+            carry = F.struct(stop.alias("pos"), (at["k"] + 1).alias("k"), F.right(F.concat(at["tail"], part), F.lit(NEAR)).alias("tail"))
+            return F.struct(carry.alias("carry"), F.when(at["k"] % 2 == 1, F.array(span)).otherwise(none).alias("out"))
 
-    def step(acc, part):
-        stop = acc["pos"] + F.length(part)
-        span = F.struct(acc["pos"].alias("start"), stop.alias("end"), part.alias("s"))
-        return F.struct(stop.alias("pos"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+        return scan(all_parts, zero, none, step)
 
-    return F.when(may, F.aggregate(parts, zero, step, lambda acc: acc["found"])).otherwise(none)
+    return F.when(may, let(parts, found)).otherwise(none)
 
 
 def luhn(digits):
@@ -94,12 +126,12 @@ def base_spans(text) -> dict:
 
 
 def named(kind: str, found):
-    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["s"].alias("s")))
+    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), *(m[c].alias(c) for c in ("start", "end", "s", "before", "after"))))
 
 
 def proposed(text):
-    """Array of (kind, start, end, s) of the wider patterns and of base matches that failed their check. A secret
-    needs a digit and a letter, which sorts out long words."""
+    """Array of the matches of the wider patterns, with their kinds. A secret needs a digit and a letter, which sorts
+    out long words."""
     out = []
     for kind, (pattern, sign) in WIDER.items():
         found = spans_of(text, pattern, sign)
@@ -109,11 +141,42 @@ def proposed(text):
     return F.concat(*out)
 
 
-def labelled(text, span, base: bool):
+def free(base, more):
+    """Those of ``more`` that overlap none of ``base``, by two scans in order of their starts: one for base spans that
+    begin before or with them, one back for those that begin within."""
+    own = "struct<kind:string,start:int,end:int,s:string,before:string,after:string>"
+    none = F.array().cast(f"array<struct<start:int,extra:int,end:int,m:{own}>>")
+    placed = lambda spans, extra: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(extra).alias("extra"), m["end"].alias("end"), m.alias("m")))
+    every = F.sort_array(F.concat(placed(base, 0), placed(more, 1)))
+
+    def ahead(reach, x):
+        kept = (x["extra"] == 0) | (reach <= x["start"])
+        return F.struct(F.when(x["extra"] == 0, F.greatest(reach, x["end"])).otherwise(reach).alias("carry"), F.when(kept, F.array(x)).otherwise(none).alias("out"))
+
+    def back(near, x):
+        kept = (x["extra"] == 1) & (near >= x["end"])
+        return F.struct(F.when(x["extra"] == 0, F.least(near, x["start"])).otherwise(near).alias("carry"), F.when(kept, F.array(x)).otherwise(none).alias("out"))
+
+    def both(spans):
+        return let(scan(spans, F.lit(0), none, ahead), lambda left: let(F.reverse(left), lambda turned: scan(turned, F.lit(2**31 - 1), none, back)))
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(F.transform(let(every, both), lambda x: x["m"]))
+
+
+def apart(spans):
+    """Of spans that overlap each other, one that begins at the same place as another or within it goes."""
+    short = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+
+    def step(reach, x):
+        return F.struct(F.greatest(reach, x["end"]).alias("carry"), F.when(reach <= x["start"], F.array(x)).otherwise(none).alias("out"))
+
+    return F.when(F.size(spans) < 2, short).otherwise(let(F.sort_array(short), lambda x: scan(x, F.lit(0), none, step)))
+
+
+def labelled(span, base: bool):
     """A candidate with its votes (1 personal, 0 not, null abstains) and the features of the span classifier."""
-    s, kind = span["s"], span["kind"]
-    before = F.lower(F.substring(text, F.greatest(span["start"] - NEAR, F.lit(0)) + 1, F.least(span["start"], F.lit(NEAR))))
-    after = F.substring(text, span["end"] + 1, F.lit(1))
+    s, kind, before, after = span["s"], span["kind"], F.lower(span["before"]), span["after"]
     digits = F.length(F.regexp_replace(s, "[^0-9]", ""))
     cue = before.rlike(rf"\b(?:{CUES})\b[^a-z]*$")
     quoted = before.rlike(r"""["'=:]\s*["']?$""")
@@ -141,10 +204,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, "\x02")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_t"))
     found = rows.select("doc_id", "_t", *(v.alias(f"_{k}") for k, v in base_spans(F.col("_t")).items()), proposed(F.col("_t")).alias("_more"))
-    t = F.col("_t")
-    found = found.select("doc_id", "_t", F.concat(*(named(k, F.col(f"_{k}")) for k in BASE)).alias("_base"), "_more")
-    free = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.select("doc_id", F.transform("_base", lambda m: labelled(t, m, True)).alias("base"), F.transform(free, lambda m: labelled(t, m, False)).alias("more"))
+    found = found.select("doc_id", F.concat(*(named(k, F.col(f"_{k}")) for k in BASE)).alias("_base"), "_more")
+    found = found.select("doc_id", "_base", free(F.col("_base"), F.col("_more")).alias("_more"))
+    return found.select("doc_id", F.transform("_base", lambda m: labelled(m, True)).alias("base"), F.transform("_more", lambda m: labelled(m, False)).alias("more"))
 
 
 def label_model(votes: np.ndarray, count: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -194,21 +256,22 @@ def find_pii(docs: DataFrame, above: float = 0.5) -> DataFrame:
     likely = sorted({r["features"] for r in seen if sum(weights[f] for f in ["", *_named(r["features"])]) > np.log(above / (1 - above))})
     short = lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
     keep = F.filter("more", lambda m: m["features"].isin(likely)) if likely else F.filter("more", lambda m: F.lit(False))
-    # of added spans that overlap each other, one that begins at the same place or within another goes
-    alone = F.filter(keep, lambda m: ~F.exists(keep, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]) & ((o["start"] < m["start"]) | ((o["start"] == m["start"]) & (o["kind"] < m["kind"])))))
-    return found.select("doc_id", F.transform("base", short).alias("base"), F.transform(alone, short).alias("added"))
+    chosen = found.select("doc_id", F.transform("base", short).alias("base"), keep.alias("_keep"))
+    return chosen.select("doc_id", "base", F.transform(apart(F.col("_keep")), short).alias("added"))
 
 
 def _joined(spans):
     """kind:start:end, by kind as listed, then start, with commas between."""
-    order = F.array_sort(F.transform(spans, lambda m: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), m["kind"]).alias("k"), m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
+    order = F.sort_array(F.transform(spans, lambda m: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), m["kind"]).alias("k"), m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
     return F.array_join(F.transform(order, lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))), ",")
 
 
-def count_kind(kind: str):
-    return F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long")
+def count_kind(kind: str, spans: str = "base"):
+    return F.size(F.filter(spans, lambda m: m["kind"] == kind)).cast("long")
 
 
 def op10_pii(spark, sf_dir):
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", *(count_kind(k).alias(f"n_{k}") for k in BASE), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
+    digest = F.sha2(_joined(F.col("base")), 256).alias("base_sha256")
+    more = [count_kind(k, "added").alias(f"n_{k}") for k in KINDS if k not in BASE]
+    return found.select("doc_id", *(count_kind(k).alias(f"n_{k}") for k in BASE), digest, _joined(F.concat("base", "added")).alias("spans"), *more, F.size("added").cast("long").alias("n_added"))

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Null texts count as empty and get the bias alone. Every input row gives one row. Labels that are null are not learnt
-from; a doc_id labelled more than once is learnt once per label row. Without any label every score is 0.5.
+from; a doc_id labelled more than once has the label of most of its label rows, toxic where they are even. Of texts that
+share a doc_id one, the least by hash, is learnt. Without any label every score is 0.5.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WordHashes, find_words, mixed, small_batches
+from ledgerline.llm.common import WordHashes, find_words, mixed, saved, small_batches
 
 BITS = 18
 #: At most about so many labelled rows are learnt from, taken evenly by a hash of doc_id.
@@ -95,12 +96,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_R
     the texts are; one task learns from them, as many as ``max_rows`` bounds."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"), (F.xxhash64("doc_id") % 1_000_003).alias("turn"))
+    toxic = F.avg(F.col("toxic").cast("double")) >= 0.5
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(toxic.cast("int").alias("toxic"))
+    known = saved(known.withColumn("turn", F.xxhash64("_id") % 1_000_003))
     n = known.count()
     if n > max_rows:
         known = known.where(F.abs("turn") < int(1_000_003 * max_rows / n))
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("toxic", "turn", "text")  # the labels are max_rows at most
+    # the labels are one row a doc_id and max_rows at most, but for the chance of the hash
+    rows = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.first("toxic").alias("toxic"), F.first("turn").alias("turn"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = rows.select("toxic", "turn", "t.text")
     made = rows.mapInArrow(_featured, "toxic int, turn long, ids array<int>")
     fitted = made.repartition(1).sortWithinPartitions("turn", "toxic").mapInArrow(_fit(epochs), "id int, weight double")
     weights = np.zeros(2**BITS + 1)

@@ -1,8 +1,13 @@
 """WARC derivatives: response records become linked metadata records and plain-text conversion records.
 
-A null page or an empty one is a response with an empty payload; its conversion has an empty block. Record ids follow
-from the url, the page id and the payload, so reruns give the same ids and repeated rows repeat theirs. Columns other
-than page_id, url and html are not read.
+Responses come from WARC files (``read_warc``), with their own ids, dates, headers and digests, or from a table of pages
+(``responses``), which lacks some of these: columns of the names record_id, warc_date, http_headers and payload_digest are
+taken where the table has them and hold a value, and are made else. Made ids follow from the url, the page id and the
+payload, so reruns give the same ids and repeated rows repeat theirs.
+
+A null page or an empty one is a response with an empty payload; its conversion has an empty block. A comment, a script, a
+style or a tag that is never closed goes on to the end of the page. Every pattern reads a page once, whatever it holds.
+Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,20 +15,22 @@ from __future__ import annotations
 import gzip
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 HTTP_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: What stands between two records: the end of one and the start of the next one's first line.
+RECORD_END = "\r\n\r\nWARC/1."
 #: Elements that end a line of text.
 _BLOCK = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|td|th|table|article|section|header|footer|nav|blockquote|pre|title|form|hr|dd|dt|dl"
 #: Pattern and replacement in turn; the same in Java's and in RE2's syntax.
 TEXT_STEPS = [
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", " "),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", " "),
-    (rf"(?i)</?(?:{_BLOCK})\b[^>]*>", "\n"),
-    (r"<[/!a-zA-Z][^>]*>", ""),
+    (r"(?s)<!--.*?(?:-->|\z)", " "),
+    (r"(?is)<script\b[^>]*(?:>.*?(?:</script\s*(?:>|\z)|\z)|\z)", " "),
+    (r"(?is)<style\b[^>]*(?:>.*?(?:</style\s*(?:>|\z)|\z)|\z)", " "),
+    (rf"(?i)</?(?:{_BLOCK})\b[^>]*(?:>|\z)", "\n"),
+    (r"<[/!a-zA-Z][^>]*(?:>|\z)", ""),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
@@ -56,12 +63,41 @@ def digest(block):
 
 def responses(pages: DataFrame) -> DataFrame:
     """Response records of crawled pages: page_id, record_id, target_uri, warc_date, http_headers, payload,
-    payload_digest. A source of real response records needs these columns too (see read_warc)."""
+    payload_digest."""
     payload, uri = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
-    base = pages.select(F.col("page_id").cast("long"), uri.alias("target_uri"), payload.alias("payload"))
-    base = base.withColumn("payload_digest", digest(F.col("payload")))
+    given = lambda name: F.col(name).cast("string") if name in pages.columns else F.lit(None).cast("string")
+    own = [given(c).alias(f"_{c}") for c in ("record_id", "warc_date", "http_headers", "payload_digest")]
+    base = pages.select(F.col("page_id").cast("long"), uri.alias("target_uri"), payload.alias("payload"), *own)
+    base = base.withColumn("payload_digest", F.coalesce("_payload_digest", digest(F.col("payload"))))
     rid = record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), "target_uri", "payload_digest")
-    return base.select("page_id", rid.alias("record_id"), "target_uri", F.lit(WARC_DATE).alias("warc_date"), F.lit(HTTP_HEADERS).alias("http_headers"), "payload", "payload_digest")
+    return base.select(
+        "page_id", F.coalesce("_record_id", rid).alias("record_id"), "target_uri", F.coalesce("_warc_date", F.lit(WARC_DATE)).alias("warc_date"),
+        F.coalesce("_http_headers", F.lit(HTTP_HEADERS)).alias("http_headers"), "payload", "payload_digest",
+    )
+
+
+def _field(head, name: str):
+    """The value of a header field, null where it is not there."""
+    return F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files, plain or gzip by member, as ``responses`` gives them (page_id is null), and
+    whole: whether the record is as long as its header says. Spark's text reader cuts files at the ends of records, so
+    a plain file is read by many tasks and no file is held in memory; a record that holds such an end itself is cut
+    there, and whole is false. Payloads are taken as UTF-8 whatever their headers say; bytes that are not are replaced."""
+    cut = spark.read.option("lineSep", RECORD_END).text(path)
+    at = lambda text: F.instr(text, "\r\n\r\n")
+    parts = cut.select("value", at(F.col("value")).alias("_n")).where("_n > 0").select(F.expr("substring(value, 1, _n + 1)").alias("_head"), F.expr("substring(value, _n + 4)").alias("_body"))
+    parts = parts.where(F.lower(_field(F.col("_head"), "WARC-Type")) == "response").withColumn("_size", _field(F.col("_head"), "Content-Length").cast("long"))
+    last = F.expr("octet_length(_body) = _size + 4")  # a file's last record has its end still
+    parts = parts.withColumn("_body", F.when(last, F.expr("left(_body, length(_body) - 4)")).otherwise(F.col("_body"))).withColumn("_b", at(F.col("_body")))
+    made = parts.select("_head", "_body", "_size", F.expr("if(_b > 0, substring(_body, 1, _b + 3), '')").alias("http_headers"), F.expr("if(_b > 0, substring(_body, _b + 4), _body)").alias("payload"))
+    of = lambda name: _field(F.col("_head"), name)
+    return made.select(
+        F.lit(None).cast("long").alias("page_id"), of("WARC-Record-ID").alias("record_id"), F.coalesce(of("WARC-Target-URI"), F.lit("")).alias("target_uri"), of("WARC-Date").alias("warc_date"), "http_headers",
+        F.make_valid_utf8("payload").alias("payload"), F.coalesce(of("WARC-Payload-Digest"), digest(F.col("payload"))).alias("payload_digest"), F.coalesce(F.octet_length("_body") == F.col("_size"), F.lit(False)).alias("whole"),
+    )
 
 
 def derive(records: DataFrame) -> DataFrame:

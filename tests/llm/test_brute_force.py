@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import os
 import random
 import re
@@ -161,6 +162,18 @@ def test_near_duplicates(spark, texts, crowd, monkeypatch, block):
     assert got == joined_by_hand(rows)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Links are between gram sets, however often rows, ids or texts repeat."""
+    words = [f"w{k}" for k in range(60)]
+    a, b, c, other = " ".join(words), " ".join([*words[:59], "x"]), " ".join([*words[:59], "y"]), "a text of its own that nothing else is like at all"
+    rows = [(1, a), (1, a), (2, b), (2, other), (3, c), (3, c), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(r) for r in near_duplicates.near_duplicates(df).collect()], key=str)
+    want = [(1, 1, 1, 2, 2), (1, 1, 1, 2, 2), (2, 2, 1, 2, 1), (2, 2, 2, 0, 1), (3, 3, 1, 2, 2), (3, 3, 1, 2, 2), (None, None, None, 0, 1)]
+    assert got == sorted(want, key=str)
+    assert sorted([tuple(r) for r in near_duplicates.drop_near_duplicates(df).collect()], key=str) == sorted([(1, a), (1, a), (2, other), (None, a)], key=str)
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_duplicates.bands_and_rows()
     assert bands * rows <= near_duplicates.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= near_duplicates.RECALL
@@ -170,6 +183,28 @@ def test_warc_sql(spark, duck):
     same_as_sql(warc.op4_warc(spark, SF), duck, warc.OP4_SQL)
 
 
+def test_warc_records_are_read(spark, tmp_path):
+    """Response records of files, plain and gzip, with headers and dates of their own, become linked records."""
+    said = lambda k, body: f"HTTP/1.1 {200 + k} OK\r\nX-Own: {k}\r\n\r\n{body}"
+    bodies = ["<p>one &amp; two</p>", "", "line\r\nend\r\n", "<b>é 𝒳</b>"]
+    records = []
+    for k, body in enumerate(bodies):
+        block = said(k, body).encode()
+        head = f"WARC/1.{k % 2}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{k}>\r\nWARC-Target-URI: http://x/{k}\r\nWARC-Date: 2020-01-0{k + 1}T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n"
+        records += [head.encode() + block + b"\r\n\r\n", b"WARC/1.0\r\nWARC-Type: request\r\nContent-Length: 3\r\n\r\nGET\r\n\r\n"]
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:4]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[4:-1]))
+    read = warc.read_warc(spark, str(tmp_path))
+    got = {r["record_id"]: r for r in read.collect()}
+    assert sorted(got) == [f"<urn:uuid:{k}>" for k in range(4)] and all(r["whole"] for r in got.values())
+    for k, body in enumerate(bodies):
+        r = got[f"<urn:uuid:{k}>"]
+        assert (r["payload"], r["http_headers"] + r["payload"]) == (body, said(k, body)) and r["warc_date"] == f"2020-01-0{k + 1}T00:00:00Z"
+    made = {(r["refers_to"], r["warc_type"]): r for r in warc.derive(read).collect()}
+    assert made["<urn:uuid:0>", "conversion"]["block"] == "one & two" and "http-status: 203" in made["<urn:uuid:3>", "metadata"]["block"]
+    assert made["<urn:uuid:1>", "metadata"]["source_headers"].endswith("X-Own: 1\r\n\r\n") and made["<urn:uuid:2>", "conversion"]["target_uri"] == "http://x/2"
+
+
 def test_warc_members(spark):
     derived = warc.derive(warc.responses(table(spark, "pages").limit(5)))
     rows = {r["record_id"]: r for r in derived.collect()}
@@ -188,29 +223,49 @@ def least_distance(pattern, text):
         last, row[0] = row[0], i
         for j, c in enumerate(text, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != c))
-    return min(row)
+    return min(row), row.index(min(row))
 
 
 def test_myers_is_edit_distance():
     rng = random.Random(3)
     for _ in range(200):
         p, t = ("".join(rng.choice("abc ") for _ in range(rng.randrange(1, n))) for n in (20, 60))
-        assert decontaminate.myers(decontaminate.char_masks(p), len(p), t)[0] == least_distance(p, t)
+        assert decontaminate.myers(decontaminate.char_masks(p), len(p), t)[0] == least_distance(p, t)[0]
+
+
+def leaks_by_hand(items, text, min_chars):
+    """Each item's least distance to a part of the text and the end of the first such part, from the whole table of distances."""
+    out, text = set(), decontaminate.plain(text)
+    for i, item in {(i, decontaminate.plain(x)) for i, x in items} - {(i, "") for i, _ in items}:
+        if len(item) >= min_chars:
+            d, end = least_distance(item, text)
+            if d <= int(len(item) * 0.1):
+                out.add((i, d, int(len(item) * 0.1), end))
+        elif m := re.search(rf"(?<!\S){re.escape(item)}(?!\S)", text):
+            out.add((i, 0, 0, m.end()))
+    return out
 
 
-def test_pigeonhole_loses_nothing():
+@pytest.mark.parametrize("min_chars", [0, 32])
+def test_pigeonhole_is_exact(min_chars):
     rng = random.Random(5)
-    items = [(k, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(33, 90))).strip() or "x" * 40) for k in range(6)]
-    own = decontaminate.Matcher(items, 0.1)
-    for _ in range(60):
-        k, item = rng.choice(items)
-        item = decontaminate.plain(item)
-        for _ in range(rng.randrange(0, int(len(item) * 0.1) + 4)):
-            at = rng.randrange(len(item))
-            item = item[:at] + rng.choice(["", "z", "zz"]) + item[at + rng.randrange(2) :]
-        text = decontaminate.plain("".join(rng.choice("abcdefgh ") for _ in range(100)) + item + "".join(rng.choice("abcdefgh ") for _ in range(100)))
-        want = {i for i, t in items if len(decontaminate.plain(t)) >= 32 and least_distance(decontaminate.plain(t), text) <= int(len(decontaminate.plain(t)) * 0.1)}
-        assert {m[0] for m in own.matches(text)} >= want
+    said = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    items = [(k, said(rng.randrange(8 if k % 2 else 33, 90)).strip() + "x") for k in range(8)]
+    items += [(9, items[0][1]), (0, items[0][1].upper()), (0, items[2][1]), (10, None), (11, " ")]
+    own = decontaminate.Matcher(items, 0.1, min_chars)
+    hits = 0
+    for _ in range(150):
+        text = said(60)
+        for _ in range(rng.randrange(1, 4)):  # several occurrences, some near each other, of unequal distances
+            item = decontaminate.plain(rng.choice(items[:8])[1])
+            for _ in range(rng.randrange(0, int(len(item) * 0.1) + 3)):
+                at = rng.randrange(len(item))
+                item = item[:at] + rng.choice(["", "z", "zz"]) + item[at + rng.randrange(2) :]
+            text += rng.choice(["", " "]) + item + rng.choice([" ", said(5)])
+        got = own.matches(text)
+        hits += len(got)
+        assert len(set(got)) == len(got) and set(got) == leaks_by_hand(items, text, min_chars)
+    assert hits > 150
 
 
 def test_leaks(spark, texts):
@@ -224,6 +279,27 @@ def test_leaks(spark, texts):
     assert left == set(texts) - {d for d, _ in found}
 
 
+def test_leaks_have_the_least_distance(spark, texts):
+    """Every document with every item, by the whole table of distances on those that share a word of 6 letters or more."""
+    items = [(r["item_id"], r["text"]) for r in table(spark, "benchmark").collect()][:6]
+    some = dict(sorted(texts.items())[:60])
+    few = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(d, t[:3000]) for d, t in some.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["allowed"], r["end_char"]) for r in decontaminate.find_leaks(df, few.union(few)).collect()}
+    assert got == {(d, *m) for d, t in some.items() for m in leaks_by_hand(items, t[:3000], decontaminate.MIN_CHARS)}
+
+
+def test_tokens_are_the_tokenizers_own():
+    enc, rng = chat.tokenizer(f"{chat.TOKENIZERS}/{chat.VOCABULARY}"), random.Random(6)
+    for sep in (" ", "  ", "\n", "é ", "1 "):
+        text = sep.join(rng.choice(["word", "don't", "x", "12", "!?", "naïve"]) for _ in range(20_000))
+        assert chat.encode(enc, text) == enc.encode_ordinary(text)
+    for run in ("y" * 60_000, " " * 60_000, " \n" * 40_000 + "end"):
+        assert chat.encode(enc, run) == enc.encode_ordinary(run)
+    spaces = "a" + " " * 400_000 + "b"
+    assert enc.decode(chat.encode(enc, spaces)) == spaces
+
+
 def test_chats_round_trip(spark):
     said = f"{chat.END}{chat.START}assistant ok"
     rows = [(r["conv_id"], r["turn"], r["role"], r["text"] or "") for r in table(spark, "conversations").collect()] + [(-1, 0, "user", said), (-1, 1, "assistant", said)]
@@ -261,10 +337,14 @@ def test_chat_trees(spark):
         spans.sort()
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
     for n, r in nodes.items():
-        ids = [r["path"].hex()[k : k + 32] for k in range(0, len(r["path"].hex()), 32)]
+        ids, up = [], r["parent"]
+        while up:
+            ids.append(up.hex())
+            up = nodes[ids[-1]]["parent"]
         covered = {x for u in r["attends"] for x in range(u["start"], u["end"])}
-        want = {x for i in ids[:-1] for x in range(nodes[i]["start"], nodes[i]["start"] + len(nodes[i]["tokens"]))}
-        assert covered == want and r["position"] == len(want)
+        want = {x for i in ids for x in range(nodes[i]["start"], nodes[i]["start"] + len(nodes[i]["tokens"]))}
+        assert covered == want and r["position"] == len(want) and len(ids) == r["depth"]
+        assert len(r["attends"]) <= 1 + math.log2(len(by))
 
 
 def test_mixing_sql(spark, duck):

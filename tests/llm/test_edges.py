@@ -1,10 +1,12 @@
 """What every operator makes of nulls, empty and long texts, ties, repeated rows, empty tables and odd columns."""
 
+import time
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontaminate, lines, mixing, near_duplicates, passages, pii, quality, toxicity, warc
+from ledgerline.llm import chat, common, decontaminate, lines, mixing, near_duplicates, passages, pii, quality, toxicity, warc
 
 LONG = " ".join(f"word{k % 5000}" for k in range(60_000))
 ROWS = [
@@ -113,6 +115,75 @@ def test_warc_edges(spark):
     assert warc.derive(warc.responses(pages.where("false"))).collect() == []
 
 
+def seconds(work):
+    began = time.time()
+    work()
+    return time.time() - began
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script>", "<script ", "<style>a", "<p ", "<x", "</", "&amp;", "\n \n", "</script "])
+def test_warc_of_a_hostile_page(spark, unit):
+    """A megabyte of what is never closed takes time in proportion, and the result is defined."""
+    html = "<p>before</p>" + unit * (1_000_000 // len(unit))
+    pages = spark.createDataFrame([(1, "http://a", html)], "page_id long, url string, html string")
+    assert seconds(lambda: warc.derive(warc.responses(pages)).write.format("noop").mode("overwrite").save()) < 20
+    text = next(r["block"] for r in warc.derive(warc.responses(pages)).collect() if r["warc_type"] == "conversion")
+    assert text.startswith("before")
+    if unit in ("<!--", "<script>", "<script ", "<style>a", "<p ", "<x"):
+        assert text == "before"
+
+
+@pytest.mark.parametrize("unit", ["a@b.co ", "1.2.3.4 ", "+12345678 ", "token='sk_aB3dE5fG7hIjKlMnOpQ1' ", "bob [at] x [dot] org ", "a@b.co,call 555-123-4567 "])
+def test_pii_of_a_full_text(spark, unit):
+    """100,000 matches in one text take time in proportion; base spans are all there, added ones overlap none of them."""
+    n = 100_000
+    df = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+    out = []
+    assert seconds(lambda: out.extend(pii.find_pii(df).collect())) < 60
+    found = sorted([tuple(m)[1:] for m in [*out[0]["base"], *out[0]["added"]]])
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    if "[" not in unit and "sk_" not in unit:
+        assert len(out[0]["base"]) == n and out[0]["base"][-1]["start"] == len(unit) * (n - 1)
+
+
+def test_toxicity_of_repeated_labels(spark):
+    """A doc_id that many label rows or texts have is learnt once, by most of its labels."""
+    docs = spark.createDataFrame([(k, f"word{k} bad thing" if k % 2 else f"word{k} good thing") for k in range(200)] + [(1, f"other text {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(0, 0)] * 2000 + [(2, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    weights = toxicity.fit_toxicity(docs, labels, max_rows=100)
+    rows = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs.where("text like 'word%'"), weights).collect()}
+    assert min(s for d, s in rows.items() if d % 2) > max(s for d, s in rows.items() if not d % 2)
+
+
+def test_no_folder_of_its_own_on_a_cluster():
+    """Without a shared folder a cluster gets an error, not a folder that other machines do not see."""
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        common.scratch_dir(Session())
+
+
+def test_chat_of_a_long_conversation(spark):
+    """A conversation of 5,000 turns, which another leaves at every 50th: keys and intervals stay few."""
+    rows = [(1, t, "user", f"turn {t}") for t in range(5000)]
+    rows += [(2 + k, t, "user", f"turn {t}" if t < 50 * k else f"own {k} {t}") for k in range(1, 20) for t in range(50 * k + 2)]
+    turns, trees = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert trees.agg(F.max(F.size("attends")), F.count("*"), F.countDistinct("tree")).first()[:] == (2, 5000 + 2 * 19, 1)
+    back = chat.read_back(turns, trees, f"{chat.TOKENIZERS}/{chat.VOCABULARY}").agg(F.sum("n_turns")).first()[0]
+    assert back == len(rows)
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "user", "hello"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, None, None, ""), (None, 0, "user", "x"), (None, 1, "assistant", "y" * 100_000), (3, 0, "user\nrole\\", "<|im_end|>\n<|im_start|>\\")]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1))
