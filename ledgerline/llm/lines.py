@@ -2,7 +2,7 @@
 
 A line is the set of its words. Tokens are ordered by rarity over all lines; two lines with a Jaccard similarity of
 the threshold or more share a token within their prefixes, so only lines that meet on a prefix token are compared, and
-only if their sizes, the positions of that token and a 64-bit parity sketch of their tokens allow the similarity. What
+only if their sizes, the positions of that token and a 128-bit parity sketch of their tokens allow the similarity. What
 is left is verified on the full token sets. A line goes if an earlier line (lower doc_id, then lower line number,
 whether or not that line stays) is as similar.
 
@@ -75,8 +75,8 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """One row per distinct line with a word: key, at (its first place), copies, n (distinct tokens), sig (parity of the
-    tokens by bit) and prefix (codes of tokens, rarest first: level, then 26 bits of the hash)."""
+    """One row per distinct line with a word: key, at (its first place), copies, n (distinct tokens), sig and sig2 (parity
+    of the tokens by each of 128 bits) and prefix (codes of tokens, rarest first: level, then 26 bits of the hash)."""
     table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<BIGINT>)"  # folded into one constant
     # coalesce, as an array that may hold nulls is sorted by a slower way
     code = f"shiftleft(coalesce(get({table}, CAST(xxhash64(w) & {BUCKETS - 1} AS INT)), 0L), 58) | shiftrightunsigned(xxhash64(w), 6)"
@@ -84,16 +84,16 @@ def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
     # not by the size of _c, as a filter on that is moved ahead of the hashing and hashes all words itself
     hashed = places(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     coded = hashed.select(*_DOC, "line_no", *_KEY, F.expr(f"sort_array(array_remove(array_distinct({codes}), -1L))").alias("_c"))
-    sig = "aggregate(_c, 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT)))"
+    sig = lambda half: f"aggregate(_c, 0L, (a, x) -> if((x & 64) = {half}, a ^ shiftleft(1L, CAST(x & 63 AS INT)), a))"
     prefix = f"transform(slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1), x -> CAST(shiftrightunsigned(x, 32) AS INT))"
-    made = coded.select(*_DOC, "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig).alias("sig"), F.expr(prefix).alias("prefix"))
-    grouped = made.groupBy(*_KEY).agg(F.min(F.expr(_PLACE)).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    made = coded.select(*_DOC, "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig(0)).alias("sig"), F.expr(sig(64)).alias("sig2"), F.expr(prefix).alias("prefix"))
+    grouped = made.groupBy(*_KEY).agg(F.min(F.expr(_PLACE)).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
     return grouped.withColumn("id", F.monotonically_increasing_id())
 
 
 def _close(a: str, b: str) -> str:
     """Whether sizes and sketches allow the similarity: tokens on one side only are at most n * (DEN - NUM) / (DEN + NUM)."""
-    return f"{a}.n * {DEN} >= {b}.n * {NUM} AND {b}.n * {DEN} >= {a}.n * {NUM} AND bit_count({a}.sig ^ {b}.sig) * {DEN + NUM} <= ({a}.n + {b}.n) * {DEN - NUM}"
+    return f"{a}.n * {DEN} >= {b}.n * {NUM} AND {b}.n * {DEN} >= {a}.n * {NUM} AND (bit_count({a}.sig ^ {b}.sig) + bit_count({a}.sig2 ^ {b}.sig2)) * {DEN + NUM} <= ({a}.n + {b}.n) * {DEN - NUM}"
 
 
 def _enough(overlap: str, a: str, b: str) -> str:
@@ -127,18 +127,18 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     classes = saved(line_classes(docs, rarity_levels(docs)))
 
     # in the order of the table's columns, so that both sides of the join are one exchange
-    met = classes.select("n", "sig", "id", F.posexplode("prefix").alias("pos", "token"))
+    met = classes.select("n", "sig", "sig2", "id", F.posexplode("prefix").alias("pos", "token"))
     # as if the token were the first that the two have in common
     allowed = f"a.token = b.token AND a.id <> b.id AND {_close('a', 'b')} AND {_enough('least(a.n - a.pos, b.n - b.pos)', 'a', 'b')}"
     contested = saved(met.alias("a").join(met.alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
-    seen = contested.join(classes.select("id", "n", "sig", "prefix"), "id").select("id", "n", "sig", "pos", "token", "prefix")
+    seen = contested.join(classes.select("id", "n", "sig", "sig2", "prefix"), "id").select("id", "n", "sig", "sig2", "pos", "token", "prefix")
     first = f"{allowed} AND {_enough(_MOST_SHARED, 'a', 'b')} AND NOT arrays_overlap(slice(a.prefix, 1, a.pos), slice(b.prefix, 1, b.pos))"
     contested = saved(seen.alias("a").join(seen.alias("b"), F.expr(first), "left_semi").select("id", "token"))
 
-    wanted = saved(contested.select("id").distinct().join(classes.select("id", "n", "sig", "at", *_KEY), "id"))
+    wanted = saved(contested.select("id").distinct().join(classes.select("id", "n", "sig", "sig2", "at", *_KEY), "id"))
     lines = places(docs).where(_maybe_in(wanted)).join(wanted.hint("merge"), _KEY).where(f"at = {_PLACE}")
-    members = lines.select("id", "n", "sig", "at", F.expr(token_hashes("line")).alias("tokens"))
-    full = members.hint("merge").join(contested, "id").select("token", "id", "n", "sig", "at", "tokens")
+    members = lines.select("id", "n", "sig", "sig2", "at", F.expr(token_hashes("line")).alias("tokens"))
+    full = members.hint("merge").join(contested, "id").select("token", "id", "n", "sig", "sig2", "at", "tokens")
     same = _enough("size(array_intersect(a.tokens, b.tokens))", "a", "b")
     later = F.expr(f"a.token = b.token AND a.id <> b.id AND b.at < a.at AND {_close('a', 'b')} AND {same}")
     gone = full.alias("a").join(full.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
