@@ -132,24 +132,25 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     allowed = f"a.token = b.token AND a.id <> b.id AND {_close('a', 'b')} AND {_enough('least(a.n - a.pos, b.n - b.pos)', 'a', 'b')}"
     contested = saved(met.alias("a").join(met.alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
     seen = contested.join(classes.select("id", "n", "sig", "sig2", "prefix"), "id").select("id", "n", "sig", "sig2", "pos", "token", "prefix")
-    first = f"{allowed} AND {_enough(_MOST_SHARED, 'a', 'b')} AND NOT arrays_overlap(slice(a.prefix, 1, a.pos), slice(b.prefix, 1, b.pos))"
+    # what most pairs of a large group fail is asked first
+    first = f"{allowed} AND NOT arrays_overlap(slice(a.prefix, 1, a.pos), slice(b.prefix, 1, b.pos)) AND {_enough(_MOST_SHARED, 'a', 'b')}"
     contested = saved(seen.alias("a").join(seen.alias("b"), F.expr(first), "left_semi").select("id", "token"))
 
-    wanted = saved(contested.select("id").distinct().join(classes.select("id", "n", "sig", "sig2", "at", *_KEY), "id"))
-    lines = places(docs).where(_maybe_in(wanted)).join(wanted.hint("merge"), _KEY).where(f"at = {_PLACE}")
-    members = lines.select("id", "n", "sig", "sig2", "at", F.expr(token_hashes("line")).alias("tokens"))
+    # one more pass over the lines: those whose tokens are compared in full, and the places of those that are there often
+    asked = contested.select(F.col("id").alias("asked")).distinct()
+    wanted = classes.select("id", "n", "sig", "sig2", "at", "copies", *_KEY).join(asked, F.col("id") == F.col("asked"), "left").where("asked is not null or copies > 1")
+    wanted = saved(wanted.withColumn("asked", F.col("asked").isNotNull()))
+    lines = places(docs).where(_maybe_in(wanted)).join(wanted.hint("merge"), _KEY).withColumn("is_first", F.expr(f"at = {_PLACE}"))
+    lines = saved(lines.where("copies > 1 or is_first").withColumn("line", F.when(F.col("asked") & F.col("is_first"), F.col("line"))))
+
+    members = lines.where("asked and is_first").dropDuplicates(["id"]).select("id", "n", "sig", "sig2", "at", F.expr(token_hashes("line")).alias("tokens"))
     full = members.hint("merge").join(contested, "id").select("token", "id", "n", "sig", "sig2", "at", "tokens")
     same = _enough("size(array_intersect(a.tokens, b.tokens))", "a", "b")
     later = F.expr(f"a.token = b.token AND a.id <> b.id AND b.at < a.at AND {_close('a', 'b')} AND {same}")
-    gone = full.alias("a").join(full.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct()
-
-    fate = classes.select("id", *_KEY, "at", "copies").join(gone, F.col("id") == F.col("gone"), "left").where("copies > 1 or gone is not null")
-    fate = saved(fate.select(*_KEY, "at", "copies", F.col("gone").isNotNull().alias("all_go")))
-    # a line that is there once is where its class says; only lines that are there more often are looked up
-    often = fate.where("copies > 1")
-    hit = places(docs).drop("line").where(_maybe_in(often)).join(often.hint("merge"), _KEY).where(f"all_go or at <> {_PLACE}").select(*_DOC, "line_no")
-    every = hit.union(fate.where("copies = 1").select("at.*"))
-    return every.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    gone = saved(full.alias("a").join(full.alias("b"), later, "left_semi").select(F.col("id").alias("gone")).distinct())
+
+    hit = lines.select("id", "is_first", *_DOC, "line_no").join(gone, F.col("id") == F.col("gone"), "left").where("gone is not null or not is_first")
+    return hit.groupBy(*_DOC).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def _with_removed(keyed: DataFrame, found: DataFrame) -> DataFrame:
