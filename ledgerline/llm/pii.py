@@ -46,7 +46,7 @@ NEAR = 24
 LABELERS = ["pattern", "shape", "gazetteer", "context", "quoted"]
 MARK = "\x01"
 #: Items of an array that a scan goes through before it starts a new array.
-CHUNK = 256
+CHUNK = 512
 
 
 def let(value, use):

@@ -428,6 +428,41 @@ def test_passages_are_found(spark):
     assert (got[2, 1]["start"], got[2, 1]["end"], got[2, 1]["distance"]) == (10, 69, 2)
 
 
+def test_every_repeated_window_is_found(spark, texts):
+    """Each place where 50 words in a row stand in an earlier document as well is in some row, and rows hold what they say."""
+    words = {d: WORD.findall(t) for d, t in texts.items()}
+    found = defaultdict(list)
+    for r in passages.op9_passages(spark, SF).collect():
+        assert r["match_id"] < r["doc_id"] and min(r["end"] - r["start"], r["match_end"] - r["match_start"]) >= 50
+        own, other = words[r["doc_id"]][r["start"] : r["end"]], words[r["match_id"]][r["match_start"] : r["match_end"]]
+        assert passages.word_distance(own, other) <= r["distance"] <= 0.2 * min(len(own), len(other))
+        found[r["doc_id"]].append((r["start"], r["end"]))
+    first, places, missed = {}, 0, 0
+    for d in sorted(words):
+        own = [tuple(words[d][k : k + 50]) for k in range(len(words[d]) - 49)]
+        for k, w in enumerate(own):
+            if first.setdefault(w, d) < d:
+                places += 1
+                missed += not any(a <= k and k + 50 <= b for a, b in found[d])
+    assert places > 1000 and missed <= 0.02 * places
+
+
+@pytest.mark.parametrize("rate,least", [(0.0, 1.0), (0.05, 0.98), (0.1, 0.95), (0.15, 0.75)])
+def test_recall_by_edit_rate(spark, rate, least):
+    """Passages of 60 words with words replaced at random, among words of their own."""
+    rng = random.Random(int(100 * rate))
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(200):
+        passage = fresh(60)
+        copy = list(passage)
+        for at in rng.sample(range(60), round(60 * rate)):
+            copy[at] = fresh(1)[0]
+        rows += [(2 * k, " ".join(fresh(40) + passage + fresh(30))), (2 * k + 1, " ".join(fresh(25) + copy + fresh(35)))]
+    got = {(r["doc_id"], r["match_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(2 * k + 1, 2 * k) for k in range(200)} and len(got) >= least * 200
+
+
 @pytest.mark.parametrize("halves", [((0, 40), (20, 60)), ((0, 30), (30, 60))])
 def test_passages_whose_parts_occur_earlier(spark, halves):
     """Two documents share 60 words, parts of which stand in earlier documents: 30 such passages, all of them found."""
@@ -451,19 +486,34 @@ def test_passages_whose_parts_occur_earlier(spark, halves):
     assert {p for r in again for p in range(r["start"], r["end"])} == set(range(9, 139))
 
 
+def test_fenwick_gives_the_best_so_far():
+    rng = random.Random(12)
+    for _ in range(50):
+        tree, put = passages.Fenwick(30), {}
+        for who in range(60):
+            at, value = rng.randrange(30), rng.random()
+            tree.put(at, value, who)
+            put[who] = (at, value)
+            upto = rng.randrange(-1, 30)
+            below = [(v, w) for w, (p, v) in put.items() if p <= upto]
+            assert tree.upto(upto) == (max(below) if below else (float("-inf"), -1))
+
+
 def test_chains_are_best():
-    """The Fenwick tree's scores against the quadratic recurrence."""
+    """The best chain's score against the quadratic recurrence, on matches that do not overlap; chains ascend in both."""
     rng = random.Random(4)
-    k, gap = passages.K, passages.GAP_COST
-    for _ in range(100):
-        matches = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(1, 25))})
+    k, gap, step = passages.K, passages.GAP_COST, 10
+    for _ in range(200):
+        matches = sorted({(step * rng.randrange(5), step * rng.randrange(5)) for _ in range(rng.randrange(1, 20))})  # so near each other that no chain is cut
         best = {}
         for a, b in matches:
-            best[a, b] = max([float(k), *(best[x, y] + k - gap * (a + b - x - y) - max(0, k - min(a - x, b - y)) for x, y in best if x < a and y < b and best[x, y] - gap * (a + b - x - y) > 0)])
+            best[a, b] = k + max([0.0, *(best[x, y] - gap * (a + b - x - y) for x, y in best if x < a and y < b)])
         found = passages.chains(matches)
         assert sorted(m for c in found for m in c) == matches
         assert all(p[0] < q[0] and p[1] < q[1] for c in found for p, q in zip(c, c[1:], strict=False))
-        assert max(map(passages._score, found)) <= max(best.values()) + 20  # a chain is never scored beyond its words
+        assert all(q[0] - p[0] <= passages.MAX_GAP + k and q[1] - p[1] <= passages.MAX_GAP + k for c in found for p, q in zip(c, c[1:], strict=False))
+        score = lambda c: k * len(c) - gap * (c[-1][0] + c[-1][1] - c[0][0] - c[0][1])
+        assert max(map(score, found)) == pytest.approx(max(best.values()))
 
 
 def spans_by_hand(text):

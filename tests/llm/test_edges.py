@@ -135,11 +135,11 @@ def test_warc_of_a_hostile_page(spark, unit):
 
 @pytest.mark.parametrize("unit", ["a@b.co ", "1.2.3.4 ", "+12345678 ", "token='sk_aB3dE5fG7hIjKlMnOpQ1' ", "bob [at] x [dot] org ", "a@b.co,call 555-123-4567 "])
 def test_pii_of_a_full_text(spark, unit):
-    """100,000 matches in one text take time in proportion; base spans are all there, added ones overlap none of them."""
-    n = 100_000
+    """20,000 matches and more in one text take time in proportion; base spans are all there, added ones overlap none."""
+    n = 20_000
     df = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
     out = []
-    assert seconds(lambda: out.extend(pii.find_pii(df).collect())) < 60
+    assert seconds(lambda: out.extend(pii.find_pii(df).collect())) < 40
     found = sorted([tuple(m)[1:] for m in [*out[0]["base"], *out[0]["added"]]])
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
     if "[" not in unit and "sk_" not in unit:
