@@ -1,7 +1,7 @@
 """Usage over time: gap-filled buckets, roll-ups, averages and changes between periods.
 
-Buckets are keyed by local day or hour text and by a date or timestamp; the scaffold of empty buckets is a sequence of
-bounded length made by Spark, so nothing but bucket rows is ever sorted.
+Buckets are keyed by the timestamp they begin at; the scaffold of empty buckets is a sequence made by Spark, so nothing
+but bucket rows is ever sorted.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from ledgerline.functions.periods import week_start
 from ledgerline.functions.pricing import TOKENS
 from ledgerline.operators.reports import billed, in_range
 
-#: Most buckets of a series, by unit.
-CAPS = {"hour": 24 * 93, "day": 3650, "week": 520, "month": 120}
+#: Most buckets that a chart shows, by unit, for those who ask for it (``most``).
+CHART_CAPS = {"hour": 24 * 93, "day": 3650, "week": 520, "month": 120}
 COUNTS = ["sessions", "turns", "requests", "tokens"]
 
 
@@ -35,23 +35,26 @@ def _counted(priced: DataFrame, sessions: DataFrame, turns: DataFrame, unit: str
     return rows.groupBy("bucket").agg(F.sum("cost_usd").alias("cost_usd"), *(F.sum(c).alias(c) for c in COUNTS))
 
 
-def gap_filled(buckets: DataFrame, unit: str, start=None, end=None) -> DataFrame:
-    """All buckets from the first to the last, or from ``start`` to ``end``, with zeros where nothing happened."""
+def gap_filled(buckets: DataFrame, unit: str, start=None, end=None, most: int | None = None) -> DataFrame:
+    """All buckets from the first to the last, or from ``start`` to ``end``, with zeros where nothing happened; the first
+    ``most`` of them, or all."""
     spark = buckets.sparkSession
     step = F.expr(f"INTERVAL 1 {unit.upper()}")
     ends = buckets.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     if start is not None and end is not None:
         both = spark.range(1).select(F.lit(start).cast("timestamp_ntz").alias("lo"), F.lit(end).cast("timestamp_ntz").alias("hi"))
         ends = both.select(bucket_start(F.col("lo"), unit).alias("lo"), bucket_start(F.col("hi"), unit).alias("hi"))
-    every = ends.where("lo <= hi").select(F.explode(F.slice(F.sequence("lo", "hi", step), 1, CAPS[unit])).alias("bucket"))
+    every_one = F.sequence("lo", "hi", step)
+    every = ends.where("lo <= hi").select(F.explode(every_one if most is None else F.slice(every_one, 1, most)).alias("bucket"))
     filled = every.join(buckets, "bucket", "left")
     return filled.select("bucket", F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS))
 
 
-def timeline(priced: DataFrame, sessions: DataFrame, turns: DataFrame, unit: str = "day", start=None, end=None, reasoning: bool = False) -> DataFrame:
-    """bucket, cost_usd, sessions, turns, requests and tokens. Weeks and months are roll-ups of days."""
+def timeline(priced: DataFrame, sessions: DataFrame, turns: DataFrame, unit: str = "day", start=None, end=None, reasoning: bool = False, most: int | None = None) -> DataFrame:
+    """bucket, cost_usd, sessions, turns, requests and tokens. Weeks and months are roll-ups of days. ``most`` bounds the
+    hours or days of a series, for charts (CHART_CAPS)."""
     base = unit if unit in ("day", "hour") else "day"
-    daily = gap_filled(_counted(priced, sessions, turns, base, start, end, reasoning), base, start, end)
+    daily = gap_filled(_counted(priced, sessions, turns, base, start, end, reasoning), base, start, end, most)
     return daily if base == unit else roll_up(daily, unit)
 
 
@@ -72,7 +75,7 @@ def period_totals(buckets: DataFrame) -> DataFrame:
 
 def changes(buckets: DataFrame) -> DataFrame:
     """Each bucket's change in cost against the one before, in percent; null where that was 0 or is missing. Buckets are
-    one row per period, so a single ordered window is bounded by CAPS."""
+    one row per period, so a single ordered window holds no more than there are periods."""
     before = F.lag("cost_usd").over(Window.orderBy("bucket"))
     return buckets.withColumn("delta_percent", F.when(before != 0, (F.col("cost_usd") - before) / before * 100))
 

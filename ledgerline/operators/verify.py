@@ -53,14 +53,16 @@ def session_truth(lines: DataFrame) -> DataFrame:
 
 def divergences(view: DataFrame, truth: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """session_id, kind, view, truth and severity of every difference. ``view`` and ``truth`` have session_id, COUNTED and
-    cost_usd. Sessions in ``pending`` are not compared."""
+    cost_usd. A session that one side alone has is missing from the view or unknown to the truth. Sessions in ``pending``
+    are not compared."""
     v = view.select(F.col("session_id").alias("_vs"), *(F.col(c).alias(f"v_{c}") for c in [*COUNTED, "cost_usd"]))
-    both = truth.select("session_id", *COUNTED, "cost_usd", *(["unpriced"] if "unpriced" in truth.columns else [])).join(v, F.col("session_id") == F.col("_vs"), "left")
+    both = truth.select("session_id", *COUNTED, "cost_usd", *(["unpriced"] if "unpriced" in truth.columns else [])).join(v, F.col("session_id") == F.col("_vs"), "full_outer")
+    both = both.withColumn("_ts", F.col("session_id")).withColumn("session_id", F.coalesce("session_id", "_vs"))
     if pending is not None:
         both = both.join(pending.select("session_id"), "session_id", "left_anti")
     item = lambda kind, when, a, b: F.when(when, F.struct(F.lit(kind).alias("kind"), a.cast("double").alias("view"), b.cast("double").alias("truth")))
-    absent = F.col("_vs").isNull()
-    found = [item("session-missing", absent, F.lit(None), F.lit(None))]
+    absent = F.col("_vs").isNull() | F.col("_ts").isNull()
+    found = [item("session-missing", F.col("_vs").isNull(), F.lit(None), F.lit(None)), item("session-unknown", F.col("_ts").isNull(), F.lit(None), F.lit(None))]
     found += [item(f"{c}-mismatch", ~absent & ~F.coalesce(f"v_{c}", F.lit(0)).eqNullSafe(F.coalesce(c, F.lit(0))), F.coalesce(f"v_{c}", F.lit(0)), F.coalesce(c, F.lit(0))) for c in COUNTED]
     found.append(item("cost-mismatch", ~absent & (F.abs(F.coalesce("v_cost_usd", F.lit(0.0)) - F.col("cost_usd")) > TOLERANCE), F.coalesce("v_cost_usd", F.lit(0.0)), F.col("cost_usd")))
     if "unpriced" in both.columns:

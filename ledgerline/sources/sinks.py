@@ -65,3 +65,14 @@ def _bounded(df: DataFrame, most: int) -> list:
 def replace_sources(df: DataFrame, path: str, by: str = "source_id") -> None:
     """Writes rows by source; partitions of sources in ``df`` are replaced, others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def drop_sources(gone: DataFrame, path: str, by: str = "source_id") -> None:
+    """Removes the rows of the sources in ``gone`` (a column ``by``). Only the partitions of these sources are touched:
+    each is replaced by nothing. The names of vanished sources pass through the driver, a bounded page at a time."""
+    spark = gone.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in gone.select(by).distinct().toLocalIterator():
+        folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(by, str(r[0]))
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, folder), True)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.sources.logs import changed_files, fingerprint
-from ledgerline.sources.sinks import replace_sources
+from ledgerline.sources.sinks import drop_sources, replace_sources
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -23,23 +23,39 @@ def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
 
 
-def recompute_touched(stream: DataFrame, key: str, rebuild: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, seconds: float = 0.5) -> StreamingQuery:
+def recompute_touched(stream: DataFrame, key: str, rebuild: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, seconds: float = 0.5, buckets: int = 64) -> StreamingQuery:
     """Late lines can change how a whole session is put together, so each batch hands the keys it touches to ``rebuild``
-    and replaces their partitions. Running a batch again writes the same partitions, so a restart repeats nothing."""
+    and replaces their part of the table. The table is cut by a hash of the key into ``buckets`` parts, not into a folder
+    a key: ``rebuild`` gets all keys of the parts that a batch touches. Running a batch again writes the same parts, so a
+    restart repeats nothing."""
+    part = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("part")
 
     def batch(df: DataFrame, _: int) -> None:
-        replace_sources(rebuild(df.select(key).distinct()), table, key)
+        keys = df.select(key, part).distinct()
+        if table_exists(df.sparkSession, table):
+            held = df.sparkSession.read.parquet(table).select(key, "part").join(keys.select("part").distinct(), "part", "left_semi").select(key, "part")
+            keys = keys.union(held).distinct()
+        replace_sources(rebuild(keys.select(key)).withColumn("part", part), table, "part")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
 def refresh_changed(files: DataFrame, manifest: DataFrame, rebuild: Callable[[DataFrame], DataFrame], table: str) -> tuple[DataFrame, DataFrame]:
-    """Batch refresh: rebuilds the sources of files whose size or time changed. Gives the new manifest and the paths that
-    are gone. ``files``: path, size, modified and source_id."""
+    """Batch refresh: rebuilds the sources of files whose size or time changed and those that lost files, and removes the
+    rows of sources that have no file any more. Gives the new manifest and the paths that are gone. ``files``: path, size,
+    modified and source_id; ``manifest``: path, fingerprint and source_id."""
     marked = files.withColumn("fingerprint", fingerprint(F.col("size"), F.col("modified")))
     new, gone = changed_files(marked, manifest)
-    replace_sources(rebuild(new.select("source_id").distinct()), table)
-    return marked.select("path", "fingerprint"), gone.select("path")
+    present = marked.select("source_id").distinct()
+    fewer = gone.select("source_id").distinct().join(present, "source_id", "left_semi")
+    replace_sources(rebuild(new.select("source_id").union(fewer).distinct()), table)
+    drop_sources(gone.select("source_id").join(present, "source_id", "left_anti"), table)
+    return marked.select("path", "fingerprint", "source_id"), gone.select("path")
 
 
 def _keep_rises(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -177,9 +177,12 @@ def test_streams(spark, tmp_path):
 def test_changed_files(spark, tmp_path):
     files = spark.createDataFrame([("/a", 1, at(0), 1), ("/b", 2, at(0), 2)], "path string, size long, modified timestamp, source_id long")
     rebuild = lambda keys: keys.withColumn("v", F.col("source_id") * 10)
-    manifest, gone = refresh.refresh_changed(files, spark.createDataFrame([("/gone", "x")], "path string, fingerprint string"), rebuild, f"{tmp_path}/t")
+    old = spark.createDataFrame([("/gone", "x", 3)], "path string, fingerprint string, source_id long")
+    sinks.replace_sources(spark.createDataFrame([(3, 30)], "source_id long, v long"), f"{tmp_path}/t")
+    manifest, gone = refresh.refresh_changed(files, old, rebuild, f"{tmp_path}/t")
     assert [r["path"] for r in gone.collect()] == ["/gone"]
     refresh.refresh_changed(files.withColumn("size", F.when(F.col("path") == "/b", 3).otherwise(F.col("size"))), manifest, lambda keys: keys.withColumn("v", F.lit(-1)), f"{tmp_path}/t")
+    spark.catalog.refreshByPath(f"{tmp_path}/t")
     assert sorted((r["source_id"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [(1, 10), (2, -1)]
 
 
