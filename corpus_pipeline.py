@@ -23,8 +23,8 @@ def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier line go; n_chars follows. A document that loses all its lines stays, empty."""
-    return remove_lines(docs, saved(line_duplicates(docs)))
+    """Lines similar to an earlier line go; n_chars follows. A document that loses all its words is a copy, and goes."""
+    return remove_lines(docs, saved(line_duplicates(docs)), drop_emptied=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
