@@ -160,13 +160,15 @@ def _with_removed(keyed: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.join(named, same, "left").select(*keyed.columns, "removed")
 
 
-def remove_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
+def remove_lines(docs: DataFrame, found: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """The rows of ``docs`` without the lines in ``found``; n_chars, if there, follows the text. Other columns stay as
-    they are, whatever their names."""
+    they are, whatever their names. With ``drop_emptied`` rows that lose all their words go; those that had none stay."""
     rows = docs.select(F.struct("*").alias("row"))
     both = _with_removed(rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), *text_keys(F.col("row.text"))), found)
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     cut = both.withColumn("cut", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept))
+    if drop_emptied:
+        cut = cut.where(F.col("removed").isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = lambda kind: F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(kind).alias("n_chars")
     made = {"text": lambda f: F.col("cut").cast(f.dataType).alias("text"), "n_chars": lambda f: n_chars(f.dataType)}
     return cut.select(*(made[f.name](f) if f.name in made else F.col("row").getField(f.name).alias(f.name) for f in docs.schema))
