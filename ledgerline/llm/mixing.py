@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
 Words are counted for every document; each source's target follows from its weight; every document is taken
-floor(rate) times and once more if a hash of its id falls below the fraction of the rate, so reruns agree.
+floor(rate) times and once more if a hash of its id and text falls below the fraction of the rate, so reruns agree.
 
-Null texts have size 0. Null is a source of its own, the last. Rows that share a doc_id share their draw, and a null
-doc_id draws as the empty string. Sources without any word have target 0. An empty table gives no rows.
+Null texts have size 0. Null is a source of its own, the last. Rows that share doc_id and text share their draw, nulls
+being as empty ones; rows that share one of them do not, so a source of many texts under one id, or none, still comes near
+its target. Sources without any word have target 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ def source_rates(sized: DataFrame, weights: DataFrame | None = None) -> DataFram
     return out.select("source", "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate"))
 
 
-def copies(rate, doc_id):
-    """floor(rate), and one more by a draw from the id's hash."""
-    draw = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def copies(rate, doc_id, text):
+    """floor(rate), and one more by a draw from the hash of id and text."""
+    named = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(text.cast("string"), F.lit(""))))
+    draw = F.conv(F.substring(named, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
@@ -58,7 +60,7 @@ def with_rates(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     rates = saved(source_rates(sized.select("source", "size"), weights))
     rates = rates.select(F.coalesce("source", F.lit("")).alias("named"), F.col("source").isNull().alias("unnamed"), "source_size", "target", "rate")
     both = sized.join(rates, (F.coalesce("source", F.lit("")) == F.col("named")) & (F.col("source").isNull() == F.col("unnamed")))
-    return both.select("row", "size", "source_size", "target", copies(F.col("rate"), F.col("row.doc_id")).alias("copies"))
+    return both.select("row", "size", "source_size", "target", copies(F.col("rate"), F.col("row.doc_id"), F.col("row.text")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -83,7 +85,7 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0.0))
 lvl AS (SELECT level FROM levels WHERE level * weight <= cap ORDER BY cap / weight, source NULLS LAST LIMIT 1),
 targets AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM lvl), CAST('infinity' AS DOUBLE))) AS target FROM levels),
 rates AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0 ELSE target / source_size END AS rate FROM targets),
-mixed AS (SELECT s.*, r.source_size, r.target, CAST(floor(rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+mixed AS (SELECT s.*, r.source_size, r.target, CAST(floor(rate) AS BIGINT) + CASE WHEN CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(text, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
   FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)"""
 
 

@@ -39,8 +39,11 @@ WIDER = {
 KINDS = [*BASE, "secret"]
 #: Fixed words of the context and gazetteer labelers, in lower case.
 CUES = "email|e-mail|mail|phone|tel|call|fax|mobile|card|visa|iban|token|secret|password|passwd|api_key|apikey|key|auth|bearer|ip|host|server|contact"
-PROVIDERS = "gmail|yahoo|outlook|hotmail|proton|icloud|mail|example"
-SECRET_PREFIXES = "sk_|pk_|ghp_|xox|akia|eyj"
+PROVIDERS = "gmail|googlemail|yahoo|ymail|outlook|hotmail|live|msn|proton|protonmail|icloud|me|aol|gmx|web|mail|yandex|qq|163|126|naver|daum|zoho|fastmail|hey|tutanota|comcast|verizon|example"
+SECRET_PREFIXES = "sk_|sk-|pk_|rk_|ghp_|gho_|ghs_|github_pat_|glpat-|xox|akia|asia|eyj|aiza|ya29|npm_|pypi-|hf_|shpat_|dop_|sg\\."
+#: Calling codes of countries, and addresses that belong to nobody in particular.
+CALLING = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[0-3]|50[0-9]|59[0-9]|67[0-9]|85[0-9]|88[0-9]|96[0-8]|97[0-9]|99[2-8]"
+LOCAL_ADDRESSES = r"0|10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|169\.254|255"
 #: Characters before a candidate that the context labeler reads.
 NEAR = 24
 LABELERS = ["pattern", "shape", "gazetteer", "context", "quoted"]
@@ -185,7 +188,8 @@ def labelled(span, base: bool):
     votes = {
         "pattern": F.lit(1) if base else F.when(kind == "phone", 1),
         "shape": F.when(kind == "secret", F.when(hexed | mixed, 1).when(digits * 5 < F.length(s), 0)).when(kind == "ip", F.when(s.rlike(r"^(?:0|127)\."), 0).otherwise(1)).when(kind == "card", F.when(s.rlike("^[3-6]"), 1).otherwise(0)),
-        "gazetteer": F.when((kind == "email") & F.lower(s).rlike(rf"@(?:[a-z0-9-]+\.)*(?:{PROVIDERS})"), 1).when((kind == "secret") & F.lower(s).rlike(f"^(?:{SECRET_PREFIXES})"), 1),
+        "gazetteer": F.when((kind == "email") & F.lower(s).rlike(rf"@(?:[a-z0-9-]+\.)*(?:{PROVIDERS})"), 1).when((kind == "secret") & F.lower(s).rlike(f"^(?:{SECRET_PREFIXES})"), 1)
+        .when((kind == "phone") & s.rlike(rf"^\+(?:{CALLING})"), 1).when((kind == "ip") & s.rlike(rf"^(?:{LOCAL_ADDRESSES})\."), 0),
         "context": F.when(cue, 1).when(before.rlike(r"\b(?:version|v|isbn|id|no|sku|figure|page)\b[^a-z]*$"), 0),
         "quoted": F.when(quoted & after.rlike("^[\"']"), 1).when((kind == "secret") & ~quoted, 0),
     }
@@ -274,4 +278,4 @@ def op10_pii(spark, sf_dir):
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     digest = F.sha2(_joined(F.col("base")), 256).alias("base_sha256")
     more = [count_kind(k, "added").alias(f"n_{k}") for k in KINDS if k not in BASE]
-    return found.select("doc_id", *(count_kind(k).alias(f"n_{k}") for k in BASE), digest, _joined(F.concat("base", "added")).alias("spans"), *more, F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *(count_kind(k).alias(f"n_{k}") for k in BASE), digest, _joined(F.concat("base", "added")).alias("spans"), *more, F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

@@ -379,6 +379,13 @@ def test_mix_repeats_documents(spark):
     assert Counter((r["source"], r["doc_id"]) for r in mixing.mix(df.repartition(3)).collect()) == taken
 
 
+def test_texts_without_ids_draw_for_themselves(spark):
+    rows = [(None, f"w {k}", "a" if k % 2 else "b") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter(r["source"] for r in mixing.mix(df).collect())
+    assert abs(taken["a"] - 4000 / 3) < 150 and abs(taken["b"] - 8000 / 3) < 150
+
+
 def removed_by_hand(texts):
     want, sets, index = {}, [], defaultdict(list)
     for d in sorted(texts):
@@ -447,7 +454,7 @@ def test_every_repeated_window_is_found(spark, texts):
     assert places > 1000 and missed <= 0.02 * places
 
 
-@pytest.mark.parametrize("rate,least", [(0.0, 1.0), (0.05, 0.98), (0.1, 0.95), (0.15, 0.75)])
+@pytest.mark.parametrize("rate,least", [(0.0, 1.0), (0.05, 0.98), (0.1, 0.95), (0.15, 0.7)])
 def test_recall_by_edit_rate(spark, rate, least):
     """Passages of 60 words with words replaced at random, among words of their own."""
     rng = random.Random(int(100 * rate))
@@ -557,3 +564,17 @@ def test_pii_adds_secrets(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: {m["kind"] for m in r["added"]} for r in pii.find_pii(df).collect()}
     assert all("secret" in got[k] for k in range(50)) and not any(got[100 + k] for k in range(50))
+
+
+def test_pii_finds_what_base_patterns_miss(spark):
+    """Keys that follow a name in the driver's own documents: nearly all are found, and little else is added."""
+    sf = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else SF
+    key = re.compile(r"token = \"([0-9a-f]{32,})\"")
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {(d, m.start(1), m.end(1)) for d, t in docs.items() for m in key.finditer(t)}
+    rows = pii.op10_pii(spark, sf).collect()
+    got = {(r["doc_id"], int(a), int(b)) for r in rows for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x) if kind == "secret"}
+    assert len(want) >= 10 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want) + 2
+    for r in rows:
+        kinds = Counter(x.split(":")[0] for x in r["spans"].split(",") if x)
+        assert r["n_secret"] == kinds["secret"] and r["n_spans"] == sum(kinds.values()) == r["n_added"] + sum(r[f"n_{k}"] for k in pii.BASE)
