@@ -275,6 +275,23 @@ def linked_agents(calls: DataFrame, results: DataFrame, children: DataFrame) ->
     return both.groupBy("child").agg(F.min_by(F.struct("call_id", "turn"), "line").alias("c")).select("child", "c.call_id", "c.turn")
 
 
+def sidechains(sessions: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds is_sidechain to sessions (id, root, parent): a child of its root that a call in the root's turns names
+    (``links``: root, child). Its requests and turns are off the main chain; other children stay turns of the root."""
+    named = links.select(F.col("root").alias("_root"), F.col("child").alias("_child")).distinct().withColumn("_linked", F.lit(True))
+    both = sessions.join(named, (F.col("root") == F.col("_root")) & (F.col("id") == F.col("_child")), "left")
+    marked = (F.col("id") != F.col("root")) & F.col("parent").eqNullSafe(F.col("root")) & F.col("_linked").isNotNull()
+    return both.select(*sessions.columns, marked.alias("is_sidechain"))
+
+
+def shells(requests: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Per session the earliest prompt off sidechains and the first and last request's times."""
+    times = requests.groupBy("session_id").agg(F.min("timestamp").alias("started"), F.max("timestamp").alias("ended"))
+    own = prompts.where("not is_sidechain and trim(coalesce(text, '')) <> ''")
+    first = own.groupBy("session_id").agg(F.min_by(F.trim("text"), F.struct("ts", "line")).alias("first_prompt"))
+    return times.join(first, "session_id", "left")
+
+
 def coalesced_agent_turns(agent_turns: DataFrame) -> DataFrame:
     """All turns of one linked agent as one: the earliest one's id, interrupted if any was."""
     return agent_turns.groupBy("agent_id").agg(F.min_by("turn", F.struct("start_time", "turn")).alias("turn"), F.min("start_time").alias("start_time"), F.bool_or("interrupted").alias("interrupted"), F.sum("n_steps").alias("n_steps"))

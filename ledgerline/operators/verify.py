@@ -51,6 +51,44 @@ def session_truth(lines: DataFrame) -> DataFrame:
     return sums.join(raw, "session_id")
 
 
+_B_FIELDS = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
+
+
+def _folded(batches):
+    """Streams token events sorted by piece and line and keeps one running total: what stands in the log is read line
+    after line, as its writer made it, where the tables come from windows."""
+    import pyarrow as pa
+
+    names = ["piece", "requests", "input_tokens", "cache_read", "output_tokens", "reasoning_tokens"]
+    rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [()] * 6)], names)
+    piece, running, sums = None, None, [0] * 5
+    plain = lambda u: [int(u[f] or 0) for f in _B_FIELDS]
+    for b in batches:
+        out = []
+        for p, last, total in zip(*(b.column(c).to_pylist() for c in ("piece", "last_usage", "total_usage")), strict=True):
+            if p != piece:
+                if piece is not None:
+                    out.append((piece, *sums))
+                piece, running, sums = p, None, [0] * 5
+            last, total = last and plain(last), total and plain(total)
+            if total is None or total != running:
+                used = last or (total and [max(a - b, 0) for a, b in zip(total, running or [0] * 5, strict=True)])
+                if used and any(used[:4]):
+                    sums = [a + b for a, b in zip(sums, (1, max(used[0] - used[1], 0), used[1], used[2], used[3]), strict=True)]
+            running = total or (last and [a + b for a, b in zip(running or [0] * 5, last, strict=True)]) or running
+        yield rows(out)
+    if piece is not None:
+        yield rows([(piece, *sums)])
+
+
+def counter_truth(events: DataFrame) -> DataFrame:
+    """Usage of provider B's pieces (log files), recomputed by a fold over their token events: piece, requests and sums
+    of tokens. ``events``: piece, line, last_usage and total_usage."""
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = events.select(F.col("piece").cast("long").alias("piece"), "line", "last_usage", "total_usage").repartition(parts, "piece").sortWithinPartitions("piece", "line")
+    return ordered.mapInArrow(_folded, "piece long, requests long, input_tokens long, cache_read long, output_tokens long, reasoning_tokens long")
+
+
 def divergences(view: DataFrame, truth: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """session_id, kind, view, truth and severity of every difference. ``view`` and ``truth`` have session_id, COUNTED and
     cost_usd. A session that one side alone has is missing from the view or unknown to the truth. Sessions in ``pending``

@@ -9,7 +9,7 @@ from ledgerline.functions import text as X
 from ledgerline.operators import reports as R
 from ledgerline.operators import search as Q
 from ledgerline.operators import verify as V
-from ledgerline.plans.tables import Tables
+from ledgerline.plans.tables import Tables, prompts
 
 
 def _in(t: Tables, start, end) -> DataFrame:
@@ -57,8 +57,7 @@ def top_days(t: Tables, start=None, end=None, limit: int = 10) -> DataFrame:
 
 def search(t: Tables, query: str, limit: int = 20) -> DataFrame:
     """Sessions whose prompts match, by their best hit. As in the original report the best 500 hits are grouped."""
-    docs = Q.searchable(t.steps).select(F.concat_ws(":", "session_id", "uuid").alias("doc"), "session_id", "text")
-    return Q.session_hits(Q.ranked(docs, query), limit)
+    return Q.session_hits(Q.index_ranked(t.postings, t.lengths, prompts(t.steps), query), limit)
 
 
 def budget(t: Tables, usd: float, start=None, end=None) -> DataFrame:

@@ -10,10 +10,12 @@ from ledgerline.functions import periods as P
 from ledgerline.functions import text as X
 from ledgerline.functions.pricing import split_cache_writes
 from ledgerline.operators import conversation as C
+from ledgerline.operators import counters as K
 from ledgerline.operators import efficiency as E
 from ledgerline.operators import search as Q
 from ledgerline.operators import storage as S
 from ledgerline.operators import verify as V
+from ledgerline.plans import counter_queries as B
 from ledgerline.plans import usage_queries as U
 from ledgerline.plans.adapters import PRICED_SQL, priced, read
 from ledgerline.plans.catalog import query
@@ -270,3 +272,85 @@ def changed_files(spark, sf):
 def latest_titles(spark, sf):
     rows = read(spark, sf, "events").select(F.col("user_id").alias("id"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"), F.when(F.col("event_id") % 3 != 0, F.floor(F.col("event_id") / 5)).alias("updated_at"), F.col("event_id").alias("line"))
     return L.latest_titles(rows)
+
+
+# Provider B: truth by a fold, chains, sidechains and shells.
+_USED_SQL = f"""{B._SQL}, used AS (SELECT *, CASE WHEN last IS NOT NULL THEN last WHEN before IS NULL THEN total WHEN total > before THEN total - before ELSE 0 END AS u FROM prev),
+by_piece AS (SELECT piece, CAST(sum(3 * u) AS BIGINT) AS input_tokens, CAST(sum(u) AS BIGINT) AS cache_read, CAST(sum(2 * u) AS BIGINT) AS output_tokens FROM used GROUP BY piece)"""
+
+
+def _truth_b(spark, sf):
+    return V.counter_truth(B._events(spark, sf).where("payload_type = 'token_count'"))
+
+
+@query("counter_truth", f"WITH {_USED_SQL} SELECT * FROM by_piece")
+def counter_truth(spark, sf):
+    return _truth_b(spark, sf).select("piece", "input_tokens", "cache_read", "output_tokens")
+
+
+@query("counter_divergences", f"WITH {_USED_SQL} SELECT piece AS session_id, CASE WHEN piece % 40 = 0 THEN 'session-missing' ELSE 'session-unknown' END AS kind FROM by_piece WHERE input_tokens > 0 AND (piece % 40 = 0) <> (piece % 37 = 0)")
+def counter_divergences(spark, sf):
+    """The windows' side lacks pieces divisible by 40, the fold's side those divisible by 37; else both agree."""
+    known = K.requests(B._events(spark, sf), B._sessions(spark, sf).withColumn("forked", F.lit(False)))
+    sums = known.groupBy(F.col("piece").alias("session_id")).agg(F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in V.COUNTED[1:]))
+    view = sums.withColumn("cost_usd", F.lit(0.0)).where("session_id % 40 <> 0")
+    none = {"cache_1h": F.lit(0).cast("long"), "cache_5m": F.lit(0).cast("long"), "cost_usd": F.lit(0.0)}
+    truth = _truth_b(spark, sf).withColumnRenamed("piece", "session_id").withColumns(none).where("session_id % 37 <> 0 and requests > 0")
+    return V.divergences(view, truth).select("session_id", "kind")
+
+
+_TREE_SQL = """s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey > 1 THEN CAST(floor(c_custkey / 2) AS BIGINT) END AS parent FROM customer),
+up(id, here, depth) AS (SELECT id, id, 0 FROM s UNION ALL SELECT up.id, s.parent, depth + 1 FROM up JOIN s ON s.id = up.here WHERE s.parent IS NOT NULL),
+tree AS (SELECT id, arg_max(here, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY id)"""
+
+
+def _tree(spark, sf):
+    key = F.col("c_custkey")
+    return read(spark, sf, "customer").select(key.alias("id"), F.when((key % 7 != 0) & (key > 1), F.floor(key / 2)).alias("parent"), key.alias("created"))
+
+
+@query("chain_order", f"WITH RECURSIVE {_TREE_SQL} SELECT id, root, depth FROM tree")
+def chain_order(spark, sf):
+    return K.chain_order(_tree(spark, sf)).select("id", "root", F.col("depth").cast("long").alias("depth"))
+
+
+@query("sidechain_sessions", f"WITH RECURSIVE {_TREE_SQL} SELECT s.id, coalesce(s.id <> root AND s.parent = root AND s.id % 3 = 0, false) AS is_sidechain FROM s JOIN tree USING (id)")
+def sidechain_sessions(spark, sf):
+    """Children divisible by 3 are named by a call of their root."""
+    rooted = K.chain_order(_tree(spark, sf)).select("id", "root", "parent")
+    links = rooted.where("id % 3 = 0").select("root", F.col("id").alias("child"))
+    return K.sidechains(rooted, links.union(links)).select("id", "is_sidechain")
+
+
+@query("counter_shells", """SELECT user_id AS session_id, strftime(min(ts) FILTER (WHERE event_type = 'purchase'), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) FILTER (WHERE event_type = 'purchase'), '%Y-%m-%d %H:%M:%S') AS ended,
+ concat('say ', CAST(arg_min(event_id, event_id) FILTER (WHERE event_type = 'click' AND event_id % 13 <> 0 AND event_id % 4 <> 0) AS VARCHAR)) AS first_prompt FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0""")
+def counter_shells(spark, sf):
+    e = read(spark, sf, "events").withColumn("session_id", F.col("user_id"))
+    prompts = e.where("event_type = 'click'").select("session_id", F.lit(0).alias("ts"), F.col("event_id").alias("line"), (F.col("event_id") % 13 == 0).alias("is_sidechain"), F.when(F.col("event_id") % 4 == 0, "  ").otherwise(F.concat(F.lit(" say "), F.col("event_id").cast("string"))).alias("text"))
+    found = K.shells(e.where("event_type = 'purchase'").select("session_id", F.col("ts").alias("timestamp")), prompts)
+    return found.select("session_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("started", "ended")), F.coalesce("first_prompt", F.lit("say ")).alias("first_prompt"))
+
+
+@query("linked_agents", "SELECT o_custkey AS child, arg_min(concat('c', CAST(o_orderkey AS VARCHAR)), o_orderkey) AS call_id FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 AND o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey")
+def linked_agents(spark, sf):
+    o = read(spark, sf, "orders").withColumn("call_id", F.concat(F.lit("c"), F.col("o_orderkey").cast("string"))).withColumn("turn", F.floor(F.col("o_orderkey") / 10))
+    calls = o.select("turn", "call_id", F.col("o_orderkey").alias("line"), F.when(F.col("o_orderkey") % 5 == 0, "Agent").otherwise("shell").alias("name"))
+    results = o.select("turn", "call_id", (F.col("o_orderkey") % 3 == 0).alias("is_error"), F.concat(F.lit('{"agent_id":"'), F.col("o_custkey").cast("string"), F.lit('"}')).alias("output"))
+    children = read(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("child"))
+    return K.linked_agents(calls, results, children).select(F.col("child").cast("long").alias("child"), "call_id")
+
+
+@query("patched_files", "SELECT p_partkey, concat('src/', CAST(p_size AS VARCHAR), '.py', CASE WHEN p_partkey % 2 = 0 THEN concat(',a b/', CAST(p_partkey AS VARCHAR), '.md') ELSE '' END) AS files FROM part")
+def patched_files(spark, sf):
+    one, two = F.concat(F.lit("*** Update File: src/"), F.col("p_size").cast("string"), F.lit(".py")), F.concat(F.lit("*** Add File: a b/"), F.col("p_partkey").cast("string"), F.lit(".md"))
+    patch = F.concat_ws("\n", F.lit("*** Begin Patch"), one, F.lit("+x *** Delete File: no"), F.when(F.col("p_partkey") % 2 == 0, two), one)
+    return read(spark, sf, "part").select("p_partkey", F.array_join(K.patched_files(patch), ",").alias("files"))
+
+
+@query("line_diagnostics", """WITH c AS (SELECT user_id AS piece, CASE event_type WHEN 'error' THEN 'malformed' WHEN 'view' THEN 'unknown-type:odd' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'usage-duplicate' END END AS category FROM events)
+SELECT piece, category, count(*) AS n FROM c WHERE category IS NOT NULL GROUP BY piece, category""")
+def line_diagnostics(spark, sf):
+    e = read(spark, sf, "events").withColumn("piece", F.col("user_id"))
+    lines = e.select("piece", (F.col("event_type") == "error").alias("malformed"), F.when(F.col("event_type") == "view", "odd").otherwise("event_msg").alias("type"))
+    resolved = e.where("event_type = 'signup'").select("piece", F.when(F.col("event_id") % 2 == 0, "duplicate").alias("skipped"))
+    return K.line_diagnostics(lines, resolved)

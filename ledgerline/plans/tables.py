@@ -14,6 +14,7 @@ from ledgerline.functions import text as X
 from ledgerline.functions.pricing import price, split_cache_writes
 from ledgerline.operators import conversation as C
 from ledgerline.operators import dedup as D
+from ledgerline.operators import search as Q
 from ledgerline.plans.scratch import cut
 from ledgerline.sources import logs as L
 from ledgerline.sources.sinks import replace_sources
@@ -28,6 +29,13 @@ class Tables:
     skills: DataFrame  # session_id, turn_id, skill
     lines: DataFrame  # every billable line with its own tokens, for verification
     diagnostics: DataFrame  # rejected lines: path, line, rejection
+    postings: DataFrame  # index of prompts, sorted by token: token, doc, n, at
+    lengths: DataFrame  # tokens of each indexed prompt: doc, length
+
+
+def prompts(steps: DataFrame) -> DataFrame:
+    """What is searched: doc (session and line), session_id and text."""
+    return Q.searchable(steps).select(F.concat_ws(":", "session_id", "uuid").alias("doc"), "session_id", "text")
 
 
 def _billable_lines(entries: DataFrame) -> DataFrame:
@@ -76,7 +84,9 @@ def build(spark: SparkSession, path: str) -> Tables:
     shells = C.titles(C.session_shells(kept)).join(projects, "session_id").join(lineage, "session_id", "left")
     sessions = shells.select("session_id", "project", F.col("shown_title").alias("title"), F.coalesce("visible", F.lit(True)).alias("visible"), "started", "ended", "branch")
     shown = steps.select("session_id", "turn_id", "uuid", "kind", "request_id", "text", "ts", "place")
-    return Tables(requests, sessions, shown, turns, skills, billable, decoded.where("rejection is not null").select("path", "line", "rejection"))
+    postings, lengths = Q.build_index(prompts(shown))
+    ordered = postings.repartitionByRange("token").sortWithinPartitions("token", "doc")
+    return Tables(requests, sessions, shown, turns, skills, billable, decoded.where("rejection is not null").select("path", "line", "rejection"), ordered, lengths)
 
 
 def write(tables: Tables, path: str, source: str) -> None:

@@ -149,7 +149,13 @@ def efficiency_by_hour_of_day(spark, sf):
     return _digits(_hours(spark, sf).select("account", "hour", *_SHOWN))
 
 
-@query("efficiency_by_hour")
+_SINCE = "BETWEEN TIMESTAMP '2024-01-23 12:00:00' AND TIMESTAMP '2024-01-30 12:34:00'"
+_LAST_SQL = _EFFICIENCY_SQL.replace("WHERE event_type = 'signup')", f"WHERE event_type = 'signup' AND ts {_SINCE})").replace("'unlisted-model'))", f"'unlisted-model') AND timestamp {_SINCE})")
+_LAST_SQL = _LAST_SQL.replace("level > p_level AND", f"level - p_level >= {E.MIN_DELTA} AND").replace("CAST(hour(ts) AS INTEGER) AS hour", "date_trunc('hour', ts) AS hour")
+_WEEK_SQL = _HOURS_SQL.replace("CAST(h AS INTEGER) AS hour", "h AS hour").replace("range(24) t(h)", "generate_series(TIMESTAMP '2024-01-23 13:00:00', TIMESTAMP '2024-01-30 12:00:00', INTERVAL 1 HOUR) t(h)")
+
+
+@query("efficiency_by_hour", f"{_LAST_SQL}, {_WEEK_SQL} SELECT account, strftime(hour, '%Y-%m-%d %H') AS hour_start, * EXCLUDE (account, hour) FROM filled")
 def efficiency_by_hour(spark, sf):
     """The last 168 hours before a fixed moment; its pairs and statistics are those of the queries above."""
     now = datetime(2024, 1, 30, 12, 34)
