@@ -8,7 +8,7 @@ class. Columns other than doc_id and text are not read. An empty table gives no
 
 How it scales. Texts with the same gram set are one class from the start, by a map-side aggregation, so thousands of
 copies cost as much as one. Band hashes of the classes meet in one shuffle; each bucket links its members to its
-least member, which is linear in the bucket. The connected components of these links hold every candidate pair, since
+least member, which is linear in the bucket, and each member keeps the least of these. The connected components of these links hold every candidate pair, since
 two members of one bucket hang on the same least member. Inside a component, classes are cut into cells by size (a
 linked pair has sizes within the threshold of each other) and cells into blocks of bounded size; each pair of blocks
 is one unit of work, which counts links and passes on only a spanning forest of them. So no pair list grows with the
@@ -189,7 +189,9 @@ def classified(docs: DataFrame, threshold: float, n: int, recall: float) -> Data
     sets = saved(sets.withColumn("id", F.monotonically_increasing_id()))
     banded = sets.select("id", F.explode("bands").alias("band"))
     heads = saved(banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("band", "head"))
-    edges = banded.join(heads, "band").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    # a member hangs on the least of its buckets' heads, and so do the other heads: one link a member, not one a band
+    hung = banded.join(heads, "band").groupBy("id").agg(F.min("head").alias("b"), F.collect_set("head").alias("heads"))
+    edges = hung.select(F.explode(F.array_append("heads", F.col("id"))).alias("a"), "b").where("a <> b").distinct()
     comps = components(edges)
 
     cell = F.floor(F.log(F.col("n_grams").cast("double")) / float(np.log(1 / threshold)) + 1e-9).cast("long")
