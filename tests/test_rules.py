@@ -195,3 +195,24 @@ def test_windowed_streams(spark, tmp_path):
         run.processAllAvailable()
         run.stop()
         assert sorted((r["requests"] for r in spark.table(name).collect()), reverse=True) == want
+
+
+@pytest.mark.parametrize("query", ["fox", "qui bro", "quick-bro", "the-quick fox", "nowhere", "", "fox-x"])
+def test_index_answers_as_texts_do(spark, query):
+    """Terms, prefixes and phrases, by the index and by the texts themselves."""
+    rows = [(1, "The quick brown fox"), (2, "quick the brown fox, the quick bro"), (3, "foxes are quick. Brown ones"), (4, None), (5, ""), (6, "fox fox x quick brow")]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    postings, lengths = Q.build_index(docs)
+    shown = lambda df: [(r["doc"], round(r["score"], 9), r["snippet"]) for r in df.collect()]
+    want = shown(Q.ranked(docs, query))
+    assert shown(Q.index_ranked(postings, lengths, docs, query)) == want
+    assert sorted(d for d, _, _ in want) == sorted(r["doc"] for r in Q.matches(docs, query).collect())
+
+
+def test_series_have_no_cap_unless_asked(spark):
+    from ledgerline.operators import timeline as T
+
+    rows = [(datetime(2010, 1, 1), 1.0, 1, 1, 1, 1), (datetime(2024, 1, 1), 2.0, 1, 1, 1, 1)]
+    buckets = spark.createDataFrame(rows, "bucket timestamp_ntz, cost_usd double, sessions long, turns long, requests long, tokens long")
+    assert T.gap_filled(buckets, "day").agg(F.count("*"), F.sum("cost_usd")).first()[:] == (5114, 3.0)
+    assert T.gap_filled(buckets, "day", most=T.CHART_CAPS["day"]).count() == 3650
