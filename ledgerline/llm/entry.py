@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import chat, decontaminate, lines, mixing, near_duplicates, passages, pii, quality, spelling, toxicity, warc
+from ledgerline.llm import chat, collocations, decontaminate, lines, mixing, near_duplicates, passages, pii, quality, spelling, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_passages": passages.op9_passages,
         "op10_pii": pii.op10_pii,
         "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_collocations": collocations.op12_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op7_mixing": mixing.OP7_SQL, "op11_spelling_variants": spelling.OP11_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op7_mixing": mixing.OP7_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op12_collocations": collocations.OP12_SQL}
