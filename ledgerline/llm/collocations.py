@@ -122,7 +122,7 @@ def _sketched(cells, least):
             c, n = np.unique(shard.cells(), return_counts=True)
             block, first = np.unique(c // np.uint64(_BLOCK), return_index=True)
             low, n = (c % np.uint64(_BLOCK)).astype("<u2"), np.minimum(n, least).astype("<u2")
-            ends = [*first[1:].tolist(), len(c)]
+            ends = [*first.tolist(), len(c)][1:]
             spans = list(zip(first.tolist(), ends, strict=True))
             cols = [pa.array(block.astype(np.int64)), pa.array([low[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([n[a:z].tobytes() for a, z in spans], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["block", "low", "n"])

@@ -29,12 +29,15 @@ def plain(rows, least=10, most=2000):
         if len(w) > 1 and a >= least:
             cuts = [(1_000_000 * a * a // (f[(lang, *w[:k])] * f[(lang, *w[k:])]), k, f[(lang, *w[:k])], f[(lang, *w[k:])]) for k in range(1, len(w))]
             found[key] = (a, *min(cuts))
-    out = []
+    out, longest = [], Counter()
+    for (lang, *w), (a, *_) in found.items():
+        if len(w) == 3:
+            for inner in ((lang, *w[:2]), (lang, *w[1:])):
+                longest[inner] = max(longest[inner], a)
     for lang in total:
         kept = []
         for key, (a, score, _, left, right) in found.items():
-            longer = [b for other, (b, *_) in found.items() if other[0] == lang and len(other) == 4 > len(key) and key[1:] in (other[1:3], other[2:4])]
-            if key[0] == lang and all(100 * b < 50 * a for b in longer):
+            if key[0] == lang and (key not in longest or 100 * longest[key] < 50 * a):
                 kept.append((-score, -a, " ".join(key[1:]).encode(), left, right))
         for rank, (score, a, p, left, right) in enumerate(sorted(kept)[:most], 1):
             out.append((lang, rank, p.decode(), -a, left, right, total[lang], -score))
