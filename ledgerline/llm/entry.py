@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import chat, collocations, decontaminate, lines, mixing, near_duplicates, passages, pii, quality, spelling, toxicity, warc
+from ledgerline.llm import chat, collocations, decontaminate, html_text, lines, mixing, near_duplicates, passages, pii, quality, spelling, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_pii": pii.op10_pii,
         "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_collocations": collocations.op12_collocations,
+        "op13_html_text": html_text.op13_html_text,
     }
 
 
