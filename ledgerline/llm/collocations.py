@@ -1,6 +1,6 @@
 """Collocations: phrases of 2 to 3 words that stand together more often than their parts make likely, per language.
 
-A first pass over the texts adds every phrase to a sketch: a row of cells, each with the number of phrase occurrences
+A first pass over the texts adds every word and phrase to a sketch: a row of cells, each with the number of occurrences
 that hash to it, which is an upper bound for each of them. A phrase may be frequent only where its cell, and those of the
 phrases within it, reach the least count; cells that do are kept as bits. A second pass cuts the texts into shards of
 ``SHARD_CHARS``. The phrases of a shard that the bits admit are compiled into one automaton a language, each guarded by
@@ -15,99 +15,151 @@ without phrases give no rows. Columns other than text and lang are not read.
 
 from __future__ import annotations
 
-import itertools
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WordHashes, mixed, saved, small_batches
+from ledgerline.llm.common import mixed, saved, small_batches
 
 MIN_COUNT = 10
 #: Part of a phrase's occurrences, in hundredths, that lie within one longer candidate where it is dropped for it.
 WITHIN_PCT = 50
 MOST_RANKED = 2000
 #: Characters of text that a task holds, and scans by one set of automata.
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 16_000_000
 #: Least and most cells of the sketch; the bits of the most are 32 MB, which is all that the driver and workers get.
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
-_BLOCK = 1 << 16
+#: Parts of the sketch that are summed apart.
+_BLOCKS = 256
 
-pieces_of = re.compile(r"[.,;:!?\x0A-\x0D]+").split
-words_of = re.compile(r"[^\x20\x09]+").findall
+_TO_PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
+#: Words that are held as strings before they are numbered, and different words that a task keeps numbered.
+HELD_WORDS = 200_000
+KNOWN_WORDS = 400_000
 
 
-def lowered_pieces(text: str | None) -> list[list[str]]:
-    """The words of each piece of a text, A-Z in lower case."""
-    low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    return [w for p in pieces_of(low) if (w := words_of(p))]
+def tokens(text: str | None) -> list[str]:
+    """The words of a text, A-Z in lower case, with a line feed between pieces and empty strings between blanks."""
+    low = (text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_PIECES)
+    return low.replace(b"\n", b" \n ").decode("utf-8", "surrogatepass").split(" ")
+
+
+class Words:
+    """Numbers words; number 0 is the end of a piece, 1 no word. Hashes are by number."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.number = {"\n": 0, "": 1}
+        self.names, self.hashes = ["\n", ""], np.zeros(1 << 16, np.uint64)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        known = self.number
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            new = set(words).difference(known)
+            at = len(known)
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+            self.names += new
+            if len(known) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(len(known), np.uint64)])
+            self.hashes[at : len(known)] = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new), np.uint64, len(new))
+            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 class Shard:
-    """The pieces of some texts of one language, as one array of words."""
-
-    def __init__(self, lang: str, pieces: list[list[str]], hashes: WordHashes, cells: int):
-        self.words = list(itertools.chain.from_iterable(pieces))
-        self.pieces = pieces
-        self.shift = np.uint64(64 - (cells.bit_length() - 1))
-        h = hashes(self.words) + hashes([f"\n{lang}"])
-        of = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    """The words of some texts of one language, piece after piece, and the hashes of their phrases."""
+
+    def __init__(self, lang: str, ids: np.ndarray, known: Words, cells: int):
+        self.ids = ids
+        self.known, self.shift = known, np.uint64(64 - (cells.bit_length() - 1))
+        of_lang = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+        h = mixed(known.hashes[ids] + of_lang)
+        self.used = np.unique(ids[ids > 0])
+        self.singles = mixed(known.hashes[self.used] + of_lang)
+        self.single_counts = np.bincount(ids)[self.used] if len(ids) else ids
+        is_word = ids > 0
+        self.pair_at = np.flatnonzero(is_word[:-1] & is_word[1:])
         pair = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-        self.pair_at = np.flatnonzero(of[:-1] == of[1:])
         self.pairs = pair[self.pair_at]
-        self.triple_at = np.flatnonzero(of[:-2] == of[2:])
+        self.triple_at = np.flatnonzero(is_word[:-2] & is_word[1:-1] & is_word[2:])
         self.first, self.second = pair[self.triple_at], pair[self.triple_at + 1]
         self.triples = mixed(self.first * np.uint64(0xC2B2AE3D27D4EB4F) + self.second)
 
-    def cells(self) -> np.ndarray:
-        """The cell of every phrase occurrence."""
-        return np.concatenate([self.pairs, self.triples]) >> self.shift
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of all words and phrases, and how many occurrences fall into each."""
+        cells, n = np.unique(np.concatenate([self.pairs, self.triples]) >> self.shift, return_counts=True)
+        own = self.singles >> self.shift
+        both, at = np.unique(np.concatenate([cells, own]), return_inverse=True)
+        return both, np.bincount(at, weights=np.concatenate([n, self.single_counts]), minlength=len(both)).astype(np.int64)
 
-    def admitted(self, bits: np.ndarray) -> set[str]:
-        """The phrases that may be frequent."""
+    def counts(self, bits: np.ndarray) -> tuple[list[str], list[int]]:
+        """Words and phrases that ``bits`` admit, with their occurrences in this shard; all words together as ""."""
 
         def likely(h):
             c = h >> self.shift
             return (bits[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
-        out, w = set(), self.words
-        for at, ok, h, size in ((self.pair_at, likely(self.pairs), self.pairs, 2), (self.triple_at, likely(self.first) & likely(self.second) & likely(self.triples), self.triples, 3)):
-            _, one = np.unique(h[ok], return_index=True)  # one occurrence of each, by hash
-            out.update(" ".join(w[i : i + size]) for i in at[ok][one].tolist())
-        return out
-
-    def counts(self, bits: np.ndarray) -> list[tuple[str, int]]:
-        """Occurrences in this shard of every word and every admitted phrase."""
-        out = list(Counter(self.words).items())
-        finder = ahocorasick.Automaton()
-        for p in self.admitted(bits):
-            finder.add_word(f" {p} ", p)
-        if len(finder):
-            finder.make_automaton()
-            text = "\n".join(f" {' '.join(p)} " for p in self.pieces)
-            out += Counter(map(itemgetter(1), finder.iter(text))).items()
-        return out
+        names = self.known.names
+        ok = likely(self.singles)
+        out, n = [names[i] for i in self.used[ok].tolist()], self.single_counts[ok].tolist()
+        out.append("")
+        n.append(int(self.single_counts.sum()))
+        ok2, ok3 = likely(self.pairs), likely(self.first) & likely(self.second) & likely(self.triples)
+        finder, found = ahocorasick.Automaton(), []
+        for at, h, size in ((self.pair_at[ok2], self.pairs[ok2], 2), (self.triple_at[ok3], self.triples[ok3], 3)):
+            one = at[np.unique(h, return_index=True)[1]]  # one occurrence of each, by hash
+            found += [" ".join(names[i] for i in p) for p in self.ids[one[:, None] + np.arange(size)].tolist()]
+        if not found:
+            return out, n
+        for k, p in enumerate(found):
+            finder.add_word(f" {p} ", k)
+        finder.make_automaton()
+        # every admitted phrase lies within a run of words of which each two neighbours are admitted: only runs are scanned
+        linked = np.zeros(len(self.ids) + 1, bool)
+        linked[self.pair_at[ok2] + 1] = True  # to the word before
+        run = linked[:-1] | linked[1:]
+        at = np.flatnonzero(run)
+        starts = np.flatnonzero(~linked[at])
+        text = " ".join(map(names.__getitem__, np.insert(self.ids[at], starts, 0).tolist()))
+        hits = np.bincount(np.fromiter(map(itemgetter(1), finder.iter(f" {text} ")), np.int64), minlength=len(found))
+        return out + found, n + hits.tolist()
 
 
 def _shards(batches, cells):
     """The texts of a task by language, in shards of bounded size; a longer text is one of its own."""
-    hashes, held, size = WordHashes(), defaultdict(list), 0
+    known, held, numbered, size = Words(), defaultdict(list), defaultdict(list), 0
+
+    def number(lang):
+        ids = known(held[lang])
+        numbered[lang].append(ids[ids != 1].astype(np.int32))
+        held[lang] = []
 
     def flush():
-        for lang, pieces in held.items():
-            yield lang, Shard(lang, pieces, hashes, cells)
+        for lang in list(held):
+            number(lang)
+        for lang in list(numbered):
+            yield lang, Shard(lang, np.concatenate(numbered.pop(lang)), known, cells)
         held.clear()
+        if len(known.names) > KNOWN_WORDS:
+            known.clear()
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             size += len(text or "")
-            if pieces := lowered_pieces(text):
-                held[lang].extend(pieces)
+            if text:
+                held[lang] += tokens(text)
+                held[lang].append("\n")
+                if len(held[lang]) > HELD_WORDS:
+                    number(lang)
             if size > SHARD_CHARS:
                 yield from flush()
                 size = 0
@@ -119,9 +171,9 @@ def _sketched(cells, least):
 
     def run(batches):
         for _, shard in _shards(batches, cells):
-            c, n = np.unique(shard.cells(), return_counts=True)
-            block, first = np.unique(c // np.uint64(_BLOCK), return_index=True)
-            low, n = (c % np.uint64(_BLOCK)).astype("<u2"), np.minimum(n, least).astype("<u2")
+            c, n = shard.cells()
+            block, first = np.unique(c // np.uint64(cells // _BLOCKS), return_index=True)
+            low, n = (c % np.uint64(cells // _BLOCKS)).astype("<u4"), np.minimum(n, least).astype("<u2")
             ends = [*first.tolist(), len(c)][1:]
             spans = list(zip(first.tolist(), ends, strict=True))
             cols = [pa.array(block.astype(np.int64)), pa.array([low[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([n[a:z].tobytes() for a, z in spans], pa.binary())]
@@ -130,14 +182,14 @@ def _sketched(cells, least):
     return run
 
 
-def _summed(least):
+def _summed(cells, least):
     """Sums the rows of each block, and keeps a bit for every cell that reaches ``least``."""
 
     def run(batches):
-        blocks = defaultdict(lambda: np.zeros(_BLOCK, np.uint32))
+        blocks = defaultdict(lambda: np.zeros(cells // _BLOCKS, np.uint32))
         for b in batches:
             for k, low, n in zip(*(b.column(c).to_pylist() for c in ("block", "low", "n")), strict=True):
-                blocks[k][np.frombuffer(low, "<u2")] += np.frombuffer(n, "<u2")
+                blocks[k][np.frombuffer(low, "<u4")] += np.frombuffer(n, "<u2")
         bits = [np.packbits(x >= least, bitorder="little").tobytes() for x in blocks.values()]
         yield pa.RecordBatch.from_arrays([pa.array(blocks.keys(), pa.int64()), pa.array(bits, pa.binary())], ["block", "bits"])
 
@@ -147,26 +199,27 @@ def _summed(least):
 def sketch(texts: DataFrame, cells: int, least: int) -> np.ndarray:
     """One bit a cell: whether the phrases that hash to it occur ``least`` times together."""
     parts = texts.mapInArrow(_sketched(cells, least), "block long, low binary, n binary")
-    dealt = parts.repartition(max(8, cells // _BLOCK // 16), "block")  # 16 blocks a task, 4 MB
+    dealt = parts.repartition(_BLOCKS // 4, "block")
     bits = np.zeros(cells // 8, np.uint8)
-    for r in dealt.mapInArrow(_summed(least), "block long, bits binary").toLocalIterator():
-        at = r["block"] * (_BLOCK // 8)
-        bits[at : at + _BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    for r in dealt.mapInArrow(_summed(cells, least), "block long, bits binary").toLocalIterator():
+        at = r["block"] * (cells // _BLOCKS // 8)
+        bits[at : at + cells // _BLOCKS // 8] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
 
 def _scanned(bits, cells):
     def run(batches):
         for lang, shard in _shards(batches, cells):
-            found = shard.counts(np.frombuffer(bits.value, np.uint8))
-            cols = [pa.array([lang] * len(found), pa.string()), pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
+            found, n = shard.counts(np.frombuffer(bits.value, np.uint8))
+            cols = [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "n"])
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, cells: int | None = None) -> DataFrame:
-    """lang, phrase, n of each word and each phrase of 2 to 3 words that occurs ``least`` times or more."""
+    """lang, phrase, n of each word and each phrase of 2 to 3 words that occurs ``least`` times or more, and of all words of a
+    lang as the phrase ""."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
@@ -174,7 +227,7 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, cells: int | None = N
         chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (chars // 8).bit_length()))
     bits = spark.sparkContext.broadcast(sketch(texts, cells, least).tobytes())
-    return texts.mapInArrow(_scanned(bits, cells), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return texts.mapInArrow(_scanned(bits, cells), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -212,14 +265,7 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, most: int = MOST_RANKE
     small_batches(docs.sparkSession)
     counts = saved(phrase_counts(docs, least, cells))
     best = ranked(independent(saved(scored(counts))), most)
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    return best.join(word_totals(docs.select(lang, F.col("text").cast("string").alias("text"))), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-
-
-def word_totals(texts: DataFrame) -> DataFrame:
-    """lang, n: all word occurrences."""
-    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+")), F.lit(0))
-    return texts.groupBy("lang").agg(F.sum(n.cast("long")).alias("n"))
+    return best.join(counts.where("phrase = ''").select("lang", F.col("n")), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark, sf_dir):
