@@ -145,25 +145,21 @@ class Matcher:
         return [(i, d, self.items[k][1], e) for k, (d, e) in best.items() for i in self.ids[self.items[k][0]]]
 
 
-def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS):
-    """The items as lists of (item_id, text) of about ``block_chars`` characters; one list is in memory at a time. Rows
-    that repeat an item are one before they are dealt by hash of both columns, so no block gathers copies."""
-    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("trim(text) <> ''")
-    named = saved(named.distinct())
-    total = named.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    for k in range(n):
-        part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+def _plain_items(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([plain(t) for t in b.column("text").to_pylist()], pa.string())], ["item_id", "text"])
 
 
 def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS):
-    """The items as lists of (item_id, text) of about ``block_chars`` characters; one list is in memory at a time."""
-    named = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    """The items as lists of (item_id, plain text) of about ``block_chars`` characters; one list is in memory at a time.
+    Items are made plain before rows that repeat one become one, and are dealt by hash of both columns, so no block
+    gathers copies and none is matched twice."""
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    named = saved(named.mapInArrow(_plain_items, "item_id long, text string").where("text <> ''").distinct())
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for k in range(n):
-        part = named.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 

@@ -400,9 +400,10 @@ def labelled(page: str, hidden: bool) -> str:
 
 
 def learnable(pages: DataFrame, most: int = MAX_TRAIN_PAGES) -> DataFrame:
-    """At most ``most`` pages that mark their main text, those of least hash."""
-    marked = pages.select(F.col("html").cast("string").alias("html")).where("html rlike '(?i)<(article|main)[ >]' and length(html) < 200000")
-    return marked.select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(most)
+    """At most ``most`` different pages that mark their main text, those of least hash."""
+    marked = pages.select(F.col("html").cast("string").alias("html")).where("html rlike '(?i)<(article|main)[ >]' and length(html) < 200000").select("html", F.xxhash64("html").alias("h"))
+    last = marked.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return marked.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
 
 
 def _learnt(layouts, rounds):
