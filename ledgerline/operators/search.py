@@ -126,7 +126,7 @@ def index_hits(postings: DataFrame, lengths: DataFrame, query: str, most: int =
             continue
         # places where each token of the phrase stands as far from its start as it should
         own = [F.when(F.startswith("token", F.lit(x)) if i == len(term) - 1 else F.col("token") == x, F.lit(i)) for i, x in enumerate(term)]
-        at = read.select("doc", F.explode(F.array(*own)).alias("i"), "at").where("i is not null").select("doc", "i", (F.explode("at") - F.col("i")).alias("start"))
+        at = read.select("doc", F.explode(F.array(*own)).alias("i"), "at").where("i is not null").select("doc", "i", F.explode("at").alias("place")).select("doc", "i", (F.col("place") - F.col("i")).alias("start"))
         whole = at.groupBy("doc", "start").agg(F.count_distinct("i").alias("m")).where(F.col("m") == len(term)).select("doc").distinct().withColumn(f"_h{k}", F.lit(True))
         uses = uses.join(whole, "doc", "left")
     stats = lengths.agg(F.count("*").alias("_docs"), F.avg("length").alias("_mean")).crossJoin(uses.agg(*(F.count_if(F.col(f"_n{k}") > 0).alias(f"_df{k}") for k in range(len(terms)))))
