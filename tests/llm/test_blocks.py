@@ -17,7 +17,7 @@ def test_blocks_do_not_change_results(spark):
     docs = spark.createDataFrame([(1, f"so {TEXT} it was"), (2, "nothing here"), (3, other[3].title()), (1, f"so {TEXT} it was"), (None, TEXT[:-4] + "tank")], "doc_id long, text string")
     rows = lambda block: sorted(map(str, D.find_leaks(docs, items, block_chars=block).collect()))
     want = rows(D.BLOCK_CHARS)
-    assert len(want) == 2 * 4 + 1 + 4
+    assert len(want) == 2 * 4 + 40 + 4  # the other items are within each other's budgets
     assert rows(200) == want and rows(5000) == want
     assert sorted(r["text"] for r in D.drop_leaks(docs, items, block_chars=200).collect()) == ["nothing here"]
 
