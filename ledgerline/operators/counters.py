@@ -1,13 +1,12 @@
 """Provider B: usage from cumulative counters, replay trims, identity groups and turns.
 
 Folds over events are written as windows inside a piece (one log file): a running total is the last reported total plus
-what was added since, a generated id is the count of places that need one. Only the overlap of two pieces of one session
-is a sequence algorithm; it runs per session over hashes of lines, never over lines.
+what was added since, a generated id is the count of places that need one. What a piece repeats of its session's earlier
+ones is found by polynomial hashes of runs of lines and an equality join.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,67 +169,91 @@ def trim_subagent_replay(lines: DataFrame, parents: DataFrame) -> DataFrame:
     return known.join(starts, "piece", "left").where("_start is null or line >= _start").select(*lines.columns)
 
 
-def _overlap(known: list, own: list) -> int:
-    """Length of the longest prefix of ``own`` that ``known`` ends with."""
-    own = own[: len(known)]
-    border, fall = [0] * len(own), 0
-    for k in range(1, len(own)):
-        while fall and own[k] != own[fall]:
-            fall = border[fall - 1]
-        fall += own[k] == own[fall]
-        border[k] = fall
-    at = 0
-    for k, x in enumerate(known):
-        while at and (at == len(own) or x != own[at]):
-            at = border[at - 1]
-        if own:
-            at += x == own[at]
-    return at
-
-
-def _trim_session(keys: pd.DataFrame) -> pd.DataFrame:
-    """Rows to drop of one session's pieces, in order: a piece that begins as what came before ended repeats it."""
-    keys = keys.sort_values(["piece_no", "line"])
-    carry: dict[str, list] = {"k0": [], "k1": [], "k2": []}
-    turns: set = set()
-    out = []
-    for piece, own in keys.groupby("piece_no", sort=True):
-        body = own[~own["prelude"]]
-        first = body.index[0] if len(body) else None
-        n = 0
-        if first is not None and carry["k0"]:
-            skipped = own.loc[: first].iloc[:-1]
-            if all(t in turns for t in skipped["turn_id"].dropna()):
-                rest = own.loc[first:]
-                for mode in carry:
-                    n = _overlap(carry[mode], rest[mode].tolist())
-                    if n and rest["token"].iloc[:n].any():
-                        break
-                    n = 0
-                if n and n < len(own):
-                    drop = rest.iloc[:n]
-                    out.append(pd.DataFrame({"session_id": own["session_id"].iloc[0], "piece_no": piece, "from_line": [drop["line"].iloc[0]], "to_line": [drop["line"].iloc[-1]]}))
-        kept = own if not n or n >= len(own) else own.drop(rest.index[:n])
-        for mode in carry:
-            carry[mode] += kept[mode].tolist()
-        turns |= set(kept.loc[kept["prelude"], "turn_id"].dropna())
-    return pd.concat(out) if out else pd.DataFrame({"session_id": pd.Series(dtype="object"), "piece_no": pd.Series(dtype="int64"), "from_line": pd.Series(dtype="int64"), "to_line": pd.Series(dtype="int64")})
+#: Sequences of keys are compared by polynomials in _BASE over the field of this prime.
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003_000_057
+
+
+def _mod(x: Column) -> Column:
+    return (x % F.lit(_PRIME).cast("decimal(19,0)")).cast("decimal(19,0)")
+
+
+def _power(exponent: Column) -> Column:
+    """_BASE to ``exponent``, by the squares that its bits name."""
+    squares, x = [], _BASE
+    for _ in range(40):
+        squares.append(F.lit(x).cast("decimal(19,0)"))
+        x = x * x % _PRIME
+    bits = F.filter(F.sequence(F.lit(0), F.lit(39)), lambda b: F.call_function("getbit", exponent.cast("long"), b) == 1)
+    return F.aggregate(bits, F.lit(1).cast("decimal(19,0)"), lambda acc, b: _mod(acc * F.get(F.array(*squares), b)))
+
+
+def repeated_spans(keys: DataFrame, modes: list[str]) -> DataFrame:
+    """session_id, piece_no, n of each piece whose first ``n`` lines, from its first that is no prelude, are the last ones of
+    what its session has kept before. ``keys``: session_id, piece_no, line, turn_id, prelude, token and the columns
+    ``modes``, tried in turn: the longest repetition in a mode counts if it holds a token line and leaves a line of the piece.
+
+    Keys of kept lines have places in their session; sums of key * _BASE ** place up to each place, within pieces first
+    and then over the few totals of pieces, tell any run of lines. A run of L lines from the start of a piece is looked up
+    at the one place where a repetition of that length would begin, so candidates are joined by (session, place), a row
+    each, and no task holds a session. What earlier pieces lose moves places, so rounds go on until nothing changes; only a
+    repetition longer than the piece before it takes another round.
+    """
+    piece = Window.partitionBy("session_id", "piece_no").orderBy("line")
+    whole = Window.partitionBy("session_id", "piece_no")
+    own = keys.withColumn("idx", F.row_number().over(piece) - 1)
+    own = own.withColumn("first", F.min(F.when(~F.col("prelude"), F.col("idx"))).over(whole)).withColumn("size", F.count("*").over(whole)).withColumn("r", F.col("idx") - F.col("first"))
+    at_own = _power(F.greatest("r", F.lit(0)))
+    field = {m: F.pmod(F.col(m), F.lit(_PRIME)).cast("decimal(19,0)") for m in modes}
+    terms = own.withColumn("_b", at_own).withColumns({f"v_{m}": c for m, c in field.items()}).withColumns({f"o_{m}": F.when(F.col("r") >= 0, _mod(F.col(f"v_{m}") * F.col("_b"))) for m in modes})
+    summed = terms.withColumns({f"o_{m}": _mod(F.sum(f"o_{m}").over(piece)) for m in modes})
+    own = cut(summed.withColumn("token_at", F.min(F.when(F.col("token") & (F.col("r") >= 0), F.col("r"))).over(whole)).drop("_b", *modes))
+    found = own.select("session_id", "piece_no", F.lit(0).alias("n")).where("false")
+    while True:
+        joined = own.join(found, ["session_id", "piece_no"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        kept = joined.where("r is null or r < 0 or r >= n").withColumn("rank", F.col("idx") - F.when(F.col("r") >= 0, F.col("n")).otherwise(0))
+        before = Window.partitionBy("session_id").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = joined.groupBy("session_id", "piece_no").agg(F.first(F.col("size") - F.col("n")).alias("left"))
+        starts = sizes.withColumn("base", F.coalesce(F.sum("left").over(before), F.lit(0))).drop("left")
+        placed = kept.join(starts, ["session_id", "piece_no"]).withColumn("pos", F.col("base") + F.col("rank"))
+        powered = placed.withColumn("_b", _power(F.col("pos"))).withColumns({f"x_{m}": _mod(F.col(f"v_{m}") * F.col("_b")) for m in modes})
+        held = cut(powered.select("session_id", "piece_no", "line", "pos", "prelude", "turn_id", *(f"x_{m}" for m in modes)))
+        totals = held.groupBy("session_id", "piece_no").agg(*(_mod(F.sum(f"x_{m}")).alias(f"x_{m}") for m in modes))
+        bases = starts.join(totals, ["session_id", "piece_no"], "left")
+        bases = cut(bases.select("session_id", "piece_no", "base", *(_mod(F.coalesce(F.sum(f"x_{m}").over(before), F.lit(0).cast("decimal(19,0)"))).alias(f"t_{m}") for m in modes)))
+        inside = piece.rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0).cast("decimal(19,0)")
+        sums = held.select("session_id", "piece_no", "pos", *(_mod(F.coalesce(F.sum(f"x_{m}").over(inside), zero)).alias(f"y_{m}") for m in modes))
+        sums = sums.join(bases, ["session_id", "piece_no"]).select("session_id", "pos", *(_mod(F.col(f"t_{m}") + F.col(f"y_{m}")).alias(f"s_{m}") for m in modes))
+        # turns that a prelude of an earlier piece names
+        seen = held.where("prelude and turn_id is not null").groupBy("session_id", "turn_id").agg(F.min("piece_no").alias("since"))
+        strange = own.where("(r < 0 or r is null) and turn_id is not null").join(seen, ["session_id", "turn_id"], "left").where("since is null or since >= piece_no").select("session_id", "piece_no").distinct()
+        asked = own.where("r >= 0").join(strange, ["session_id", "piece_no"], "left_anti").join(bases, ["session_id", "piece_no"]).where("r < base").withColumn("pos", F.col("base") - F.col("r") - 1)
+        both = asked.join(sums, ["session_id", "pos"]).withColumn("_b", _power(F.col("pos")))
+        same = {m: _mod(F.col(f"t_{m}") - F.col(f"s_{m}") + F.lit(_PRIME)) == _mod(F.col(f"o_{m}") * F.col("_b")) for m in modes}
+        longest = both.groupBy("session_id", "piece_no").agg(F.first("size").alias("size"), F.first("token_at").alias("token_at"), *(F.max(F.when(c, F.col("r") + 1)).alias(f"l_{m}") for m, c in same.items()))
+        n = F.coalesce(*(F.when(F.col("token_at") < F.col(f"l_{m}"), F.col(f"l_{m}")) for m in modes))
+        now = cut(longest.withColumn("n", n).where("n < size").select("session_id", "piece_no", F.col("n").cast("int").alias("n")))
+        if found.exceptAll(now).isEmpty() and now.exceptAll(found).isEmpty():
+            return now
+        found = now
 
 
 def trim_repeated_pieces(lines: DataFrame, identity: list[str]) -> DataFrame:
     """Lines without what a later piece of the same session repeats of earlier ones. ``lines``: session_id (string),
     piece_no, piece, line and what running_totals needs; ``identity`` are the columns that make two lines the same.
-    A repetition must hold a token event. Usage enters identity in three ways, tried in turn: the running total, the
-    last usage, the rise. Each session's hashes (not its lines) meet in one task."""
+    Usage enters identity in three ways, tried in turn: the running total, the last usage, the rise."""
     known = resolve_usage(lines)
     base = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]
     key = lambda usage: F.xxhash64(F.concat_ws("\x1f", *base), F.coalesce(F.to_json(usage), F.lit("")))
     token = (F.col("type") == "event_msg") & (F.col("payload_type") == "token_count")
     own = lambda c: F.when(token, F.col(c))
-    keys = known.where("type <> 'session_meta'").select("session_id", "piece_no", "line", "turn_id", is_prelude().alias("prelude"), token.alias("token"), key(own("total_after")).alias("k0"), key(F.coalesce(own("last_usage"), own("total_usage"))).alias("k1"), key(own("usage")).alias("k2"))
-    drop = keys.groupBy("session_id").applyInPandas(_trim_session, "session_id string, piece_no long, from_line long, to_line long")
-    both = lines.join(drop, ["session_id", "piece_no"], "left")
-    return both.where("from_line is null or line < from_line or line > to_line").select(*lines.columns)
+    keys = known.where("type <> 'session_meta'").select("session_id", "piece_no", "line", "turn_id", F.coalesce(is_prelude(), F.lit(False)).alias("prelude"), F.coalesce(token, F.lit(False)).alias("token"), key(own("total_after")).alias("k0"), key(F.coalesce(own("last_usage"), own("total_usage"))).alias("k1"), key(own("usage")).alias("k2"))
+    keys = cut(keys)
+    spans = repeated_spans(keys, ["k0", "k1", "k2"])
+    order = Window.partitionBy("session_id", "piece_no").orderBy("line")
+    body = F.sum((~F.col("prelude")).cast("int")).over(order) > 0  # from the first line that is no prelude
+    dropped = keys.withColumn("_body", body).where("_body").withColumn("_r", F.row_number().over(order) - 1).join(spans, ["session_id", "piece_no"]).where("_r < n").select("session_id", "piece_no", "line")
+    return lines.join(dropped, ["session_id", "piece_no", "line"], "left_anti").select(*lines.columns)
 
 
 def steps(events: DataFrame) -> DataFrame:

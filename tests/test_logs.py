@@ -1,6 +1,7 @@
 """Reading and decoding of session logs, and what is assembled from them."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -148,12 +149,58 @@ def test_repeated_pieces(spark):
     assert sorted((r["piece_no"], r["line"]) for r in kept.collect()) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 0), (2, 1)]
 
 
-def test_overlap():
-    assert K._overlap([1, 2, 3], [2, 3, 4]) == 2
-    assert K._overlap([1, 2, 1, 2], [1, 2, 1, 2, 5]) == 4
-    assert K._overlap([1, 1, 1], [1, 1]) == 2
-    assert K._overlap([1, 2], [3]) == 0
-    assert K._overlap([], [3]) == 0
+def overlap(known, own):
+    return max((n for n in range(1, min(len(known), len(own)) + 1) if known[-n:] == own[:n]), default=0)
+
+
+def spans_by_hand(pieces):
+    """(session, piece, n) by going through each session's pieces one after another."""
+    out = []
+    for session in sorted({p[0] for p in pieces}):
+        carry, turns = {m: [] for m in range(3)}, set()
+        for _, no, rows in sorted(p for p in pieces if p[0] == session):
+            first = next((i for i, r in enumerate(rows) if not r[1]), None)
+            n = 0
+            if first is not None and all(r[0] in turns for r in rows[:first] if r[0] is not None):
+                rest = rows[first:]
+                for m in range(3):
+                    n = overlap(carry[m], [r[3 + m] for r in rest])
+                    if n and any(r[2] for r in rest[:n]):
+                        break
+                    n = 0
+            n = n if n < len(rows) else 0
+            if n:
+                out.append((session, no, n))
+            kept = [r for i, r in enumerate(rows) if not (n and first <= i < first + n)]
+            for m in range(3):
+                carry[m] += [r[3 + m] for r in kept]
+            turns |= {r[0] for r in kept if r[1] and r[0] is not None}
+    return out
+
+
+def test_spans_are_those_of_going_through_sessions(spark):
+    """Random pieces over few keys, copies of whole earlier pieces, preludes with known and unknown turns."""
+    r = random.Random(4)
+    pieces = []
+    for s in range(60):
+        log = []
+        for no in range(r.randint(1, 6)):
+            back = r.randint(0, min(len(log), r.choice([2, 5, 40])))
+            rows = [tuple(x) for x in log[len(log) - back :]]
+            for _ in range(r.randint(0, 4)):
+                prelude = r.random() < 0.3
+                k = r.randint(0, 2)
+                rows.append((r.choice([None, "t1", "t2"]) if prelude else None, prelude, not prelude and r.random() < 0.5, k, k if r.random() < 0.8 else 7, r.randint(0, 1)))
+            if r.random() < 0.3:
+                rows = [(r.choice(["t1", "t3"]), True, False, 9, 9, 9), *rows]
+            if rows:
+                pieces.append((f"s{s}", no, rows))
+                log += rows
+    flat = [(s, no, 10 * i, *row) for s, no, rows in pieces for i, row in enumerate(rows)]
+    keys = spark.createDataFrame(flat, "session_id string, piece_no long, line long, turn_id string, prelude boolean, token boolean, k0 long, k1 long, k2 long")
+    got = sorted((x["session_id"], x["piece_no"], x["n"]) for x in K.repeated_spans(keys, ["k0", "k1", "k2"]).collect())
+    want = spans_by_hand(pieces)
+    assert got == sorted(want) and len(want) > 30
 
 
 def test_subagent_replay(spark):
