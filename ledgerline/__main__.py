@@ -17,6 +17,7 @@ def parsed(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--logs", help="folder of log files")
     p.add_argument("--tables", help="folder of built tables; refresh writes them, the others read them")
     p.add_argument("--source", default="main")
+    p.add_argument("--provider", choices=["a", "b"], default="a", help="whose log files: entries, or counters")
     for name in ("last", "month", "since", "until"):
         p.add_argument(f"--{name}")
     p.add_argument("--limit", type=int)
@@ -30,15 +31,16 @@ def run(spark, a: argparse.Namespace) -> int:
     from ledgerline.functions.periods import named_range, resolve
     from ledgerline.operators.verify import drifted
     from ledgerline.plans import commands as cmd
-    from ledgerline.plans import tables
+    from ledgerline.plans import counter_tables, tables
     from ledgerline.sources import sinks
 
     now = datetime.now()
     start, end = resolve(now, a.last, a.month, a.since, a.until)
+    build = counter_tables.build if a.provider == "b" else tables.build
     if a.command == "refresh":
-        tables.write(tables.build(spark, a.logs), a.tables, a.source)
+        tables.write(build(spark, a.logs), a.tables, a.source)
         return 0
-    t = tables.load(spark, a.tables, a.source) if a.tables else tables.build(spark, a.logs)
+    t = tables.load(spark, a.tables, a.source) if a.tables else build(spark, a.logs)
     by = {"count": {"models": "requests", "projects": "sessions", "skills": "runs"}.get(a.command), "name": "name"}.get(a.sort, "cost_usd")
     code = 0
     if a.command in cmd.PERIODS:

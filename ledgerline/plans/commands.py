@@ -69,9 +69,13 @@ def statusline(t: Tables, start=None, end=None) -> DataFrame:
 
 
 def verify(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(report by session, divergences). The truth takes requests as their owning sessions hold them."""
-    owned = t.requests.select(F.col("id").alias("request_id"), "session_id")
-    truth = V.session_truth(t.lines.join(owned, ["request_id", "session_id"]))
+    """(report by session, divergences). The truth takes requests as their owning sessions hold them; that of provider B,
+    whose lines are events of counters, is folded from them."""
+    if "total_usage" in t.lines.columns:
+        truth = V.counter_session_truth(t.lines)
+    else:
+        owned = t.requests.select(F.col("id").alias("request_id"), "session_id")
+        truth = V.session_truth(t.lines.join(owned, ["request_id", "session_id"]))
     view = R.billed(t.requests).unionByName(t.requests.where("model is null or model = '<synthetic>'")).groupBy("session_id").agg(F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in V.COUNTED[1:]), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
     found = V.divergences(view, truth)
     return V.report(found, view, truth), found
