@@ -88,3 +88,10 @@ def today_total(priced: DataFrame, pending: DataFrame, midnight) -> DataFrame:
     """Cost since midnight, and whether no source is pending."""
     cost = in_range(billed(priced), midnight).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
     return cost.withColumn("complete", pending.agg(F.count("*")).scalar() == 0)
+
+
+def latched(snapshots: DataFrame) -> DataFrame:
+    """Snapshots (source, at, day, cost_usd, complete) as they are shown: once a day's total was complete, later ones of that
+    day count as complete, while lines that just came are read."""
+    so_far = Window.partitionBy("source", "day").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return snapshots.withColumn("complete", F.bool_or("complete").over(so_far))

@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.pricing import GPT
 from ledgerline.operators import counters as K
+from ledgerline.operators import diagnostics as D
 from ledgerline.operators import search as Q
+from ledgerline.operators import timeline as T
 from ledgerline.operators import verify as V
+from ledgerline.operators import workflows as W
 from ledgerline.plans import counter_tables
 from ledgerline.plans.adapters import read
 from ledgerline.plans.catalog import query
 from ledgerline.plans.conversation_queries import _WORDS
 from ledgerline.sources import tail
+from ledgerline.sources.logs import file_roles
+from ledgerline.sources.upsert import upsert
 
 HEAD_BYTES = 2000
 
@@ -199,3 +204,53 @@ def search_phrase_by_index(spark, sf):
 def search_session_hits(spark, sf):
     """Hits by session with the snippet of the best."""
     return Q.session_hits(_phrase_hits(spark, sf))
+
+
+_CATEGORY = "CASE event_type WHEN 'error' THEN 'malformed' WHEN 'view' THEN 'unknown-type' WHEN 'click' THEN 'filtered' WHEN 'signup' THEN 'bad-timestamp' ELSE 'agent-orphan' END"
+
+
+@query("recent_issues", f"""WITH i AS (SELECT {_CATEGORY} AS category, user_id AS path, event_id AS line FROM events)
+SELECT category, CASE category WHEN 'malformed' THEN 'error' WHEN 'bad-timestamp' THEN 'error' ELSE 'warning' END AS severity, nth, path, line FROM (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY path DESC, line DESC) AS INTEGER) AS nth FROM i WHERE category <> 'filtered') WHERE nth <= 20""")
+def recent_issues(spark, sf):
+    """The latest 20 issues of each category, cut on each task before they are shuffled."""
+    issues = read(spark, sf, "events").selectExpr(f"{_CATEGORY} AS category", "props AS detail", "user_id AS path", "event_id AS line")
+    return D.recent(issues).drop("detail")
+
+
+@query("issue_counts", f"SELECT {_CATEGORY} AS category, count(*) AS n, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'error' WHEN 'click' THEN 'info' ELSE 'warning' END AS severity FROM events GROUP BY event_type")
+def issue_counts(spark, sf):
+    return D.counts(read(spark, sf, "events").selectExpr(f"{_CATEGORY} AS category"))
+
+
+@query("workflow_links", """WITH m AS (SELECT l_orderkey AS run, l_partkey AS agent, min(l_linenumber) AS position FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
+f AS (SELECT DISTINCT l_orderkey AS run, l_suppkey AS agent FROM lineitem WHERE l_orderkey % 2 = 1)
+SELECT o_custkey AS session_id, concat('c', o_orderkey) AS tool_use_id, concat('a', agent) AS agent_id, position, CASE WHEN o_orderkey % 4 = 0 THEN 'by metadata' ELSE 'by text' END AS summary
+FROM orders JOIN (SELECT run, agent, position FROM m UNION ALL SELECT run, agent, NULL FROM f) x ON x.run = o_orderkey WHERE o_orderkey % 3 <> 0""")
+def workflow_links(spark, sf):
+    """Orders launch runs; even ones have metadata that names parts as agents, odd ones files that name suppliers."""
+    orders, items = read(spark, sf, "orders"), read(spark, sf, "lineitem")
+    text = F.concat(F.lit("Task ID: t"), "o_orderkey", F.lit("\nSummary: by text\nTranscript dir: /p/s/subagents/workflows/"), F.col("o_orderkey").cast("string"))
+    called = orders.where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("session_id"), F.concat(F.lit("c"), "o_orderkey").alias("tool_use_id"), F.col("o_orderkey").cast("string").alias("call_uuid"), F.lit("t").alias("call_turn"), text.alias("result"))
+    even = items.where("l_orderkey % 2 = 0").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").cast("int").alias("index"), F.concat(F.lit("a"), "l_partkey").alias("agentId"))).alias("workflowProgress"))  # an order's few lines
+    body = F.to_json(F.struct(F.concat(F.lit("t"), "l_orderkey").alias("taskId"), F.when(F.col("l_orderkey") % 4 == 0, "by metadata").alias("summary"), "workflowProgress"))
+    folder = lambda key: F.concat(F.lit("/p/s/subagents/workflows/"), key.cast("string"))
+    meta = W.metadata(even.select(F.concat(folder(F.col("l_orderkey")), F.lit("/run.json")).alias("path"), body.alias("value")))
+    files = file_roles(items.where("l_orderkey % 2 = 1").select(F.concat(folder(F.col("l_orderkey")), F.lit("/agent-a"), "l_suppkey", F.lit(".jsonl")).alias("path")))
+    return W.workflow_links(called, meta, files).select("session_id", "tool_use_id", "agent_id", "position", "summary")
+
+
+@query("upserted_requests", """SELECT CAST(floor(event_id / 3) AS BIGINT) AS id, arg_min(user_id, (event_id % 2 = 0, user_id, event_id)) AS session_id, arg_min(value, (event_id % 2 = 0, user_id, event_id)) AS cost_usd, max(CASE WHEN event_id % 10 >= 4 THEN 2 ELSE 1 END) AS source_id FROM events GROUP BY 1""")
+def upserted_requests(spark, sf):
+    """Two overlapping loads into one table: values of the first row by rank, owned by the last load that carries them."""
+    table = shared_folder(spark)
+    rows = read(spark, sf, "events").selectExpr("CAST(floor(event_id / 3) AS BIGINT) AS id", "user_id AS session_id", "value AS cost_usd", "event_id % 2 = 0 AS is_sidechain", "event_id AS place")
+    for load, part in ((1, rows.where("place % 10 < 7")), (2, rows.where("place % 10 >= 4"))):
+        upsert(part.withColumn("source_id", F.lit(load)), table, ["is_sidechain", "session_id", "place"], load)
+    return spark.read.parquet(table).select("id", "session_id", "cost_usd", "source_id")
+
+
+@query("latched_totals", "SELECT event_id, bool_or(event_type = 'purchase') OVER (PARTITION BY user_id % 10, CAST(ts AS DATE) ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS complete FROM events")
+def latched_totals(spark, sf):
+    """Whether a day's total is shown as complete, by a batch over all snapshots."""
+    e = read(spark, sf, "events").select((F.col("user_id") % 10).alias("source"), F.col("event_id").alias("at"), F.to_date("ts").alias("day"), F.col("value").alias("cost_usd"), (F.col("event_type") == "purchase").alias("complete"))
+    return T.latched(e).select(F.col("at").alias("event_id"), "complete")

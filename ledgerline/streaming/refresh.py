@@ -87,3 +87,23 @@ def windowed_spend(requests: DataFrame, window: str = "1 hour", late: str = "10
 def active_spells(requests: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """A stream's spells of activity of each session, which a pause of ``gap`` ends."""
     return requests.withWatermark("timestamp", late).groupBy(F.session_window("timestamp", gap), "session_id").agg(F.count("*").alias("requests"))
+
+
+def _latch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Holds the day whose total was complete last; another day starts anew."""
+    (held,) = state.get if state.exists else (None,)
+    for frame in frames:
+        frame = frame.sort_values(["day", "at"])
+        done = []
+        for day, complete in zip(frame["day"].astype(str), frame["complete"], strict=True):
+            if held is None or day > held:
+                held = day if complete else held
+            done.append(bool(complete) or held == day)
+        yield frame.assign(complete=done)[["source", "at", "day", "cost_usd", "complete"]]
+    state.update((held,))
+
+
+def latched_totals(snapshots: DataFrame) -> DataFrame:
+    """A stream of snapshots (source, at, day, cost_usd, complete): once a day's total was complete it stays so for that day.
+    State is one day a source, so none of it has to time out."""
+    return snapshots.groupBy("source").applyInPandasWithState(_latch, "source string, at timestamp, day date, cost_usd double, complete boolean", "held string", "append", GroupStateTimeout.NoTimeout)
