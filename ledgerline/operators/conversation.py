@@ -169,10 +169,6 @@ def question_of_answer(entries: DataFrame) -> DataFrame:
     return entries.where("type = 'assistant'").join(users, ["session_id", "parent_uuid"])
 
 
-def latest_system_line(entries: DataFrame) -> DataFrame:
-    return entries.where("type = 'system'").groupBy("session_id").agg(F.max_by("text", F.struct("ts", "place")).alias("system"))
-
-
 def graft(links: DataFrame, all_turns: DataFrame) -> DataFrame:
     """Sub-agent turns by the turn that called them: session_id, turn_id (of the call), agent_turn, complete."""
     agents = all_turns.where("is_sidechain and agent_id is not null").select("session_id", "agent_id", F.col("turn_id").alias("agent_turn"))
@@ -300,3 +296,21 @@ def attachments(steps: DataFrame, nearest: DataFrame | None = None) -> DataFrame
         out = out.unionByName(named(df, origin, file_or_link(F.col("x")), F.col("x")))
     priority = F.lit(len(ORIGINS)) - F.array_position(F.array(*map(F.lit, ORIGINS)), F.col("origin"))
     return out.select("session_id", "turn_id", "locator", "kind", "origin", priority.cast("int").alias("priority"), F.struct("ts", "place").alias("pos"))
+
+
+def turn_aggregates(steps: DataFrame, requests: DataFrame, all_turns: DataFrame, links: DataFrame) -> DataFrame:
+    """Per turn its requests' tokens and cost legs, its own and (total_...) with those of the sub-agents it called, the widest
+    context of its requests, models (that of most input and output tokens first, of equal ones the one seen first) and
+    complete. ``steps``: session_id, turn_id, request_id; ``requests``: priced, with id and timestamp, and context_window
+    where the log tells it; ``all_turns``: session_id, turn_id, is_sidechain, agent_id. A request counts once a turn."""
+    from ledgerline.functions.pricing import LEGS, TOKENS
+
+    paid = requests.withColumn("context_window", F.col("context_window") if "context_window" in requests.columns else F.lit(None).cast("long"))
+    own = steps.where("request_id is not null").select("session_id", "turn_id", F.col("request_id").alias("id")).distinct().join(paid.drop("session_id", "turn_id"), "id")
+    values = [*TOKENS, *LEGS]
+    by_model = own.groupBy("session_id", "turn_id", "model").agg(*(F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in values), F.max("context_window").alias("context_window"), F.min("timestamp").alias("_seen"))
+    order = F.array_sort(F.collect_list(F.when(F.col("model").isNotNull(), F.struct(-(F.col("input_tokens") + F.col("output_tokens")), "_seen", "model"))))  # a turn's few models
+    sums = by_model.groupBy("session_id", "turn_id").agg(*(F.sum(c).alias(c) for c in values), F.max("context_window").alias("context_window"), F.transform(order, lambda m: m["model"]).alias("models"))
+    both = all_turns.select("session_id", "turn_id", "is_sidechain", "agent_id").join(sums, ["session_id", "turn_id"], "left")
+    filled = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in values}).withColumn("models", F.coalesce("models", F.array().cast("array<string>")))
+    return rolled_up(filled, links, values)

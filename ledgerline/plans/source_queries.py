@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.pricing import GPT
+from ledgerline.operators import conversation as C
 from ledgerline.operators import counters as K
 from ledgerline.operators import diagnostics as D
 from ledgerline.operators import search as Q
@@ -17,11 +18,12 @@ from ledgerline.operators import timeline as T
 from ledgerline.operators import verify as V
 from ledgerline.operators import workflows as W
 from ledgerline.plans import counter_tables
-from ledgerline.plans.adapters import read
+from ledgerline.plans.adapters import PRICED_SQL, priced, read
 from ledgerline.plans.catalog import query
 from ledgerline.plans.conversation_queries import _WORDS
+from ledgerline.plans.report_queries import NUDGE
 from ledgerline.sources import tail
-from ledgerline.sources.logs import file_roles
+from ledgerline.sources.logs import clipped, file_roles, line_at, read_lines
 from ledgerline.sources.upsert import upsert
 
 HEAD_BYTES = 2000
@@ -254,3 +256,39 @@ def latched_totals(spark, sf):
     """Whether a day's total is shown as complete, by a batch over all snapshots."""
     e = read(spark, sf, "events").select((F.col("user_id") % 10).alias("source"), F.col("event_id").alias("at"), F.to_date("ts").alias("day"), F.col("value").alias("cost_usd"), (F.col("event_type") == "purchase").alias("complete"))
     return T.latched(e).select(F.col("at").alias("event_id"), "complete")
+
+
+_AGGREGATES_SQL = f"""{PRICED_SQL}, t AS (SELECT session_id, concat(CASE WHEN is_sidechain THEN 'side-' ELSE 'd' END, strftime(timestamp, '%Y-%m-%d')) AS turn_id, strftime(timestamp, '%Y-%m-%d') AS day, * EXCLUDE (session_id) FROM priced),
+m AS (SELECT session_id, turn_id, day, any_value(is_sidechain) AS side, model, sum(input_tokens) + sum(output_tokens) AS used, min(timestamp) AS seen, sum(output_tokens) AS output_tokens, coalesce(sum(input_cost), 0) AS input_cost, coalesce(sum(cache_read_cost), 0) AS cache_read_cost FROM t GROUP BY 1, 2, 3, model),
+s AS (SELECT session_id, turn_id, day, any_value(side) AS side, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, sum(input_cost) AS input_cost, sum(cache_read_cost) AS cache_read_cost, string_agg(model, ',' ORDER BY used DESC, seen, model) AS models FROM m GROUP BY 1, 2, 3)
+SELECT a.session_id, a.turn_id, a.output_tokens, round(a.input_cost + {NUDGE}, 4) AS input_cost, a.models, CAST(a.output_tokens + coalesce(b.output_tokens, 0) AS BIGINT) AS total_output_tokens, round(a.cache_read_cost + coalesce(b.cache_read_cost, 0) + {NUDGE}, 4) AS total_cache_read_cost
+FROM s a LEFT JOIN s b ON b.session_id = a.session_id AND b.day = a.day AND b.side AND NOT a.side"""
+
+
+@query("turn_aggregates", f"WITH {_AGGREGATES_SQL}")
+def turn_aggregates(spark, sf):
+    """A user's day is a turn that calls the day's sidechain turn: tokens, cost legs and models, own and with sub-agents."""
+    p = priced(spark, sf)
+    day = F.date_format("timestamp", "yyyy-MM-dd")
+    named = p.withColumn("turn_id", F.concat(F.when(F.col("is_sidechain"), "side-").otherwise("d"), day)).withColumn("day", day)
+    turns = named.groupBy("session_id", "turn_id").agg(F.first("is_sidechain").alias("is_sidechain"), F.first(F.when(F.col("is_sidechain"), F.col("day"))).alias("agent_id"))
+    links = turns.where("not is_sidechain").select("session_id", F.col("turn_id").alias("call_turn"), F.substring("turn_id", 2, 10).alias("agent_id"))
+    links = links.join(turns.select("session_id", "agent_id"), ["session_id", "agent_id"], "left_semi")
+    out = C.turn_aggregates(named.select("session_id", "turn_id", F.col("id").alias("request_id")), p, turns, links)
+    money = lambda c: F.round(F.col(c) + NUDGE, 4).alias(c)
+    return out.select("session_id", "turn_id", "output_tokens", money("input_cost"), F.array_join("models", ",").alias("models"), "total_output_tokens", money("total_cache_read_cost"))
+
+
+@query("raw_lines_at", f"SELECT user_id % 16 AS bucket, {_LINE} AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) = 3")
+def raw_lines_at(spark, sf):
+    """The raw line of a locator: each file's third."""
+    path = shared_folder(spark)
+    _written(_event_lines(spark, sf), path)
+    lines = read_lines(spark, path, "*.txt")
+    return line_at(lines, lines.select("path").distinct().withColumn("line", F.lit(2).cast("long"))).selectExpr(_BUCKET, "value")
+
+
+@query("clipped_texts", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE left(text, 40) END AS text FROM conversations")
+def clipped_texts(spark, sf):
+    """Texts other than prompts cut, as for sources that are read for their usage only."""
+    return clipped(read(spark, sf, "conversations").withColumn("type", F.col("role")), 40).select("conv_id", "turn", "text")
