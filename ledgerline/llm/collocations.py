@@ -32,7 +32,7 @@ MIN_COUNT = 10
 WITHIN_PCT = 50
 MOST_RANKED = 2000
 #: Characters of text that a task holds, and scans by one set of automata.
-SHARD_CHARS = 16_000_000
+SHARD_CHARS = 12_000_000
 #: Least and most cells of the sketch; the bits of the most are 32 MB, which is all that the driver and workers get.
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 28
 #: Parts of the sketch that are summed apart.
