@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,15 +92,75 @@ class WordHashes:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+#: Words are hashed as polynomials of their bytes, so many bytes at a time (a longer word is a block of its own).
+_BLOCK = 1 << 16
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX2)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE, and of its inverse, modulo 2 ** 64."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+_UP, _DOWN = _powers(_BLOCK)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after another, and where each text's begin, with the end of the last.
+    Nulls have no words. Bytes are looked at in place: only the bytes of white space are below 128 and part words."""
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
+    _, where, data = texts.buffers()
+    o = np.frombuffer(where, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data else np.zeros(0, np.uint8)
+    o = o - o[0]
+    space = _SPACE[data]
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    heads, tails = o[:-1][o[:-1] < len(data)], o[1:][o[1:] > 0] - 1
+    first[heads], last[tails] = ~space[heads], ~space[tails]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        lo = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, lo + _BLOCK, "right")))
+        n = int(ends[to - 1] - lo)
+        up, down = (_UP, _DOWN) if n <= _BLOCK else _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODES[data[lo : lo + n]] * up[:n], out=sums[1:])
+        s = starts[at:to] - lo
+        out[at:to] = (sums[ends[at:to] - lo] - sums[s]) * down[s]
+        at = to
+    return mixed(out), np.searchsorted(starts, o)
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each window of n words; of all words together where there are fewer than n, none where there are none."""
     if len(h) == 0:
         return h
     n = min(n, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-    return mixed(out)
+    # polynomials of 1, 2, 4, ... words; those that n is the sum of are put together
+    power, size, base, done, out = h, 1, _BASE, 0, None
+    while True:
+        if n & size:
+            out = power if out is None else out[: len(h) - done - size + 1] * np.uint64(base) + power[done:]
+            done += size
+        size *= 2
+        if size > n:
+            return mixed(out)
+        power = power[: len(power) - size // 2] * np.uint64(base) + power[size // 2 :]
+        base = base * base % (1 << 64)
+
+
+def sliding(op, x: np.ndarray, w: int) -> np.ndarray:
+    """The least or greatest (np.minimum, np.maximum) of each w values of x in a row."""
+    size = 1
+    while size * 2 <= w:
+        x, size = op(x[:-size], x[size:]), size * 2
+    return op(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
 def components(edges: DataFrame) -> DataFrame:

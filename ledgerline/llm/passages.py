@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WordHashes, find_words, gram_hashes, mixed, saved, small_batches
+from ledgerline.llm.common import gram_hashes, mixed, saved, sliding, small_batches, word_hashes
 
 K, WINDOW = 5, 10
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -38,8 +38,6 @@ MIN_WORDS, IDENTITY = 50, 0.8
 GAP_COST, MIN_SCORE = 0.1, 6.5
 #: Gaps and ends up to so many words are aligned; a chain with a longer gap is two passages.
 MAX_GAP = 40
-#: Far seeds that a seed is paired with, and the least places in the order of repeated seeds between the two.
-PARTNERS, BETWEEN = 2, 3
 #: What an edit costs at the ends of a chain, in words, so that ends with more than 1 - IDENTITY edits are left off; and
 #: how far an end may fall behind its best.
 EDIT_COST, DROP = 3.0, 15.0
@@ -51,17 +49,27 @@ def seeds(h: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray,
         return h[:0], np.zeros(0, np.int64)
     g = gram_hashes(h, k)
     w = min(window, len(g))
-    views = np.lib.stride_tricks.sliding_window_view(g[::-1], w)[::-1]
-    at = np.unique(np.arange(len(g) - w + 1) + w - 1 - views.argmin(1))
+    least = sliding(np.minimum, g, w)
+    edge = np.zeros(w - 1, np.uint64)
+    # a position is a window's least if the greatest of the leasts of the windows around it is its own
+    at = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), w) == g)
+    if np.any((np.diff(at) < w) & (g[at[1:]] == g[at[:-1]])):  # equal ones in a window
+        views = np.lib.stride_tricks.sliding_window_view(g[::-1], w)[::-1]
+        at = np.unique(np.arange(len(g) - w + 1) + w - 1 - views.argmin(1))
     return g[at], at
 
 
+def _texts(b):
+    """Hashes of the words of each row's text."""
+    h, bounds = word_hashes(b.column("text"))
+    return [h[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def _seeded(batches):
-    hashes = WordHashes()
     for b in batches:
         ids, found, at = [], [], []
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            s, p = seeds(hashes(find_words(t or "")))
+        for i, h in zip(b.column("doc_id").to_pylist(), _texts(b), strict=True):
+            s, p = seeds(h)
             ids.append(np.full(len(s), i, np.int64))
             found.append(s.view(np.int64))
             at.append(p.astype(np.int32))
@@ -235,13 +243,13 @@ def _cut(role: str):
     at = "here" if role == "own" else "there"
 
     def run(batches):
-        hashes = WordHashes()
         last, words = None, None
         for b in batches:
-            out, starts = [], []
-            for t, chain in zip(b.column("text").to_pylist(), b.column(at).to_pylist(), strict=True):
+            out, starts, texts = [], [], b.column("text")
+            for i, chain in enumerate(b.column(at).to_pylist()):
+                t = texts[i]
                 if t != last:  # chains of one text follow one another
-                    last, words = t, hashes(find_words(t or "")).view(np.int64)
+                    last, words = t, word_hashes(texts.slice(i, 1))[0].view(np.int64)
                 lo = max(0, chain[0] - PAD)
                 starts.append(lo)
                 out.append(words[lo : chain[-1] + K + PAD])
@@ -277,14 +285,37 @@ def _long_enough(start: int, end: int, match_start: int, match_end: int, distanc
     return size >= MIN_WORDS and distance <= (1 - IDENTITY) * size
 
 
+def _documents(batches):
+    """Streams documents' passages (kind 0) and then their repeated seeds, in order of documents; gives for each batch the documents
+    that it completes: doc_id, passages (start, end), positions and hashes of seeds. Keeps one document's rows at a time."""
+    key, rows = None, []
+
+    def whole():
+        kind, pos, end, seed = (np.concatenate(c) for c in zip(*rows, strict=True))
+        own = kind != 0
+        return key, np.stack([pos[~own], end[~own]], 1), pos[own], seed[own].view(np.uint64)
+
+    for b in batches:
+        ids, *cols = (np.asarray(b.column(c)) for c in ("doc_id", "kind", "pos", "end", "seed"))
+        bounds, out = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)], []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if hi == lo:
+                continue
+            if rows and ids[lo] != key:
+                out.append(whole())
+                rows = []
+            key = int(ids[lo])
+            rows.append([c[lo:hi] for c in cols])
+        yield out
+    if rows:
+        yield [whole()]
+
+
 def _uncovered(batches):
-    """Streams documents' passages (kind 0) and then their repeated seeds, in order; gives the starts of the windows of
-    MIN_WORDS words that no passage holds and whose seeds may all repeat, and the least seeds of these windows. Keeps
-    one document's at a time."""
-    key, held, pos, own = None, [], [], []
+    """The starts of the windows of MIN_WORDS words that no passage holds and whose seeds may all repeat, and the least seeds
+    of these windows."""
 
-    def done():
-        p, s = np.array(pos, np.int64), np.array(own, np.int64)
+    def done(key, held, p, s):
         open_at, least = [], []
         for run in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > WINDOW) + 1):
             lo, hi = max(0, p[run[0]] - WINDOW + 1), p[run[-1]] - (MIN_WORDS - K - WINDOW + 1)
@@ -298,75 +329,49 @@ def _uncovered(batches):
                 first, stop = np.searchsorted(p[run], starts), np.searchsorted(p[run], starts + MIN_WORDS - K, "right")
                 open_at.append(starts[stop > first])
                 spans = np.unique(np.stack([first, stop], 1)[stop > first], axis=0)
-                least += [s[run][a:b].view(np.uint64).min() for a, b in spans]
+                least += [s[run][a:b].min() for a, b in spans]
         return [(key, np.concatenate(open_at).astype(np.int32), np.unique(np.array(least, np.uint64)).view(np.int64))] if least else []
 
-    def rows(found):
+    for docs in _documents(batches):
+        found = [r for key, held, p, s in docs if len(p) for r in done(key, held, p, s)]
         d, starts, least = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "starts", "least"])
-
-    for b in batches:
-        out = []
-        for d, kind, x, y, seed in zip(*(b.column(c).to_pylist() for c in ("doc_id", "kind", "pos", "end", "seed")), strict=True):
-            if d != key:
-                if pos:
-                    out += done()
-                key, held, pos, own = d, [], [], []
-            if kind == 0:
-                held.append((x, y))
-            else:
-                pos.append(x)
-                own.append(seed)
-        yield rows(out)
-    if pos:
-        yield rows(done())
+        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "starts", "least"])
 
 
-def _pairs_of(pos: list[int], own: list[int], held: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and positions of pairs of repeated seeds that span MIN_WORDS words or more, with others between them, and that no
-    passage in ``held`` holds: each seed with the next PARTNERS that stand far enough."""
-    p, s = np.array(pos, np.int64), np.array(own, np.int64).view(np.uint64)
-    held = np.array(sorted(held), np.int64).reshape(-1, 2)
-    ends = np.maximum.accumulate(held[:, 1]) if len(held) else np.zeros(0, np.int64)
+def _pairs_of(p: np.ndarray, s: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and positions of all pairs of repeated seeds that span MIN_WORDS words or more, MAX_GAP more at most, and that no
+    passage in ``held`` holds. Seeds that pairs chain to go on from there, so wider pairs say nothing new."""
+    held = held[np.argsort(held[:, 0], kind="stable")]
+    ends = np.maximum.accumulate(held[:, 1])
     before = np.searchsorted(held[:, 0], p, "right") - 1
     reach = np.where(before >= 0, ends[np.maximum(before, 0)], -1) if len(held) else np.full(len(p), -1)
-    first, rows = np.searchsorted(p, p + MIN_WORDS - K), np.arange(len(p))
-    out = []
-    for step in range(PARTNERS):
-        to = np.minimum(first + step, len(p) - 1)
-        ok = (first + step < len(p)) & (to - rows >= BETWEEN) & (p[to] - p <= MIN_WORDS + MAX_GAP) & (p[to] + K > reach)
-        out.append((mixed(s[rows[ok]] * np.uint64(0x9E3779B97F4A7C15) + s[to[ok]]).view(np.int64), p[rows[ok]], p[to[ok]]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    first = np.maximum(np.searchsorted(p, p + MIN_WORDS - K), np.searchsorted(p, reach - K, "right"))
+    n = np.maximum(0, np.searchsorted(p, p + MIN_WORDS + MAX_GAP, "right") - first)
+    one = np.repeat(np.arange(len(p)), n)
+    two = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + first[one]
+    return mixed(s[one] * np.uint64(0x9E3779B97F4A7C15) + s[two]).view(np.int64), p[one], p[two]
 
 
-def _paired(batches):
-    """Streams documents' passages (kind 0) and then their repeated seeds, in order, and gives their far pairs."""
-    key, held, pos, own = None, [], [], []
+def _pair_keys(batches):
+    """Hashes of the far pairs, each once a document."""
+    for docs in _documents(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(np.unique(_pairs_of(p, s, held)[0]) for _, held, p, s in docs)]))], ["pair"])
 
-    def rows(found):
-        none = [np.zeros(0, np.int64)] * 4
-        cols = [np.concatenate([n, *c]) for n, c in zip(none, zip(*found, strict=True) if found else [()] * 4, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pair", "doc_id", "pos", "pos2"])
 
-    def done():
-        h, a, b = _pairs_of(pos, own, held)
-        return h, np.full(len(h), key, np.int64), a, b
+def _paired(shared):
+    """The far pairs that the bitmap ``shared`` holds, with their places."""
 
-    for b in batches:
-        out = []
-        for d, kind, x, y, seed in zip(*(b.column(c).to_pylist() for c in ("doc_id", "kind", "pos", "end", "seed")), strict=True):
-            if d != key:
-                if pos:
-                    out.append(done())
-                key, held, pos, own = d, [], [], []
-            if kind == 0:
-                held.append((x, y))
-            else:
-                pos.append(x)
-                own.append(seed)
-        yield rows(out)
-    if pos:
-        yield rows([done()])
+    def run(batches):
+        for docs in _documents(batches):
+            cols = [[np.zeros(0, k)] for k in (np.int64, np.int64, np.int32, np.int32)]
+            for key, held, p, s in docs:
+                h, a, b = _pairs_of(p, s, held)
+                kept = _in_map(h.view(np.uint64), shared.value)
+                for c, x in zip(cols, (h[kept], np.full(int(kept.sum()), key, np.int64), a[kept].astype(np.int32), b[kept].astype(np.int32)), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["pair", "doc_id", "pos", "pos2"])
+
+    return run
 
 
 def far_matches(repeats: DataFrame, passages: DataFrame) -> DataFrame:
@@ -377,66 +382,77 @@ def far_matches(repeats: DataFrame, passages: DataFrame) -> DataFrame:
     both = passages.select("doc_id", F.lit(0).alias("kind"), F.col("start").alias("pos"), "end", F.lit(0).cast("long").alias("seed"))
     both = both.union(repeats.select("doc_id", F.lit(1), F.col("pos").cast("long"), F.lit(0).cast("long"), "seed"))
     ordered = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind", "pos")
-    pairs = saved(ordered.mapInArrow(_paired, "pair long, doc_id long, pos long, pos2 long"))
+    # pairs that several documents have are few, so only hashes are counted, and places are made for what is left
+    several = saved(ordered.mapInArrow(_pair_keys, "pair long").groupBy("pair").count().where("count > 1").select("pair"))
+    shared = repeats.sparkSession.sparkContext.broadcast(_bit_map(several, "pair"))
+    places = ordered.mapInArrow(_paired(shared), "pair long, doc_id long, pos int, pos2 int")
+    pairs = saved(places.join(several, "pair", "left_semi"))
     first = pairs.groupBy("pair").agg(F.min(F.struct("doc_id", "pos", "pos2")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last")
     hits = pairs.join(first, "pair").where("doc_id > f.doc_id").select("doc_id", F.col("f.doc_id").alias("match_id"), F.inline(F.array(F.struct(F.col("pos"), F.col("f.pos").alias("match_pos")), F.struct(F.col("pos2").alias("pos"), F.col("f.pos2").alias("match_pos")))))
-    return hits.select("doc_id", "match_id", F.col("pos").cast("int").alias("pos"), F.col("match_pos").cast("int").alias("match_pos")).distinct()
-
-
-def _window_rows(found):
-    none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([n, *c])) for n, c in zip(none, zip(*found, strict=True) if found else [()] * 3, strict=True)], ["win", "doc_id", "pos"])
+    return hits.distinct()
 
 
 def _asked(batches):
-    """Hashes of the windows that start at a row's starts."""
-    hashes = WordHashes()
+    """Hashes of the windows that start at a row's starts, each once a text with all its places."""
     for b in batches:
         out = []
-        for i, t, starts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
-            g = gram_hashes(hashes(find_words(t or "")), MIN_WORDS)
-            at = np.array([a for a in starts if a < len(g)], np.int64)
-            out.append((g[at].view(np.int64), np.full(len(at), i, np.int64), at.astype(np.int32)))
-        yield _window_rows(out)
+        for i, h, starts in zip(b.column("doc_id").to_pylist(), _texts(b), b.column("starts").to_pylist(), strict=True):
+            g = gram_hashes(h, MIN_WORDS)
+            at = np.array([a for a in starts if a < len(g)], np.int32)
+            if len(at):
+                order = np.argsort(g[at], kind="stable")
+                wins, heads = np.unique(g[at][order], return_index=True)
+                out += [(w, i, places) for w, places in zip(wins.view(np.int64), np.split(at[order], heads[1:]), strict=True)]
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], ["win", "doc_id", "places"])
 
 
 def _answers(shared):
-    """Hashes of the windows whose least k-mer is at one of a row's positions, those that the bitmap ``shared`` holds."""
+    """Hashes of the windows whose least k-mer is at one of a row's positions, those that the bitmap ``shared`` holds, with their
+    first place in the text. A window's least k-mer is a seed, so it is at such a position if it equals one that is."""
 
     def run(batches):
-        hashes, bits, reach = WordHashes(), shared.value, MIN_WORDS - K
+        reach = MIN_WORDS - K
         for b in batches:
-            out = []
-            for i, t, where in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True):
-                h = hashes(find_words(t or ""))
+            ids, wins, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for i, h, where in zip(b.column("doc_id").to_pylist(), _texts(b), b.column("at").to_pylist(), strict=True):
                 where = np.sort(np.array([p for p in where if p + K <= len(h)], np.int64))
                 # only what is near a position is looked at
                 for near in np.split(where, np.flatnonzero(np.diff(where) > 2 * reach) + 1) if len(where) else []:
                     lo, hi = max(0, near[0] - reach), min(len(h), near[-1] + reach + K)
                     if hi - lo < MIN_WORDS:
                         continue
-                    views = np.lib.stride_tricks.sliding_window_view(gram_hashes(h[lo:hi], K)[::-1], reach + 1)[::-1]
-                    starts = np.flatnonzero(np.isin(np.arange(len(views)) + reach - views.argmin(1), near - lo))
+                    g = gram_hashes(h[lo:hi], K)
+                    least = sliding(np.minimum, g, reach + 1)
+                    runs = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+                    starts = np.flatnonzero(np.repeat(np.isin(least[runs], g[near - lo]), np.diff([*runs, len(least)])))
                     win = gram_hashes(h[lo:hi], MIN_WORDS)[starts]
-                    kept = (bits[(win & np.uint64(_MAP_WORDS - 1)).astype(np.int64)] >> (win >> np.uint64(58))) & np.uint64(1) == 1
-                    out.append((win[kept].view(np.int64), np.full(int(kept.sum()), i, np.int64), (starts[kept] + lo).astype(np.int32)))
-            yield _window_rows(out)
+                    kept = _in_map(win, shared.value)
+                    found, heads = np.unique(win[kept], return_index=True)
+                    ids.append(np.full(len(found), i, np.int64))
+                    wins.append(found)
+                    at.append((starts[kept][heads] + lo).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([w.view(np.int64) for w in wins], ids, at)], ["win", "doc_id", "pos"])
 
     return run
 
 
-#: Words of 64 bits of the map of windows that are asked for: 2 MB, whatever their number; more windows only let more pass.
+#: Words of 64 bits of the maps of windows and of pairs that are looked for: 2 MB, whatever their number; more only let more pass.
 _MAP_WORDS = 1 << 18
 
 
-def _window_map(asked: DataFrame) -> np.ndarray:
-    word, bit = F.expr(f"CAST(win & {_MAP_WORDS - 1} AS INT)"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(win, 58) AS INT))")
+def _bit_map(wanted: DataFrame, key: str) -> np.ndarray:
+    word, bit = F.expr(f"CAST({key} & {_MAP_WORDS - 1} AS INT)"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({key}, 58) AS INT))")
     out = np.zeros(_MAP_WORDS, np.int64)
-    for r in asked.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():  # _MAP_WORDS rows at most
+    for r in wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():  # _MAP_WORDS rows at most
         out[r["word"]] = r["bits"]
     return out.view(np.uint64)
 
 
+def _in_map(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bits[(x & np.uint64(_MAP_WORDS - 1)).astype(np.int64)] >> (x >> np.uint64(58))) & np.uint64(1) == 1
+
+
 def window_runs(hits: list[tuple[int, int]], size: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
     """Joins equal windows (position here, position there), in order, to passages: start and end here, and there. Of a
     window there that meets overlapping ones here, those at steps of its size and the last are taken."""
@@ -461,7 +477,7 @@ def window_runs(hits: list[tuple[int, int]], size: int = MIN_WORDS) -> list[tupl
 
 
 def _joined(batches):
-    """Streams equal windows sorted by document, other document and position."""
+    """Streams equal windows, with all their places in the document, sorted by document and other document."""
     key, own = None, []
 
     def rows(found):
@@ -470,14 +486,14 @@ def _joined(batches):
 
     for b in batches:
         out = []
-        for d, m, x, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "match_id", "pos", "match_pos")), strict=True):
+        for d, m, places, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "match_id", "places", "match_pos")), strict=True):
             if (d, m) != key:
-                out += [(*key, *r, 0) for r in window_runs(own)] if own else []
+                out += [(*key, *r, 0) for r in window_runs(sorted(own))] if own else []
                 key, own = (d, m), []
-            own.append((x, y))
+            own += [(x, y) for x in places]
         yield rows(out)
     if own:
-        yield rows([(*key, *r, 0) for r in window_runs(own)])
+        yield rows([(*key, *r, 0) for r in window_runs(sorted(own))])
 
 
 def _first(occurrences: DataFrame, key: str) -> DataFrame:
@@ -494,16 +510,15 @@ def exact_windows(texts: DataFrame, found: DataFrame, repeats: DataFrame, passag
     both = held.union(earlier.select("doc_id", F.lit(1), F.col("pos").cast("long"), F.lit(0).cast("long"), "seed"))
     ordered = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind", "pos")
     open_ = saved(ordered.mapInArrow(_uncovered, "doc_id long, starts array<int>, least array<long>"))
-    schema = "win long, doc_id long, pos int"
     askers = texts.join(open_.select(F.col("doc_id").alias("_doc"), "starts").hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "starts")
-    asked = saved(askers.mapInArrow(_asked, schema))
-    shared = texts.sparkSession.sparkContext.broadcast(_window_map(asked))
+    asked = saved(askers.mapInArrow(_asked, "win long, doc_id long, places array<int>"))
+    shared = texts.sparkSession.sparkContext.broadcast(_bit_map(asked, "win"))
     wanted = open_.select(F.explode("least").alias("seed")).distinct()
     at = found.join(wanted, "seed", "left_semi").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("at"))
     looked = texts.join(at.hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "at")
-    windows = saved(looked.mapInArrow(_answers(shared), schema))
-    hits = asked.join(_first(windows, "win"), "win").where("doc_id > match_id").select("doc_id", "match_id", "pos", "match_pos")
-    ordered = hits.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "match_id", "pos", "match_pos")
+    windows = saved(looked.mapInArrow(_answers(shared), "win long, doc_id long, pos int"))
+    hits = asked.join(_first(windows, "win"), "win").where("doc_id > match_id").select("doc_id", "match_id", "places", "match_pos")
+    ordered = hits.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "match_id")
     more = ordered.mapInArrow(_joined, "doc_id long, match_id long, start long, end long, match_start long, match_end long, distance long")
     every = passages.withColumn("kind", F.lit(0)).unionByName(more.distinct().withColumn("kind", F.lit(1)))
     before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "kind", "match_id", "match_start").rowsBetween(Window.unboundedPreceding, -1)
