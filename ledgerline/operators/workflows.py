@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.plans.scratch import cut
+
 
 def launches(called: DataFrame) -> DataFrame:
     """What a launch's result says of its run, by the labels of its lines: session_id, tool_use_id, call_uuid, call_turn,
@@ -42,7 +44,7 @@ def run_agents(meta: DataFrame, files: DataFrame) -> DataFrame:
 def workflow_links(called: DataFrame, meta: DataFrame, files: DataFrame) -> DataFrame:
     """Links from a launching call to every agent of its run, in the form of agent_links, with name, status and summary: what
     the metadata says goes before what the launch's text says. A run that several calls name is the earliest call's."""
-    started = launches(called)
+    started, meta = launches(called), cut(meta)  # read three times, and its files are parsed once
     by_task = meta.where("task_id is not null and run_id is not null").groupBy("task_id").agg(F.min("run_id").alias("_run"))
     folder_run = F.nullif(F.regexp_extract("folder", r"([^/]+)/*$", 1), F.lit(""))
     known = started.join(by_task, "task_id", "left").withColumn("run_id", F.coalesce("run_id", "_run", folder_run)).where("run_id is not null")

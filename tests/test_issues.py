@@ -112,3 +112,20 @@ def test_a_days_total_stays_complete_over_restarts(spark, tmp_path):
     want = sorted((r["source"], r["day"].day, r["at"].minute, r["complete"]) for r in T.latched(spark.createDataFrame(sum(parts, []), SCHEMA)).collect())
     assert sorted(got) == want
     assert [x[3] for x in want] == [False, True, True, False, True, True, False, False]
+
+
+def test_workflow_metadata_is_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    call = spark.createDataFrame([("s", "c", "u", "t", "Task ID: t1\nTranscript dir: /p/s/subagents/workflows/r1")], "session_id string, tool_use_id string, call_uuid string, call_turn string, result string")
+    lines = spark.createDataFrame([("/p/s/subagents/workflows/r1/run.json", '{"taskId": "t1", "workflowProgress": [{"index": 1, "agentId": "a1"}]}')], "path string, value string")
+    files = spark.createDataFrame([], "path string, role string, run string, agent string")
+    meta = W.metadata(lines.withColumn("value", F.udf(counted, "string").asNondeterministic()("value")))
+    assert [r["agent_id"] for r in W.workflow_links(call, meta, files).collect()] == ["a1"]
+    assert seen.value == 1
