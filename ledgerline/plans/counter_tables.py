@@ -8,6 +8,8 @@ the chain they come from, and by the file where a chain has several.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,19 +135,57 @@ def side_chains(steps: DataFrame, pieces: DataFrame) -> DataFrame:
     return K.sidechains(chains, links.join(at, "child").select("root", "child")).select("id", "is_sidechain")
 
 
+class Parts:
+    """What the tables are made of, each made when it is first asked for, so that who wants one does not pay for all. ``lines``:
+    piece, line and value, where they were read otherwise than from the JSONL files below ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str, lines: DataFrame | None = None):
+        if lines is None:
+            lines = tail.read_ranges(spark, path).select(F.col("path").alias("piece"), F.col("offset").alias("line"), "value")
+        self._lines = lines
+
+    @cached_property
+    def read(self) -> DataFrame:
+        return cut(L.decode_rollouts(self._lines))
+
+    @cached_property
+    def pieces(self) -> DataFrame:
+        return cut(pieces_of(self.read))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        named = self.read.join(self.pieces.withColumnsRenamed({"branch": "_branch", "id": "_id"}), "piece")
+        return cut(named.drop("id", "branch", "cwd", "_branch").withColumnRenamed("_id", "id").where("not malformed"))
+
+    @cached_property
+    def kept(self) -> tuple[DataFrame, DataFrame]:
+        return kept_lines(self.events)
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return cut(steps_of(self.kept[0]))
+
+    @cached_property
+    def sides(self) -> DataFrame:
+        return cut(side_chains(self.steps, self.pieces))
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        paid = requests_of(self.events, *self.kept).join(self.sides.withColumnRenamed("id", "chain"), "chain")
+        return cut(price(paid.drop("chain", "piece", "line")))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Token events as the verifier reads them; they need nothing of what the other tables leave out."""
+        raw = _token(self.events).select("session_id", F.col("id").alias("chain"), "is_child", "forked", "subagent", "created", "piece", "piece_no", "line", "ts", "model", "last_usage", "total_usage")
+        return _with_models(raw, self.events.where(K.is_context() & F.col("model").isNotNull()).select("piece", F.col("line").alias("at"), F.col("model").alias("context_model")))
+
+
 def build(spark: SparkSession, path: str, lines: DataFrame | None = None) -> Tables:
     """Reads the JSONL files below ``path`` by ranges of bytes; a line's place is its offset. ``lines``: piece, line and value,
     where they were read otherwise."""
-    if lines is None:
-        lines = tail.read_ranges(spark, path).select(F.col("path").alias("piece"), F.col("offset").alias("line"), "value")
-    read = cut(L.decode_rollouts(lines))
-    pieces = cut(pieces_of(read))
-    events = cut(read.join(pieces.withColumnsRenamed({"branch": "_branch", "id": "_id"}), "piece").drop("id", "branch", "cwd", "_branch").withColumnRenamed("_id", "id").where("not malformed"))
-    kept, repeated = kept_lines(events)
-    steps = cut(steps_of(kept))
-    sides = cut(side_chains(steps, pieces))
-    paid = requests_of(events, kept, repeated).join(sides.withColumnRenamed("id", "chain"), "chain")
-    requests = cut(price(paid.drop("chain", "piece", "line")))
+    parts = Parts(spark, path, lines)
+    read, pieces, steps, sides, requests = parts.read, parts.pieces, parts.steps, parts.sides, parts.requests
     carrying = requests.select("session_id", "turn_id", F.col("id").alias("uuid"), F.lit("usage").alias("kind"), F.col("id").alias("request_id"), F.lit(None).cast("string").alias("text"), F.col("timestamp").alias("ts"), F.lit(1 << 62).alias("place"))
     shown = steps.where("kind <> 'end'").select("session_id", "turn_id", "uuid", "kind", F.lit(None).cast("string").alias("request_id"), "text", "ts", "place").unionByName(carrying)
     own = steps.join(sides.withColumnRenamed("id", "chain"), "chain").withColumns({"agent_id": F.when(F.col("is_sidechain"), F.col("chain")), "is_compact": F.lit(False)})
@@ -161,13 +201,10 @@ def build(spark: SparkSession, path: str, lines: DataFrame | None = None) -> Tab
         "session_id", F.col("m.cwd").alias("project"), F.coalesce(F.when(F.col("first_prompt").isNotNull(), X.preview(F.col("first_prompt"), F.lit(False), F.lit(False))), F.substring("session_id", len(PREFIX) + 1, 8)).alias("title"), F.lit(True).alias("visible"),
         F.coalesce("started", F.col("created").cast("timestamp_ntz")).alias("started"), F.coalesce("ended", F.col("created").cast("timestamp_ntz")).alias("ended"), F.col("m.branch").alias("branch"),
     )
-    raw = _token(events).select("session_id", F.col("id").alias("chain"), "is_child", "forked", "subagent", "created", "piece", "piece_no", "line", "ts", "model", "last_usage", "total_usage")
-    contexts = events.where(K.is_context() & F.col("model").isNotNull()).select("piece", F.col("line").alias("at"), F.col("model").alias("context_model"))
-    raw = _with_models(raw, contexts)
     odd = read.select("piece", "line", "malformed", "type").where("malformed or type is null").select(F.col("piece").alias("path"), "line", F.when(F.col("malformed"), "malformed").otherwise("missing:type").alias("rejection"))
     postings, lengths = Q.build_index(prompts(shown))
     ordered = postings.repartitionByRange("token").sortWithinPartitions("token", "doc")
-    return Tables(requests, sessions, shown, turns, skills, raw, odd, ordered, lengths)
+    return Tables(requests, sessions, shown, turns, skills, parts.lines, odd, ordered, lengths)
 
 
 def _with_models(raw: DataFrame, contexts: DataFrame) -> DataFrame:

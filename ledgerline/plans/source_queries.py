@@ -154,14 +154,14 @@ _SUMS = ["input_tokens", "cache_read", "output_tokens"]
 @query("provider_b_sessions", _SESSIONS_SQL)
 def provider_b_sessions(spark, sf):
     """Usage and cost of sessions, from files with copies of roots and repeated pieces."""
-    paid = counter_tables.build(spark, "", _rollouts(spark, sf)).requests
+    paid = counter_tables.Parts(spark, "", _rollouts(spark, sf)).requests
     return paid.groupBy("session_id").agg(F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in _SUMS), F.round(F.sum("cost_usd") + 1e-9, 6).alias("cost_usd"))
 
 
 @query("provider_b_truth", _SESSIONS_SQL)
 def provider_b_truth(spark, sf):
     """The same by the verifier's own rules."""
-    truth = V.counter_session_truth(counter_tables.build(spark, "", _rollouts(spark, sf)).lines)
+    truth = V.counter_session_truth(counter_tables.Parts(spark, "", _rollouts(spark, sf)).lines)
     return truth.select("session_id", "requests", *_SUMS, F.round(F.col("cost_usd") + 1e-9, 6).alias("cost_usd"))
 
 
@@ -170,7 +170,7 @@ SELECT concat('b:', CASE WHEN user_id % 7 = 3 AND user_id - 1 IN (SELECT user_id
 UNION ALL SELECT DISTINCT concat('b:', CASE WHEN user_id - 1 IN (SELECT user_id FROM events) THEN user_id - 1 ELSE user_id END), concat('task ', user_id) FROM events WHERE user_id % 7 = 3""")
 def provider_b_prompts(spark, sf):
     """Prompts of sessions, each once however many files hold it."""
-    return counter_tables.build(spark, "", _rollouts(spark, sf)).steps.where("kind = 'prompt'").select("session_id", "text")
+    return counter_tables.Parts(spark, "", _rollouts(spark, sf)).steps.where("kind = 'prompt'").select("session_id", "text")
 
 
 _ISSUES_SQL = "SELECT concat('s', user_id) AS session_id, CASE event_type WHEN 'error' THEN 'line-rejected' ELSE 'missing-usage' END AS kind, event_id AS line, CASE event_type WHEN 'error' THEN 'error' ELSE 'warning' END AS severity FROM events WHERE event_type IN ('error', 'signup') AND user_id % 9 <> 0 UNION ALL SELECT DISTINCT concat('f', user_id), 'source-rejected', CAST(NULL AS BIGINT), 'error' FROM events WHERE user_id % 9 = 0"

@@ -139,3 +139,13 @@ def test_line_issues(spark):
     rows = [("s", "/a/f1.jsonl", 0, None, None), ("s", "/a/f1.jsonl", 1, "malformed", None), ("s", "/a/f1.jsonl", 2, None, "missing"), ("s", "/a/f1.jsonl", 3, None, "duplicate"), (None, "/a/gone.jsonl", 0, None, None)]
     got = V.line_issues(spark.createDataFrame(rows, "session_id string, path string, line long, rejection string, skipped string")).collect()
     assert {(r["session_id"], r["kind"], r["line"], r["severity"]) for r in got} == {("gone", "source-rejected", None, "error"), ("s", "line-rejected", 1, "error"), ("s", "missing-usage", 2, "warning")}
+
+
+def test_a_part_makes_only_what_it_needs(spark):
+    """The verifier's lines need no steps, sides or requests, and prompts no requests."""
+    lines = spark.createDataFrame([(f"/logs/{name}.jsonl", k, json.dumps(x)) for name, rows in FILES.items() for k, x in enumerate(rows)], "piece string, line long, value string")
+    parts = B.Parts(spark, "", lines)
+    assert V.counter_session_truth(parts.lines).count() > 0
+    assert not {"kept", "steps", "sides", "requests"} & set(vars(parts))
+    assert parts.steps.where("kind = 'prompt'").count() > 0
+    assert not {"sides", "requests"} & set(vars(parts))
