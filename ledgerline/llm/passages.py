@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +66,57 @@ def _texts(b):
     return [h[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+#: Words of several texts are looked at together, so many at a time (a longer text is looked at alone).
+_CHUNK = 1 << 17
+
+
+def _chunks(bounds: np.ndarray):
+    """Ranges of texts, given where their words begin, of at most _CHUNK words or of one text."""
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _CHUNK, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def text_seeds(h: np.ndarray, bounds: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds of several texts, whose words are one after another: hashes, positions in their text, and which text's."""
+    sizes = np.diff(bounds)
+    few = (sizes >= k) & (sizes < window + k - 1)  # one window, not full
+    at, again = np.zeros(0, np.int64), few
+    if len(h) >= window + k - 1:
+        g = gram_hashes(h, k)
+        least = sliding(np.minimum, g, window)
+        # a window over two texts is none
+        ends = bounds[1:-1]
+        crossing = np.repeat(ends, window + k - 2) - np.tile(np.arange(1, window + k - 1), len(ends))
+        least[crossing[(crossing >= 0) & (crossing < len(least))]] = 0
+        edge = np.zeros(window - 1, np.uint64)
+        at = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), window) == g)
+        text = np.searchsorted(bounds, at, "right") - 1
+        tied = (np.diff(at) < window) & (g[at[1:]] == g[at[:-1]]) & (text[1:] == text[:-1])
+        again = few.copy()
+        again[text[1:][tied]] = True
+        at = at[~again[text]]
+    cols = []
+    if len(at):
+        text = np.searchsorted(bounds, at, "right") - 1
+        cols.append((g[at], at - bounds[text], text))
+    for i in np.flatnonzero(again):
+        found, places = seeds(h[bounds[i] : bounds[i + 1]], k, window)
+        cols.append((found, places, np.full(len(found), i)))
+    return tuple(np.concatenate(c) for c in zip(*cols, strict=True)) if cols else (h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _seeded(batches):
     for b in batches:
-        ids, found, at = [], [], []
-        for i, h in zip(b.column("doc_id").to_pylist(), _texts(b), strict=True):
-            s, p = seeds(h)
-            ids.append(np.full(len(s), i, np.int64))
-            found.append(s.view(np.int64))
-            at.append(p.astype(np.int32))
-        cols = [np.concatenate(c) if c else np.zeros(0, k) for c, k in ((found, np.int64), (ids, np.int64), (at, np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["seed", "doc_id", "pos"])
+        h, bounds = word_hashes(b.column("text"))
+        ids, cols = np.asarray(b.column("doc_id")), [[np.zeros(0, k)] for k in (np.int64, np.int64, np.int32)]
+        for lo, hi in _chunks(bounds):
+            found, at, text = text_seeds(h[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            for c, x in zip(cols, (found.view(np.int64), ids[lo:hi][text], at.astype(np.int32)), strict=True):
+                c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["seed", "doc_id", "pos"])
 
 
 class Fenwick:
@@ -105,6 +147,37 @@ def chains(matches: list[tuple[int, int]], k: int = K) -> list[list[tuple[int, i
     """Splits matches (position here, position there) into chains that ascend in both, best first, by the recurrence
     score(i) = k + max(0, max over earlier j of score(j) - GAP_COST * words skipped on both sides)."""
     matches = sorted(set(matches))
+    score, back = _in_order(matches, k) if all(p[0] < q[0] and p[1] < q[1] for p, q in zip(matches, matches[1:])) else _out_of_order(matches, k)
+    used, out = [False] * len(matches), []
+    for i in sorted(range(len(matches)), key=lambda i: -score[i]):
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            if chain and (chain[-1][0] - matches[i][0] > MAX_GAP + k or chain[-1][1] - matches[i][1] > MAX_GAP + k):
+                out.append(chain[::-1])
+                chain = []
+            chain.append(matches[i])
+            i = back[i]
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def _in_order(matches: list[tuple[int, int]], k: int) -> tuple[list[float], list[int]]:
+    """Scores and earlier matches where all matches ascend in both texts. The last match is then always the best to go on from,
+    as it overlaps by less than its own words."""
+    score, back, value = [], [], float("-inf")
+    for i, (a, b) in enumerate(matches):
+        gain = value - GAP_COST * (a + b)
+        score.append(k + gain if gain > 0 else float(k))
+        back.append(i - 1 if gain > 0 else -1)
+        if gain > 0:  # words that overlap count once
+            score[i] -= max(0, k - min(a - matches[i - 1][0], b - matches[i - 1][1]))
+        value = score[i] + GAP_COST * (a + b)
+    return score, back
+
+
+def _out_of_order(matches: list[tuple[int, int]], k: int) -> tuple[list[float], list[int]]:
     ranks = {p: r for r, p in enumerate(sorted({b for _, b in matches}))}
     tree, score, back = Fenwick(len(ranks)), [0.0] * len(matches), [-1] * len(matches)
     at = 0
@@ -122,19 +195,7 @@ def chains(matches: list[tuple[int, int]], k: int = K) -> list[list[tuple[int, i
         for i in range(at, stop):
             tree.put(ranks[matches[i][1]], score[i] + GAP_COST * (matches[i][0] + matches[i][1]), i)
         at = stop
-    used, out = [False] * len(matches), []
-    for i in sorted(range(len(matches)), key=lambda i: -score[i]):
-        chain = []
-        while i >= 0 and not used[i]:
-            used[i] = True
-            if chain and (chain[-1][0] - matches[i][0] > MAX_GAP + k or chain[-1][1] - matches[i][1] > MAX_GAP + k):
-                out.append(chain[::-1])
-                chain = []
-            chain.append(matches[i])
-            i = back[i]
-        if chain:
-            out.append(chain[::-1])
-    return out
+    return score, back
 
 
 def _score(chain: list[tuple[int, int]], k: int = K) -> float:
@@ -146,24 +207,49 @@ def _score(chain: list[tuple[int, int]], k: int = K) -> float:
     return total
 
 
+def _may_chain(first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False for pairs of documents whose matches make no chain of MIN_SCORE: those with one match, and those with two that
+    lie too far apart. By a hair too generous, as ``chains`` decides."""
+    may = size > 2
+    two = np.flatnonzero(size == 2)
+    i = first[two]
+    da, db = a[i + 1] - a[i], np.where(a[i + 1] > a[i], b[i + 1] - b[i], 0)
+    total = K + np.minimum(K, np.minimum(da, db)) - GAP_COST * np.maximum(0, np.maximum(da, db) - K)
+    may[two] = (da > 0) & (db > 0) & (total > MIN_SCORE - 0.01)
+    return may
+
+
 def _chained(batches):
     """Streams matches sorted by document, other document and position; keeps one pair's matches at a time, which the
     document's length bounds."""
-    key, own = None, []
+    kept = []
 
-    def done():
-        return [(*key, [a for a, _ in c], [b for _, b in c]) for c in chains(own) if _score(c) >= MIN_SCORE]
-
-    for b in batches:
+    def done(pieces):
+        d, m, a, b = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1])]))
+        size = np.diff(np.append(first, len(d)))
         out = []
-        for d, m, x, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "match_id", "pos", "match_pos")), strict=True):
-            if (d, m) != key:
-                out += done() if len(own) > 1 else []
-                key, own = (d, m), []
-            own.append((x, y))
-        yield _chain_rows(out)
-    if len(own) > 1:
-        yield _chain_rows(done())
+        for i, n in zip(*(x[_may_chain(first, size, a, b)].tolist() for x in (first, size)), strict=True):
+            own = list(zip(a[i : i + n].tolist(), b[i : i + n].tolist(), strict=True))
+            out += [(int(d[i]), int(m[i]), [x for x, _ in c], [y for _, y in c]) for c in chains(own) if _score(c) >= MIN_SCORE]
+        return _chain_rows(out)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        d, m, a, b = (np.asarray(batch.column(c)) for c in ("doc_id", "match_id", "pos", "match_pos"))
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        # the last pair of the batch may go on in the next
+        other = np.flatnonzero((d != d[-1]) | (m != m[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if kept and (cut or kept[-1][0][-1] != d[0] or kept[-1][1][-1] != m[0]):
+            yield done([*kept, (d[:cut], m[:cut], a[:cut], b[:cut])])
+            kept = []
+        elif cut:
+            yield done([(d[:cut], m[:cut], a[:cut], b[:cut])])
+        kept.append((d[cut:], m[cut:], a[cut:], b[cut:]))
+    if kept:
+        yield done(kept)
 
 
 def _chain_rows(rows):
@@ -173,17 +259,25 @@ def _chain_rows(rows):
 
 
 def word_distance(x: list[int], y: list[int]) -> int:
-    """Edit distance of two short word lists."""
+    """Edit distance of two short word lists, by Myers' bit vectors: bit i of a vector is word i of x."""
     if x == y:
         return 0
     if not x or not y:
         return len(x) + len(y)
-    row = list(range(len(y) + 1))
-    for i, a in enumerate(x, 1):
-        last, row[0] = row[0], i
-        for j, b in enumerate(y, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
-    return row[-1]
+    held: dict[int, int] = {}
+    for i, a in enumerate(x):
+        held[a] = held.get(a, 0) | 1 << i
+    every, last = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    more, less, score = every, 0, len(x)
+    for b in y:
+        equal = held.get(b, 0)
+        down = equal | less
+        right = (((equal & more) + more) ^ more) | equal
+        up, low = less | (every & ~(right | more)), more & right
+        score += 1 if up & last else -1 if low & last else 0
+        up, low = up << 1 | 1, low << 1
+        more, less = (low | ~(down | up)) & every, up & down & every
+    return score
 
 
 def extend(x: list[int], y: list[int]) -> tuple[int, int, int]:
@@ -238,42 +332,47 @@ def align(x: list[int], y: list[int], x0: int, y0: int, here: list[int], there:
 PAD = MAX_GAP * 5
 
 
-def _cut(role: str):
-    """Cuts the words of a chain's passage, and PAD words around, out of the text."""
-    at = "here" if role == "own" else "there"
+def _row_words(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the words of rows' texts, one array for rows that follow one another with the same text, and which is whose."""
+    new = np.ones(len(texts), bool)
+    if len(texts) > 1:
+        new[1:] = ~np.asarray(pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).fill_null(False))
+    h, bounds = word_hashes(texts.take(pa.array(np.flatnonzero(new))))
+    h = h.view(np.int64)
+    return [h[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)], np.cumsum(new) - 1
 
-    def run(batches):
-        last, words = None, None
-        for b in batches:
-            out, starts, texts = [], [], b.column("text")
-            for i, chain in enumerate(b.column(at).to_pylist()):
-                t = texts[i]
-                if t != last:  # chains of one text follow one another
-                    last, words = t, word_hashes(texts.slice(i, 1))[0].view(np.int64)
-                lo = max(0, chain[0] - PAD)
-                starts.append(lo)
-                out.append(words[lo : chain[-1] + K + PAD])
-            names = [n for n in b.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.list_(pa.int64())), pa.array(starts, pa.int32())], [*names, f"{role}_words", f"{role}_from"])
 
-    return run
+def _cut(batches):
+    """Cuts the words of a chain's passage, and PAD words around, out of the document's own text."""
+    for b in batches:
+        words, which = _row_words(b.column("text"))
+        out, starts = [], []
+        for i, chain in zip(which, b.column("here").to_pylist(), strict=True):
+            starts.append(max(0, chain[0] - PAD))
+            out.append(words[i][starts[-1] : chain[-1] + K + PAD].tobytes())
+        names = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.binary()), pa.array(starts, pa.int32())], [*names, "own_words", "own_from"])
 
 
 def _aligned(batches):
-    """Aligns chains, those of one other document together. A chain that lies within a passage already found in the same
-    two documents says nothing new and is left out, as texts that repeat themselves have many."""
+    """Aligns chains with the other document's text, those of one other document together. A chain that lies within a passage
+    already found in the same two documents says nothing new and is left out, as texts that repeat themselves have many."""
     match, held = None, {}
     for b in batches:
         rows = []
-        for r in b.to_pylist():
-            if r["match_id"] != match:
-                match, held = r["match_id"], {}
-            here, own = r["here"], held.setdefault(r["doc_id"], [])
+        words, which = _row_words(b.column("text"))
+        cols = (b.column(c).to_pylist() for c in ("doc_id", "match_id", "here", "there", "own_words", "own_from"))
+        for i, (d, m, here, there, own_words, own_from) in enumerate(zip(*cols, strict=True)):
+            if m != match:
+                match, held = m, {}
+            own = held.setdefault(d, [])
             if any(lo <= here[0] and here[-1] + K <= hi for lo, hi in own):
                 continue
-            found = align(r["own_words"], r["other_words"], r["own_from"], r["other_from"], here, r["there"])
+            other_from = max(0, there[0] - PAD)
+            other = words[which[i]][other_from : there[-1] + K + PAD].tolist()
+            found = align(np.frombuffer(own_words, np.int64).tolist(), other, own_from, other_from, here, there)
             if found:
-                rows.append((r["doc_id"], r["match_id"], *found))
+                rows.append((d, m, *found))
                 if _long_enough(*found):
                     own.append(found[:2])
         cols = list(zip(*rows, strict=True)) or [()] * 7
@@ -285,67 +384,88 @@ def _long_enough(start: int, end: int, match_start: int, match_end: int, distanc
     return size >= MIN_WORDS and distance <= (1 - IDENTITY) * size
 
 
-def _documents(batches):
-    """Streams documents' passages (kind 0) and then their repeated seeds, in order of documents; gives for each batch the documents
-    that it completes: doc_id, passages (start, end), positions and hashes of seeds. Keeps one document's rows at a time."""
-    key, rows = None, []
+#: Documents lie so far apart where positions of several are one array: further than a text is long.
+_APART = 1 << 33
+
 
-    def whole():
-        kind, pos, end, seed = (np.concatenate(c) for c in zip(*rows, strict=True))
+class _Documents:
+    """Passages and repeated seeds of some documents, whole, in order: ids; held, the passages (start, end) by start; p and s,
+    places and hashes of seeds; held and p from the document's number times _APART on."""
+
+    def __init__(self, ids, kind, pos, end, seed):
+        new = np.concatenate([[True], ids[1:] != ids[:-1]])
+        self.ids, base = ids[new], (np.cumsum(new) - 1) * _APART
         own = kind != 0
-        return key, np.stack([pos[~own], end[~own]], 1), pos[own], seed[own].view(np.uint64)
+        self.held = np.stack([pos[~own] + base[~own], end[~own] + base[~own]], 1)
+        self.p, self.s = pos[own] + base[own], seed[own].view(np.uint64)
+
+    def reach(self, p: np.ndarray) -> np.ndarray:
+        """The furthest end of the passages that begin at each place or before."""
+        if not len(self.held):
+            return np.full(len(p), -1)
+        before = np.searchsorted(self.held[:, 0], p, "right") - 1
+        return np.where(before >= 0, np.maximum.accumulate(self.held[:, 1])[np.maximum(before, 0)], -1)
 
+
+def _documents(batches):
+    """Streams documents' passages (kind 0) and then their repeated seeds, in order of documents; gives _Documents for those that
+    each batch completes. Keeps one document's rows at a time."""
+    rows = []
     for b in batches:
-        ids, *cols = (np.asarray(b.column(c)) for c in ("doc_id", "kind", "pos", "end", "seed"))
-        bounds, out = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)], []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            if hi == lo:
-                continue
-            if rows and ids[lo] != key:
-                out.append(whole())
-                rows = []
-            key = int(ids[lo])
-            rows.append([c[lo:hi] for c in cols])
-        yield out
+        if not b.num_rows:
+            continue
+        cols = [np.asarray(b.column(c)) for c in ("doc_id", "kind", "pos", "end", "seed")]
+        other = np.flatnonzero(cols[0] != cols[0][-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut or (rows and rows[-1][0][-1] != cols[0][0]):
+            yield _Documents(*(np.concatenate(c) for c in zip(*rows, [c[:cut] for c in cols], strict=True)))
+            rows = []
+        rows.append([c[cut:] for c in cols])
     if rows:
-        yield [whole()]
+        yield _Documents(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+
+
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Lists of values that follow one another, given where each begins."""
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)).astype(np.int32)), pa.array(values))
+
+
+def _heads(*cols: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before."""
+    new = np.ones(len(cols[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], 0)
+    return np.flatnonzero(new)
 
 
 def _uncovered(batches):
     """The starts of the windows of MIN_WORDS words that no passage holds and whose seeds may all repeat, and the least seeds
     of these windows."""
-
-    def done(key, held, p, s):
-        open_at, least = [], []
-        for run in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > WINDOW) + 1):
-            lo, hi = max(0, p[run[0]] - WINDOW + 1), p[run[-1]] - (MIN_WORDS - K - WINDOW + 1)
-            if hi < lo:
-                continue
-            open_ = np.ones(hi - lo + 1, bool)
-            for a, b in held:
-                open_[max(0, a - lo) : max(0, b - MIN_WORDS + 1 - lo)] = False
-            starts = lo + np.flatnonzero(open_)
-            if len(starts):
-                first, stop = np.searchsorted(p[run], starts), np.searchsorted(p[run], starts + MIN_WORDS - K, "right")
-                open_at.append(starts[stop > first])
-                spans = np.unique(np.stack([first, stop], 1)[stop > first], axis=0)
-                least += [s[run][a:b].min() for a, b in spans]
-        return [(key, np.concatenate(open_at).astype(np.int32), np.unique(np.array(least, np.uint64)).view(np.int64))] if least else []
-
     for docs in _documents(batches):
-        found = [r for key, held, p, s in docs if len(p) for r in done(key, held, p, s)]
-        d, starts, least = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "starts", "least"])
-
-
-def _pairs_of(p: np.ndarray, s: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and positions of all pairs of repeated seeds that span MIN_WORDS words or more, MAX_GAP more at most, and that no
-    passage in ``held`` holds. Seeds that pairs chain to go on from there, so wider pairs say nothing new."""
-    held = held[np.argsort(held[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(held[:, 1])
-    before = np.searchsorted(held[:, 0], p, "right") - 1
-    reach = np.where(before >= 0, ends[np.maximum(before, 0)], -1) if len(held) else np.full(len(p), -1)
-    first = np.maximum(np.searchsorted(p, p + MIN_WORDS - K), np.searchsorted(p, reach - K, "right"))
+        p, s = docs.p, docs.s
+        first = np.flatnonzero(np.diff(p, prepend=-_APART) > WINDOW)  # runs of seeds
+        last = p[np.append(first[1:], len(p)) - 1] if len(p) else p
+        lo = np.maximum(p[first] // _APART * _APART, p[first] - WINDOW + 1)
+        n = np.maximum(0, last - (MIN_WORDS - K - WINDOW + 1) - lo + 1)
+        starts = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        starts = starts[docs.reach(starts) < starts + MIN_WORDS]
+        a, z = np.searchsorted(p, starts), np.searchsorted(p, starts + MIN_WORDS - K, "right")
+        starts, a, z = starts[z > a], a[z > a], z[z > a]
+        doc = starts // _APART
+        spans = _heads(a, z)
+        least = np.minimum.reduceat(np.append(s, s[:1]), np.stack([a[spans], z[spans]], 1).ravel())[::2] if len(spans) else s[:0]
+        order = np.lexsort((least, doc[spans]))
+        least, of = least[order], doc[spans][order]
+        once = _heads(least, of)
+        cols = [pa.array(docs.ids[doc[_heads(doc)]]), _lists((starts % _APART).astype(np.int32), _heads(doc)), _lists(least[once].view(np.int64), _heads(of[once]))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "starts", "least"])
+
+
+def _pairs_of(docs: _Documents) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of all pairs of repeated seeds that span MIN_WORDS words or more, MAX_GAP more at most, and that no
+    passage holds. Seeds that pairs chain to go on from there, so wider pairs say nothing new."""
+    p, s = docs.p, docs.s
+    first = np.maximum(np.searchsorted(p, p + MIN_WORDS - K), np.searchsorted(p, docs.reach(p) - K, "right"))
     n = np.maximum(0, np.searchsorted(p, p + MIN_WORDS + MAX_GAP, "right") - first)
     one = np.repeat(np.arange(len(p)), n)
     two = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n) + first[one]
@@ -355,21 +475,33 @@ def _pairs_of(p: np.ndarray, s: np.ndarray, held: np.ndarray) -> tuple[np.ndarra
 def _pair_keys(batches):
     """Hashes of the far pairs, each once a document."""
     for docs in _documents(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(np.unique(_pairs_of(p, s, held)[0]) for _, held, p, s in docs)]))], ["pair"])
+        h, a, _ = _pairs_of(docs)
+        doc = a // _APART
+        order = np.lexsort((h, doc))
+        yield pa.RecordBatch.from_arrays([pa.array(h[order][_heads(h[order], doc[order])])], ["pair"])
 
 
 def _paired(shared):
-    """The far pairs that the bitmap ``shared`` holds, with their places."""
+    """The far pairs that the bitmap ``shared`` holds, each once a document: its first places, and all places of its first seed
+    and of its second. A text that repeats itself has a pair at as many places as the square of its repeats."""
 
     def run(batches):
         for docs in _documents(batches):
-            cols = [[np.zeros(0, k)] for k in (np.int64, np.int64, np.int32, np.int32)]
-            for key, held, p, s in docs:
-                h, a, b = _pairs_of(p, s, held)
-                kept = _in_map(h.view(np.uint64), shared.value)
-                for c, x in zip(cols, (h[kept], np.full(int(kept.sum()), key, np.int64), a[kept].astype(np.int32), b[kept].astype(np.int32)), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["pair", "doc_id", "pos", "pos2"])
+            h, a, b = _pairs_of(docs)
+            kept = _in_map(h.view(np.uint64), shared.value)
+            h, a, b = h[kept], a[kept], b[kept]
+
+            def places(x, y):
+                """In order of document, pair, x and y: hash, x and y where a pair begins, and the different x of each."""
+                order = np.lexsort((y, x, h, a // _APART))  # noqa: B023
+                key, x, y = h[order], x[order], y[order]  # noqa: B023
+                pair, once = _heads(key, x // _APART), _heads(key, x)
+                return key[pair], x[pair], y[pair], _lists((x[once] % _APART).astype(np.int32), np.searchsorted(once, pair))
+
+            key, x, y, here = places(a, b)
+            here2 = places(b, a)[-1]
+            cols = [pa.array(key), pa.array(docs.ids[x // _APART]), *(pa.array((c % _APART).astype(np.int32)) for c in (x, y)), here, here2]
+            yield pa.RecordBatch.from_arrays(cols, ["pair", "doc_id", "pos", "pos2", "here", "here2"])
 
     return run
 
@@ -385,10 +517,11 @@ def far_matches(repeats: DataFrame, passages: DataFrame) -> DataFrame:
     # pairs that several documents have are few, so only hashes are counted, and places are made for what is left
     several = saved(ordered.mapInArrow(_pair_keys, "pair long").groupBy("pair").count().where("count > 1").select("pair"))
     shared = repeats.sparkSession.sparkContext.broadcast(_bit_map(several, "pair"))
-    places = ordered.mapInArrow(_paired(shared), "pair long, doc_id long, pos int, pos2 int")
+    places = ordered.mapInArrow(_paired(shared), "pair long, doc_id long, pos int, pos2 int, here array<int>, here2 array<int>")
     pairs = saved(places.join(several, "pair", "left_semi"))
     first = pairs.groupBy("pair").agg(F.min(F.struct("doc_id", "pos", "pos2")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last")
-    hits = pairs.join(first, "pair").where("doc_id > f.doc_id").select("doc_id", F.col("f.doc_id").alias("match_id"), F.inline(F.array(F.struct(F.col("pos"), F.col("f.pos").alias("match_pos")), F.struct(F.col("pos2").alias("pos"), F.col("f.pos2").alias("match_pos")))))
+    met = "concat(transform(here, x -> struct(x AS pos, f.pos AS match_pos)), transform(here2, x -> struct(x AS pos, f.pos2 AS match_pos)))"
+    hits = pairs.join(first, "pair").where("doc_id > f.doc_id").select("doc_id", F.col("f.doc_id").alias("match_id"), F.inline(F.expr(met)))
     return hits.distinct()
 
 
@@ -410,29 +543,42 @@ def _asked(batches):
 def _answers(shared):
     """Hashes of the windows whose least k-mer is at one of a row's positions, those that the bitmap ``shared`` holds, with their
     first place in the text. A window's least k-mer is a seed, so it is at such a position if it equals one that is."""
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def windows(h, bounds, at):
+        """Windows, which text's and their places there; ``at`` are places among the words of all texts."""
+        if len(h) < MIN_WORDS:
+            return h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        g = gram_hashes(h, K)
+        asked = np.full(len(g), none)
+        asked[at] = g[at]
+        asked = sliding(np.minimum, asked, MIN_WORDS - K + 1)
+        starts = np.flatnonzero((asked == sliding(np.minimum, g, MIN_WORDS - K + 1)) & (asked != none))
+        text = np.searchsorted(bounds, starts, "right") - 1
+        whole = starts + MIN_WORDS <= bounds[text + 1]
+        starts, text = starts[whole], text[whole]
+        win = gram_hashes(h, MIN_WORDS)[starts]
+        kept = _in_map(win, shared.value)
+        win, text, starts = win[kept], text[kept], starts[kept]
+        order = np.lexsort((starts, win, text))
+        once = order[_heads(win[order], text[order])]
+        return win[once], text[once], starts[once] - bounds[text[once]]
 
     def run(batches):
-        reach = MIN_WORDS - K
         for b in batches:
-            ids, wins, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-            for i, h, where in zip(b.column("doc_id").to_pylist(), _texts(b), b.column("at").to_pylist(), strict=True):
-                where = np.sort(np.array([p for p in where if p + K <= len(h)], np.int64))
-                # only what is near a position is looked at
-                for near in np.split(where, np.flatnonzero(np.diff(where) > 2 * reach) + 1) if len(where) else []:
-                    lo, hi = max(0, near[0] - reach), min(len(h), near[-1] + reach + K)
-                    if hi - lo < MIN_WORDS:
-                        continue
-                    g = gram_hashes(h[lo:hi], K)
-                    least = sliding(np.minimum, g, reach + 1)
-                    runs = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
-                    starts = np.flatnonzero(np.repeat(np.isin(least[runs], g[near - lo]), np.diff([*runs, len(least)])))
-                    win = gram_hashes(h[lo:hi], MIN_WORDS)[starts]
-                    kept = _in_map(win, shared.value)
-                    found, heads = np.unique(win[kept], return_index=True)
-                    ids.append(np.full(len(found), i, np.int64))
-                    wins.append(found)
-                    at.append((starts[kept][heads] + lo).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([w.view(np.int64) for w in wins], ids, at)], ["win", "doc_id", "pos"])
+            h, bounds = word_hashes(b.column("text"))
+            where = b.column("at")
+            ids, place = np.asarray(b.column("doc_id")), np.asarray(where.flatten()).astype(np.int64)
+            text = np.repeat(np.arange(len(ids)), np.asarray(where.value_lengths()))
+            place += bounds[text]
+            place, text = (x[place + K <= bounds[text + 1]] for x in (place, text))
+            cols = [[np.zeros(0, k)] for k in (np.int64, np.int64, np.int32)]
+            for lo, hi in _chunks(bounds):
+                at = place[np.searchsorted(text, lo) : np.searchsorted(text, hi)] - bounds[lo]
+                win, of, start = windows(h[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], at)
+                for c, x in zip(cols, (win.view(np.int64), ids[lo:hi][of], start.astype(np.int32)), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["win", "doc_id", "pos"])
 
     return run
 
@@ -496,13 +642,30 @@ def _joined(batches):
         yield rows([(*key, *r, 0) for r in window_runs(sorted(own))])
 
 
-def _first(occurrences: DataFrame, key: str) -> DataFrame:
-    """The first occurrence of each key that several documents have."""
-    first = occurrences.groupBy(key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    return saved(first.select(key, F.col("first.doc_id").alias("match_id"), F.col("first.pos").alias("match_pos")))
+def _asked_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that a bitmap of the ``doc_id`` of ``ids`` holds, so that most others are not shuffled. The bitmap is
+    broadcast and of _MAP_WORDS words at most; more ids only let more pass."""
+    hashed = F.xxhash64("doc_id")
+    word, bit = hashed.bitwiseAND(_MAP_WORDS - 1), F.expr("shiftleft(1L, CAST(shiftrightunsigned(xxhash64(doc_id), 58) AS INT))")
+    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    kept = texts.withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0)
+    return kept.select(texts.columns)
+
+
+def _documents_of(occurrences: DataFrame, key: str) -> DataFrame:
+    """The first document of each key that several documents have. Numbers are grouped by hash, structs by sorting, so the
+    place there is looked up by ``_met`` for what is left."""
+    grouped = occurrences.groupBy(key).agg(F.min("doc_id").alias("match_id"), F.max("doc_id").alias("last"))
+    # saved, so that what joins it is a join of two plain exchanges, of which a hot key's part can be dealt to several tasks
+    return saved(grouped.where("match_id < last").select(key, "match_id"))
+
+
+def _met(repeats: DataFrame, key: str) -> DataFrame:
+    """The first place in its first document of each key."""
+    return repeats.where("doc_id = match_id").groupBy(key).agg(F.min("pos").alias("match_pos"))
 
 
-def exact_windows(texts: DataFrame, found: DataFrame, repeats: DataFrame, passages: DataFrame) -> DataFrame:
+def exact_windows(texts: DataFrame, repeats: DataFrame, passages: DataFrame) -> DataFrame:
     """Passages of equal words that repeat and that none of ``passages`` holds."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = passages.select("doc_id", F.lit(0).alias("kind"), F.col("start").alias("pos"), "end", F.lit(0).cast("long").alias("seed"))
@@ -510,14 +673,17 @@ def exact_windows(texts: DataFrame, found: DataFrame, repeats: DataFrame, passag
     both = held.union(earlier.select("doc_id", F.lit(1), F.col("pos").cast("long"), F.lit(0).cast("long"), "seed"))
     ordered = both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "kind", "pos")
     open_ = saved(ordered.mapInArrow(_uncovered, "doc_id long, starts array<int>, least array<long>"))
-    askers = texts.join(open_.select(F.col("doc_id").alias("_doc"), "starts").hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "starts")
+    askers = _asked_texts(texts, open_).join(open_.select(F.col("doc_id").alias("_doc"), "starts").hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "starts")
     asked = saved(askers.mapInArrow(_asked, "win long, doc_id long, places array<int>"))
     shared = texts.sparkSession.sparkContext.broadcast(_bit_map(asked, "win"))
     wanted = open_.select(F.explode("least").alias("seed")).distinct()
-    at = found.join(wanted, "seed", "left_semi").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("at"))
-    looked = texts.join(at.hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "at")
+    at = repeats.join(wanted, "seed", "left_semi").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("at"))
+    at = saved(at)
+    looked = _asked_texts(texts, at.select(F.col("_doc").alias("doc_id"))).join(at.hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "at")
     windows = saved(looked.mapInArrow(_answers(shared), "win long, doc_id long, pos int"))
-    hits = asked.join(_first(windows, "win"), "win").where("doc_id > match_id").select("doc_id", "match_id", "places", "match_pos")
+    repeated = saved(windows.join(_documents_of(windows, "win"), "win").where("doc_id = match_id"))
+    first = repeated.groupBy("win").agg(F.min("match_id").alias("match_id"), F.min("pos").alias("match_pos"))
+    hits = asked.join(first, "win").where("doc_id > match_id").select("doc_id", "match_id", "places", "match_pos")
     ordered = hits.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "match_id")
     more = ordered.mapInArrow(_joined, "doc_id long, match_id long, start long, end long, match_start long, match_end long, distance long")
     every = passages.withColumn("kind", F.lit(0)).unionByName(more.distinct().withColumn("kind", F.lit(1)))
@@ -532,14 +698,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     found = saved(texts.mapInArrow(_seeded, "seed long, doc_id long, pos int"))
-    repeats = saved(found.join(_first(found, "seed"), "seed").select("seed", "doc_id", "match_id", "pos", "match_pos"))
-    matches = repeats.where("doc_id <> match_id").select("doc_id", "match_id", "pos", "match_pos")
+    # a task's part of the first documents, and of the first places, is one row a seed
+    repeats = saved(found.join(_documents_of(found, "seed").hint("shuffle_hash"), "seed").select("seed", "doc_id", "match_id", "pos"))
+    matches = repeats.where("doc_id <> match_id").join(_met(repeats, "seed").hint("shuffle_hash"), "seed").select("doc_id", "match_id", "pos", "match_pos")
     best = aligned_chains(texts, matches, min_words, identity)
     far = saved(far_matches(repeats, best))
-    ids = saved(far.select("doc_id").union(far.select("match_id")).distinct())  # few where most passages are found
-    late = aligned_chains(texts.join(ids, "doc_id", "left_semi"), far, min_words, identity)
+    late = aligned_chains(texts, far, min_words, identity)
     best = saved(best.union(late.join(best, ["doc_id", "match_id", "start", "end"], "left_anti").select(best.columns)))
-    more = exact_windows(texts, found, repeats, best)
+    more = exact_windows(texts, repeats, best)
     return best.union(more.where((F.col("end") - F.col("start")) >= min_words))
 
 
@@ -549,11 +715,12 @@ def aligned_chains(texts: DataFrame, matches: DataFrame, min_words: int, identit
     ordered = matches.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "match_id", "pos")
     schema = "doc_id long, match_id long, here array<int>, there array<int>"
     linked = saved(ordered.mapInArrow(_chained, schema))
-    own = linked.hint("merge").join(texts.select(F.col("doc_id").alias("_own"), "text"), F.col("doc_id") == F.col("_own")).select("doc_id", "match_id", "here", "there", "text")
-    cut = saved(own.mapInArrow(_cut("own"), f"{schema}, own_words array<long>, own_from int"))
-    other = cut.hint("merge").join(texts.select(F.col("doc_id").alias("_other"), "text"), F.col("match_id") == F.col("_other")).select(*cut.columns, "text")
-    both = other.mapInArrow(_cut("other"), f"{schema}, own_words array<long>, own_from int, other_words array<long>, other_from int")
-    aligned = both.mapInArrow(_aligned, "doc_id long, match_id long, start long, end long, match_start long, match_end long, distance long")
+    own_texts = _asked_texts(texts, linked).select(F.col("doc_id").alias("_own"), "text")
+    own = linked.hint("merge").join(own_texts, F.col("doc_id") == F.col("_own")).select("doc_id", "match_id", "here", "there", "text")
+    cut = saved(own.mapInArrow(_cut, f"{schema}, own_words binary, own_from int"))
+    other_texts = _asked_texts(texts, linked.select(F.col("match_id").alias("doc_id"))).select(F.col("doc_id").alias("_other"), "text")
+    other = cut.hint("merge").join(other_texts, F.col("match_id") == F.col("_other")).select(*cut.columns, "text")
+    aligned = other.mapInArrow(_aligned, "doc_id long, match_id long, start long, end long, match_start long, match_end long, distance long")
     size = F.least(F.col("end") - F.col("start"), F.col("match_end") - F.col("match_start"))
     long = aligned.where((size >= min_words) & (F.col("distance") <= (1 - identity) * size))
     best = long.groupBy("doc_id", "match_id", "start", "end").agg(F.min(F.struct("distance", "match_start", "match_end")).alias("m"))
