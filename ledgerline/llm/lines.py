@@ -34,6 +34,8 @@ NUM, DEN = 4, 5
 BUCKETS = 1 << 16
 LEVELS = 32
 BITMAP_WORDS = 1 << 16
+#: Lines of up to so many tokens have a sketch of 64 bits only.
+LONG = 64
 #: A line's identity: 96 bits of its hashes.
 _KEY = ["key", "key2"]
 #: A document's identity: its doc_id and 96 bits of its text's hashes.
@@ -41,22 +43,26 @@ _DOC = ["doc_id", "text_key", "text_key2"]
 _PLACE = f"struct({', '.join(_DOC)}, line_no)"
 
 
-def tokens(text: str, line: bool = True) -> str:
-    """SQL for the words of a line, or else of a text, with empty ones at times. A split at one character needs no
-    pattern, and a line has no line feed."""
-    for c in ("\\t", "\\u000B", "\\u000C", "\\r", *([] if line else ["\\n"])):
-        text = f"replace({text}, '{c}', ' ')"
-    return f"split({text}, ' ')"
+def tokens(line: str) -> str:
+    """SQL for the words of a line, with empty ones at times. A split at one character needs no pattern, and a line has no
+    line feed; most lines have none of the other white space either, which is asked first, as replacing looks far slower."""
+    spaces = ("\\t", "\\u000B", "\\u000C", "\\r")
+    plain = line
+    for c in spaces:
+        plain = f"replace({plain}, '{c}', ' ')"
+    return f"CASE WHEN {' OR '.join(f"contains({line}, '{c}')" for c in spaces)} THEN split({plain}, ' ') ELSE split({line}, ' ') END"
 
 
-def token_hashes(text: str) -> str:
-    """SQL for the distinct hashes of a text's words, 58 bits each."""
-    return f"array_remove(array_distinct(transform({tokens(text)}, w -> shiftrightunsigned(xxhash64(w), 6))), shiftrightunsigned(xxhash64(''), 6))"
+def token_hashes(line: str) -> str:
+    """SQL for the distinct hashes of a line's words, 58 bits each."""
+    return f"array_remove(array_distinct(transform({tokens(line)}, w -> shiftrightunsigned(xxhash64(w), 6))), shiftrightunsigned(xxhash64(''), 6))"
 
 
 def rarity_levels(docs: DataFrame) -> list[int]:
     """How common the tokens of each bucket are over all documents, in LEVELS steps of a logarithmic scale."""
-    words = docs.select(F.explode(F.expr(tokens("text", line=False))).alias("w"))
+    # by line, as an array of a line's words is short; outer as in ``places``, and a line has a word, be it an empty one
+    lines = docs.where("text is not null").select(F.explode_outer(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode_outer(F.expr(tokens("line"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()  # BUCKETS rows at most
     levels = [0] * BUCKETS
     most = max((r["count"] for r in counts), default=1)
@@ -70,30 +76,37 @@ def places(docs: DataFrame) -> DataFrame:
     """doc_id and keys of the text, line_no, line and its key, of each line. The text's keys are made before its lines
     are, once a text; what stands beside a generator would be made once a line."""
     keyed = docs.select("doc_id", *text_keys(F.col("text")), F.split("text", "\n").alias("_lines"))
-    lines = keyed.select(*_DOC, F.posexplode("_lines").alias("line_no", "line"))
+    # outer, as else a filter on the number of lines is put before the hashing and splits every text itself
+    lines = keyed.select(*_DOC, F.posexplode_outer("_lines").alias("line_no", "line")).where("line is not null")
     return lines.select(*_DOC, "line_no", "line", F.xxhash64("line").alias("key"), F.hash("line").alias("key2"))
 
 
 def line_classes(docs: DataFrame, levels: list[int]) -> DataFrame:
     """One row per distinct line with a word: key, at (its first place), copies, n (distinct tokens), sig and sig2 (parity
-    of the tokens by each of 128 bits) and prefix (codes of tokens, rarest first: level, then 26 bits of the hash)."""
+    of the tokens by each of 128 bits; of up to LONG tokens by each of the 64 of sig) and prefix (codes of tokens, rarest
+    first: level, then 26 bits of the hash)."""
     table = f"CAST(split('{','.join(map(str, levels))}', ',') AS ARRAY<BIGINT>)"  # folded into one constant
+    # lambdas are interpreted, so they are few and short: a word is hashed once, and looked up if it is not a repeated one
+    hashes = f"array_remove(array_distinct(transform({tokens('line')}, w -> xxhash64(w))), xxhash64(''))"
     # coalesce, as an array that may hold nulls is sorted by a slower way
-    code = f"shiftleft(coalesce(get({table}, CAST(xxhash64(w) & {BUCKETS - 1} AS INT)), 0L), 58) | shiftrightunsigned(xxhash64(w), 6)"
-    codes = f"transform({tokens('line')}, w -> if(w = '', -1L, {code}))"
+    code = f"shiftleft(coalesce(get({table}, CAST(x & {BUCKETS - 1} AS INT)), 0L), 58) | shiftrightunsigned(x, 6)"
     # not by the size of _c, as a filter on that is moved ahead of the hashing and hashes all words itself
     hashed = places(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    coded = hashed.select(*_DOC, "line_no", *_KEY, F.expr(f"sort_array(array_remove(array_distinct({codes}), -1L))").alias("_c"))
-    sig = lambda half: f"aggregate(_c, 0L, (a, x) -> if((x & 64) = {half}, a ^ shiftleft(1L, CAST(x & 63 AS INT)), a))"
+    coded = hashed.select(*_DOC, "line_no", *_KEY, F.expr(f"sort_array(transform({hashes}, x -> {code}))").alias("_c"))
+    bit = "shiftleft(1L, CAST(x & 63 AS INT))"
+    upper = f"if(size(_c) > {LONG}, aggregate(_c, 0L, (a, x) -> if((x & 64) = 0, a, a ^ {bit})), 0L)"
     prefix = f"transform(slice(_c, 1, size(_c) - CAST(ceil(size(_c) * {NUM} / {DEN}) AS INT) + 1), x -> CAST(shiftrightunsigned(x, 32) AS INT))"
-    made = coded.select(*_DOC, "line_no", *_KEY, F.size("_c").alias("n"), F.expr(sig(0)).alias("sig"), F.expr(sig(64)).alias("sig2"), F.expr(prefix).alias("prefix"))
+    made = coded.select(*_DOC, "line_no", *_KEY, F.size("_c").alias("n"), F.expr(f"aggregate(_c, 0L, (a, x) -> a ^ {bit})").alias("_both"), F.expr(upper).alias("sig2"), F.expr(prefix).alias("prefix"))
+    made = made.withColumn("sig", F.col("_both").bitwiseXOR(F.col("sig2")))
     grouped = made.groupBy(*_KEY).agg(F.min(F.expr(_PLACE)).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("prefix").alias("prefix"))
     return grouped.withColumn("id", F.monotonically_increasing_id())
 
 
 def _close(a: str, b: str) -> str:
-    """Whether sizes and sketches allow the similarity: tokens on one side only are at most n * (DEN - NUM) / (DEN + NUM)."""
-    return f"{a}.n * {DEN} >= {b}.n * {NUM} AND {b}.n * {DEN} >= {a}.n * {NUM} AND (bit_count({a}.sig ^ {b}.sig) + bit_count({a}.sig2 ^ {b}.sig2)) * {DEN + NUM} <= ({a}.n + {b}.n) * {DEN - NUM}"
+    """Whether sizes and sketches allow the similarity: tokens on one side only are at most n * (DEN - NUM) / (DEN + NUM).
+    Where a line of up to LONG tokens takes part, both halves of the other's sketch are laid over each other."""
+    apart = f"if({a}.n > {LONG} AND {b}.n > {LONG}, bit_count({a}.sig ^ {b}.sig) + bit_count({a}.sig2 ^ {b}.sig2), bit_count({a}.sig ^ {a}.sig2 ^ {b}.sig ^ {b}.sig2))"
+    return f"{a}.n * {DEN} >= {b}.n * {NUM} AND {b}.n * {DEN} >= {a}.n * {NUM} AND {apart} * {DEN + NUM} <= ({a}.n + {b}.n) * {DEN - NUM}"
 
 
 def _enough(overlap: str, a: str, b: str) -> str:
@@ -133,7 +146,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     contested = saved(met.alias("a").join(met.alias("b"), F.expr(allowed), "left_semi").select("id", "pos", "token"))
     seen = contested.join(classes.select("id", "n", "sig", "sig2", "prefix"), "id").select("id", "n", "sig", "sig2", "pos", "token", "prefix")
     # what most pairs of a large group fail is asked first
-    first = f"{allowed} AND NOT arrays_overlap(slice(a.prefix, 1, a.pos), slice(b.prefix, 1, b.pos)) AND {_enough(_MOST_SHARED, 'a', 'b')}"
+    first = f"{allowed} AND (a.pos = 0 OR b.pos = 0 OR NOT arrays_overlap(slice(a.prefix, 1, a.pos), slice(b.prefix, 1, b.pos))) AND {_enough(_MOST_SHARED, 'a', 'b')}"
     contested = saved(seen.alias("a").join(seen.alias("b"), F.expr(first), "left_semi").select("id", "token"))
 
     # one more pass over the lines: those whose tokens are compared in full, and the places of those that are there often

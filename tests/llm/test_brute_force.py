@@ -421,6 +421,32 @@ def test_line_dedup_of_near_lines(spark):
         assert r["text"] == "\n".join(x for k, x in enumerate(texts[r["doc_id"]].split("\n")) if k not in want[r["doc_id"]])
 
 
+def test_line_dedup_of_long_and_short_sketches(spark):
+    """Near lines on both sides of the size from which a sketch has two halves, words apart by any white space."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(3000)]
+    kinds = [rng.sample(base, rng.randrange(lines.LONG - 14, lines.LONG + 15)) for _ in range(12)] + [rng.sample(base, 150) for _ in range(2)]
+    texts = {}
+    for d in range(60):
+        own = []
+        for _ in range(4):
+            line = list(rng.choice(kinds))
+            line = [w for w in line if rng.random() > 0.08] + rng.sample(base, rng.randrange(9))
+            own.append("".join(w + rng.choice([" ", "  ", "\t", "\x0b", "\x0c", "\r"]) for w in line) if rng.random() < 0.5 else " ".join(line))
+        texts[d] = "\n".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = removed_by_hand(texts)
+    assert sum(map(len, want.values())) > 60
+    assert {r["doc_id"]: list(r["removed"]) for r in lines.line_duplicates(df).collect()} == {d: v for d, v in want.items() if v}
+
+
+def test_texts_are_split_once(spark):
+    """No filter that the optimizer adds splits every text or line a second time."""
+    df = spark.createDataFrame([(1, "a b\nc")], "doc_id long, text string")
+    plan = lines.places(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_passages_are_found(spark):
     """A passage of 60 words, with a few edits, in texts of their own; nothing else repeats."""
     rng = random.Random(9)
